@@ -148,3 +148,101 @@ def symbols(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         methods.alias("methods"),
         F.lit("").alias("grp"),
     )
+
+
+# --- code snapshots, documents and configuration (documents) -------------------
+
+
+def _ext(doc_id):
+    return F.when(doc_id % 6 == 5, F.lit(".txt")).when(doc_id % 6 == 4, F.lit("_test.go")).otherwise(F.lit(".go"))
+
+
+def code_snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Source files: one per document, repo = lang, path under
+    ``pkg/<source>/``; content is the document text plus a final newline.
+    The new version appends a line to residue-2 files."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    r = k % 10
+    path = F.concat(F.lit("pkg/"), F.col("source"), F.lit("/f"), k.cast("string"), _ext(k))
+    if side == "old":
+        d = d.filter(r != 0)
+        content = F.concat(F.col("text"), F.lit("\n"))
+        ref = "base"
+    else:
+        d = d.filter(r != 1)
+        content = F.concat(F.when(r == 2, F.concat(F.col("text"), F.lit("\nextra line"))).otherwise(F.col("text")), F.lit("\n"))
+        ref = "head"
+    return d.select(
+        F.col("lang").alias("repo"), F.lit(ref).alias("ref"), path.alias("path"), content.alias("content"),
+        F.sha2(content, 256).alias("content_hash"),
+    )
+
+
+def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: repo = lang, path ``docs/<source>/<doc_id>.md`` (``.txt``
+    for doc_id % 9 = 0)."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    ext = F.when(k % 9 == 0, F.lit(".txt")).otherwise(F.lit(".md"))
+    return d.select(
+        F.col("lang").alias("repo"),
+        F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), k.cast("string"), ext).alias("path"),
+        F.col("text").alias("content"),
+    )
+
+
+# The configured document roots of every repository (a
+# directory, one with a trailing slash, one with a leading './', a file that
+# does not exist) - the shape of a ``docs.paths`` setting.
+DOC_ROOTS = ["docs/src1", "docs/src2/", "./docs/src3", "README.md"]
+
+
+def doc_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("repo")).distinct().select(
+        "repo", F.explode(F.array(*[F.lit(x) for x in DOC_ROOTS])).alias("root")
+    )
+
+
+def doc_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excluded paths: the documents with doc_id % 13 = 0."""
+    return docs_table(spark, sf_dir).join(
+        table(spark, sf_dir, "documents").filter(F.col("doc_id") % 13 == 0).select(
+            F.col("lang").alias("repo"),
+            F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        ),
+        ["repo", "path"],
+        "left_semi",
+    ).select("repo", "path")
+
+
+def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mapping per (lang, source): code prefix ``pkg/<source>`` (so
+    ``pkg/src1`` also covers ``pkg/src10``..), docs = the ``.md`` paths of the
+    group's documents with doc_id % 3 = 0 (some of which are ``.txt`` files
+    and so do not exist as ``.md``)."""
+    d = table(spark, sf_dir, "documents")
+    named = F.when(
+        F.col("doc_id") % 3 == 0,
+        F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")),
+    )
+    return d.groupBy(F.col("lang").alias("repo"), "source").agg(
+        F.min("doc_id").alias("mapping_id"),
+        F.collect_list(named).alias("docs"),
+    ).select("repo", "mapping_id", "docs", F.array(F.concat(F.lit("pkg/"), F.col("source"))).alias("code"))
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative paths from page URLs, with ``..`` and ``/`` variants by
+    page_id % 4."""
+    p = table(spark, sf_dir, "pages")
+    tail = F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1)
+    m = F.col("page_id") % 4
+    path = (
+        F.when(m == 0, tail)
+        .when(m == 1, F.concat(F.lit("../"), tail))
+        .when(m == 2, F.concat(F.lit("a/../"), tail))
+        .otherwise(F.concat(F.lit("/x/../../"), tail))
+    )
+    return p.select("page_id", path.alias("path"))

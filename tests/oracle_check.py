@@ -96,7 +96,7 @@ def main():
         try:
             r = compare(spark, con, sf_dir, k, qs, os_)
         except Exception as e:  # report and continue
-            r = {"key": k, "error": repr(e)[:2000]}
+            r = {"key": k, "error": (type(e).__name__ + ": " + str(e))[:1500]}
         ok = r.get("oracle") == "none" or (r.get("rows_match") and r.get("cols_match") and r.get("hash_match"))
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + str(r), flush=True)
