@@ -246,3 +246,66 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("/x/../../"), tail))
     )
     return p.select("page_id", path.alias("path"))
+
+
+# --- replies (documents) --------------------------------------------------------
+
+EDIT_T = "struct<file:string,action:string,old_text:string,new_text:string>"
+
+
+def _edit(file_, action, old, new):
+    return F.struct(file_.alias("file"), F.lit(action).alias("action"), old.alias("old_text"), new.alias("new_text"))
+
+
+def edit_list(path, text, doc_id):
+    """The edits a reply carries for one document, in order: replace the
+    first word by its upper-case form, insert a note after it, delete text
+    that is absent, an unknown action, and (doc_id % 5 = 0) a delete of the
+    last 60 % of the text, (doc_id % 4 = 1) an edit naming another file."""
+    w = F.regexp_extract(text, r"^(\S+)", 1)
+    note = F.concat(F.lit("Note "), doc_id.cast("string"))
+    cut = F.floor(F.length(text) * 0.4).cast("int") + 1
+    items = F.array(
+        _edit(path, "replace", w, F.upper(w)),
+        _edit(path, "insert_after", F.upper(w), note),
+        _edit(path, "delete", F.concat(F.lit("absent text "), doc_id.cast("string")), F.lit("")),
+        _edit(path, "rewrite", w, F.lit("x")),
+        F.when(doc_id % 5 == 0, _edit(path, "delete", F.substring(text, cut, 1 << 30), F.lit(""))),
+        F.when(doc_id % 4 == 1, _edit(F.lit("other.md"), "replace", w, F.lit("y"))),
+    )
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def reply_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reply body per document (repo = lang, path as in
+    ``docs_table``), shaped by doc_id % 7: 0 plain, 1 fenced, 2 fenced
+    without newline (undecodable), 3 truncated, 4 empty content, 5 no
+    choices, 6 ``{"edits": null}`` with an extra key."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    path = F.concat(
+        F.lit("docs/"), F.col("source"), F.lit("/"), k.cast("string"),
+        F.when(k % 9 == 0, F.lit(".txt")).otherwise(F.lit(".md")),
+    )
+    edits_json = F.to_json(F.struct(edit_list(path, F.col("text"), k).alias("edits")))
+    m = k % 7
+    content = (
+        F.when(m == 1, F.concat(F.lit("```json\n"), edits_json, F.lit("\n```")))
+        .when(m == 2, F.concat(F.lit("```"), edits_json, F.lit("```")))
+        .when(m == 4, F.lit(""))
+        .when(m == 6, F.lit(' {"edits": null, "reason": "none"} '))
+        .otherwise(edits_json)
+    )
+    choice = F.struct(
+        F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"),
+        F.when(m == 3, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
+    )
+    choices = F.when(m == 5, F.array().cast(f"array<{choice_type()}>")).otherwise(F.array(choice))
+    ptok = (F.octet_length("text") / 4).cast("int")
+    usage = F.struct(ptok.alias("prompt_tokens"), F.lit(50).alias("completion_tokens"), (ptok + 50).alias("total_tokens"))
+    body = F.to_json(F.struct(choices.alias("choices"), usage.alias("usage")))
+    return d.select(F.col("lang").alias("repo"), path.alias("path"), k.alias("doc_id"), body.alias("body"))
+
+
+def choice_type() -> str:
+    return "struct<message:struct<role:string,content:string>,finish_reason:string>"
