@@ -20,14 +20,33 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Bind ``value`` once and use it in ``body(v)``.
+
+    A one-element ``transform``: the value is computed once however often
+    ``body`` reads it, and however often the optimizer copies the whole
+    expression (for example when a filter on it is pushed below a
+    projection)."""
+    return F.element_at(F.transform(F.array(col_(value)), body), 1)
+
+
+# The same set as characters, for ``btrim`` (which only looks at the ends,
+# unlike a regular expression that scans the whole text).
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trim_space(c) -> Column:
     """Strip leading and trailing white space (Unicode-aware)."""
-    return F.regexp_replace(col_(c), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(col_(c), F.lit(SPACE_CHARS))
 
 
 def rtrim_newlines(c) -> Column:
     """Strip trailing ``\\n`` characters only."""
-    return F.regexp_replace(col_(c), r"\n+$", "")
+    return F.rtrim(col_(c), F.lit("\n"))
 
 
 def byte_len(c) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains, replace_first, trim_space
+from ..functions.text import contains, let, trim_space
 
 LOG_T = "array<struct<seq:int,file:string,action:string,old_text:string,new_text:string,file_len:int,applied:boolean,error:string>>"
 
@@ -25,33 +25,43 @@ def _step(path: Column):
         action = F.coalesce(e["action"], F.lit(""))
         old = F.coalesce(e["old_text"], F.lit(""))
         new = F.coalesce(e["new_text"], F.lit(""))
-        found = contains(c, old)
-        error = (
-            F.when(file_ != path, F.lit("unknown_file"))
-            .when(action.isin("replace", "delete") & ~found, F.lit("not_found"))
-            .when((action == "insert_after") & ~found, F.lit("anchor_not_found"))
-            .when((action == "insert_after") & contains(c, trim_space(new)), F.lit("duplicate"))
-            .when(~action.isin("replace", "delete", "insert_after"), F.lit("unknown_action"))
-        )
-        applied = (
-            F.when(action == "replace", replace_first(c, old, new))
-            .when(action == "delete", replace_first(c, old, F.lit("")))
-            .otherwise(replace_first(c, old, F.concat(old, F.lit("\n"), new)))
-        )
-        entry = F.struct(
-            e["seq"].alias("seq"),
-            file_.alias("file"),
-            action.alias("action"),
-            old.alias("old_text"),
-            new.alias("new_text"),
-            F.octet_length(c).alias("file_len"),
-            error.isNull().alias("applied"),
-            error.alias("error"),
-        )
-        return F.struct(
-            F.when(error.isNull(), applied).otherwise(c).alias("content"),
-            F.concat(acc["log"], F.array(entry)).alias("log"),
-        )
+
+        def with_pos(pos):
+            def with_error(error):
+                insert_text = F.when(action == "insert_after", F.concat(old, F.lit("\n"), new)).when(
+                    action == "replace", new
+                ).otherwise(F.lit(""))
+                applied = F.concat(
+                    F.substring(c, F.lit(1), pos - 1),
+                    insert_text,
+                    F.substring(c, pos + F.length(old), F.lit(2147483647)),
+                )
+                entry = F.struct(
+                    e["seq"].alias("seq"),
+                    file_.alias("file"),
+                    action.alias("action"),
+                    old.alias("old_text"),
+                    new.alias("new_text"),
+                    F.octet_length(c).alias("file_len"),
+                    error.isNull().alias("applied"),
+                    error.alias("error"),
+                )
+                return F.struct(
+                    F.when(error.isNull(), applied).otherwise(c).alias("content"),
+                    F.concat(acc["log"], F.array(entry)).alias("log"),
+                )
+
+            found = pos > 0
+            error = (
+                F.when(file_ != path, F.lit("unknown_file"))
+                .when(~action.isin("replace", "delete", "insert_after"), F.lit("unknown_action"))
+                .when(~found & (action == "insert_after"), F.lit("anchor_not_found"))
+                .when(~found, F.lit("not_found"))
+                .when((action == "insert_after") & contains(c, trim_space(new)), F.lit("duplicate"))
+            )
+            return let(error, with_error)
+
+        return let(F.instr(c, old), with_pos)
 
     return step
 

@@ -18,14 +18,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.diff import kind_label
 
 PARAM_T = "array<struct<name:string,type:string>>"
 FIELD_T = "array<struct<name:string,type:string,doc:string>>"
 
 
+# Tables whose rows carry long texts, with the column to spread them by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one driver table. A text table that arrives in fewer input
+    splits than the cluster has cores (a single Parquet row group) is
+    hash-spread on its key so the per-row text work runs in parallel; a
+    large table already has enough splits and is left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = TEXT_TABLES.get(name)
+    if key is not None:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, key)
+    return df
 
 
 # --- generic keyed rows (part) ---------------------------------------------
@@ -262,18 +277,21 @@ def edit_list(path, text, doc_id):
     first word by its upper-case form, insert a note after it, delete text
     that is absent, an unknown action, and (doc_id % 5 = 0) a delete of the
     last 60 % of the text, (doc_id % 4 = 1) an edit naming another file."""
-    w = F.regexp_extract(text, r"^(\S+)", 1)
     note = F.concat(F.lit("Note "), doc_id.cast("string"))
     cut = F.floor(F.length(text) * 0.4).cast("int") + 1
-    items = F.array(
-        _edit(path, "replace", w, F.upper(w)),
-        _edit(path, "insert_after", F.upper(w), note),
-        _edit(path, "delete", F.concat(F.lit("absent text "), doc_id.cast("string")), F.lit("")),
-        _edit(path, "rewrite", w, F.lit("x")),
-        F.when(doc_id % 5 == 0, _edit(path, "delete", F.substring(text, cut, 1 << 30), F.lit(""))),
-        F.when(doc_id % 4 == 1, _edit(F.lit("other.md"), "replace", w, F.lit("y"))),
-    )
-    return F.filter(items, lambda x: x.isNotNull())
+
+    def with_word(w):
+        items = F.array(
+            _edit(path, "replace", w, F.upper(w)),
+            _edit(path, "insert_after", F.upper(w), note),
+            _edit(path, "delete", F.concat(F.lit("absent text "), doc_id.cast("string")), F.lit("")),
+            _edit(path, "rewrite", w, F.lit("x")),
+            F.when(doc_id % 5 == 0, _edit(path, "delete", F.substring(text, cut, 1 << 30), F.lit(""))),
+            F.when(doc_id % 4 == 1, _edit(F.lit("other.md"), "replace", w, F.lit("y"))),
+        )
+        return F.filter(items, lambda x: x.isNotNull())
+
+    return let(F.regexp_extract(text, r"^(\S+)", 1), with_word)
 
 
 def reply_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,14 +305,14 @@ def reply_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("docs/"), F.col("source"), F.lit("/"), k.cast("string"),
         F.when(k % 9 == 0, F.lit(".txt")).otherwise(F.lit(".md")),
     )
-    edits_json = F.to_json(F.struct(edit_list(path, F.col("text"), k).alias("edits")))
     m = k % 7
-    content = (
-        F.when(m == 1, F.concat(F.lit("```json\n"), edits_json, F.lit("\n```")))
+    content = let(
+        F.to_json(F.struct(edit_list(path, F.col("text"), k).alias("edits"))),
+        lambda edits_json: F.when(m == 1, F.concat(F.lit("```json\n"), edits_json, F.lit("\n```")))
         .when(m == 2, F.concat(F.lit("```"), edits_json, F.lit("```")))
         .when(m == 4, F.lit(""))
         .when(m == 6, F.lit(' {"edits": null, "reason": "none"} '))
-        .otherwise(edits_json)
+        .otherwise(edits_json),
     )
     choice = F.struct(
         F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"),

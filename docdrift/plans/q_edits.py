@@ -20,7 +20,7 @@ def _gated(spark, sf):
 
 
 def _decoded(spark, sf):
-    return SR.decode_edits(_gated(spark, sf).filter(F.col("reply_status") == "ok"))
+    return SR.decode_edits(_gated(spark, sf)).filter(F.col("reply_status") == "ok")
 
 
 def _applied(spark, sf):
