@@ -273,8 +273,8 @@ def _edit(file_, action, old, new):
 
 
 def edit_list(path, text, doc_id):
-    """The edits a reply carries for one document, in order: replace the
-    first word by its upper-case form, insert a note after it, delete text
+    """The edits a reply carries for one document, in order: put the first
+    word in brackets, insert a note after it, delete text
     that is absent, an unknown action, and (doc_id % 5 = 0) a delete of the
     last 60 % of the text, (doc_id % 4 = 1) an edit naming another file."""
     note = F.concat(F.lit("Note "), doc_id.cast("string"))
@@ -282,8 +282,8 @@ def edit_list(path, text, doc_id):
 
     def with_word(w):
         items = F.array(
-            _edit(path, "replace", w, F.upper(w)),
-            _edit(path, "insert_after", F.upper(w), note),
+            _edit(path, "replace", w, F.concat(F.lit("["), w, F.lit("]"))),
+            _edit(path, "insert_after", F.concat(F.lit("["), w, F.lit("]")), note),
             _edit(path, "delete", F.concat(F.lit("absent text "), doc_id.cast("string")), F.lit("")),
             _edit(path, "rewrite", w, F.lit("x")),
             F.when(doc_id % 5 == 0, _edit(path, "delete", F.substring(text, cut, 1 << 30), F.lit(""))),
@@ -327,3 +327,47 @@ def reply_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def choice_type() -> str:
     return "struct<message:struct<role:string,content:string>,finish_reason:string>"
+
+
+# --- attempt log (events) and change summaries (documents) -----------------------
+
+# The reply bodies of the attempt log, by event type.
+ATTEMPT_BODIES = {
+    "error": '{"error": {"message": "maximum context length exceeded", "type": "invalid_request_error", "code": "context_length"}}',
+    "view": '{"choices": [{"message": {"role": "assistant", "content": "{}"}, "finish_reason": "stop"}]}',
+    "click": '{"error": {"message": "slow down", "type": "rate", "code": "429"}}',
+    "purchase": '{"choices": []}',
+}
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attempt log: four consecutive events form one request
+    (attempt = event_id % 4); status by (user_id + event_id) % 7; the body
+    by event type; a numeric Retry-After for clicks."""
+    e = table(spark, sf_dir, "events")
+    s = (F.col("user_id") + F.col("event_id")) % 7
+    status = (
+        F.when(s == 0, 200).when(s == 1, 429).when(s == 2, 500).when(s == 3, 400)
+        .when(s == 4, 401).when(s == 5, 0).otherwise(503)
+    )
+    body = F.lit(None).cast("string")
+    for et, b in ATTEMPT_BODIES.items():
+        body = F.when(F.col("event_type") == et, F.lit(b)).otherwise(body)
+    body = F.coalesce(body, F.concat(F.lit("upstream "), F.col("event_type"), F.lit(" "), F.col("props")))
+    return e.select(
+        F.concat(F.lit("q"), F.floor(F.col("event_id") / 4).cast("bigint").cast("string")).alias("request_id"),
+        (F.col("event_id") % 4).cast("int").alias("attempt"),
+        status.cast("int").alias("status"),
+        F.when(F.col("event_type") == "click", F.floor("value").cast("int").cast("string")).otherwise(F.lit("soon")).alias("retry_after"),
+        body.alias("body"),
+    )
+
+
+def change_summaries(changed: DataFrame) -> DataFrame:
+    """Per repository, the changed source paths as ``<change> <path>`` lines
+    in path order. One text per repository is the product itself (it goes
+    into every request of that repository)."""
+    line = F.concat(F.col("change"), F.lit(" "), F.col("path"))
+    return changed.groupBy("repo").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), "\n").alias("summary")
+    )

@@ -54,8 +54,8 @@ def edit_sql(file_: str, action: str, old: str, new: str) -> str:
 
 _W = r"regexp_extract(text, '^(\S+)', 1)"
 _EDITS = f"""list_filter([
-    {edit_sql('path', 'replace', _W, f'upper({_W})')},
-    {edit_sql('path', 'insert_after', f'upper({_W})', "'Note ' || CAST(doc_id AS VARCHAR)")},
+    {edit_sql('path', 'replace', _W, f"'[' || {_W} || ']'")},
+    {edit_sql('path', 'insert_after', f"'[' || {_W} || ']'", "'Note ' || CAST(doc_id AS VARCHAR)")},
     {edit_sql('path', 'delete', "'absent text ' || CAST(doc_id AS VARCHAR)", "''")},
     {edit_sql('path', 'rewrite', _W, "'x'")},
     CASE WHEN doc_id % 5 = 0 THEN {edit_sql('path', 'delete', 'substring(text, CAST(floor(length(text) * 0.4) AS BIGINT) + 1)', "''")} END,
