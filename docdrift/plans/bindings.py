@@ -371,3 +371,73 @@ def change_summaries(changed: DataFrame) -> DataFrame:
     return changed.groupBy("repo").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), "\n").alias("summary")
     )
+
+
+# --- generated source corpus (supplier) ----------------------------------------
+
+
+def go_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated, gofmt-shaped Go file per supplier (repo = 'r' +
+    nationkey % 5, path ``pkg/s<k>.go``): a function with a multi-line
+    parameter list when k % 4 = 0, a struct with docs, embedded and
+    multi-name fields, a method, a const group, an ungrouped var, an
+    interface with an embedded interface, an alias, a type definition and
+    a function with func-typed, channel and variadic parameters. Files with
+    k % 10 = 7 lack the package clause (parse failure)."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    nk = F.col("s_nationkey").cast("string")
+
+    def L(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    get_single = L("func Get", k, "(id int, name string) (*Supplier", k, ", error) {")
+    get_multi = L("func Get", k, "(\n\tid, nation int,\n\tname string,\n) (*Supplier", k, ", error) {")
+    lines = [
+        L("// Package p", k, " holds supplier ", k, "."),
+        F.when(F.col("s_suppkey") % 10 == 7, F.lit("// no package clause")).otherwise(L("package p", k)),
+        F.lit(""),
+        F.lit('import (\n\t"fmt"\n)'),
+        F.lit(""),
+        L("// Get", k, " returns supplier ", k, "."),
+        F.lit("// It never fails."),
+        F.when(F.col("s_suppkey") % 4 == 0, get_multi).otherwise(get_single),
+        F.lit("\treturn nil, nil\n}"),
+        F.lit(""),
+        L("// Supplier", k, " is one supplier."),
+        L("type Supplier", k, " struct {"),
+        F.lit("\t// ID is the key.\n\tID   int\n\tName string // display name\n\thidden int\n\tNation\n\tA, B float64\n}"),
+        F.lit(""),
+        F.lit("// Balance returns the account balance."),
+        L("func (s *Supplier", k, ") Balance() float64 {"),
+        L("\treturn ", F.col("s_acctbal").cast("string"), "\n}"),
+        F.lit(""),
+        L("// Limits of supplier ", k, "."),
+        F.lit("const ("),
+        L("\t// MaxItems", k, " caps items."),
+        L("\tMaxItems", k, " = ", nk),
+        L("\tminItems", k, " = 1"),
+        L("\tLabel", k, "    string = \"", F.col("s_name"), "\""),
+        F.lit(")"),
+        F.lit(""),
+        L("var Default", k, " = Supplier", k, "{}"),
+        F.lit(""),
+        L("// Reader", k, " reads."),
+        L("type Reader", k, " interface {"),
+        F.lit("\tRead(p []byte) (n int, err error)\n\tfmt.Stringer\n}"),
+        F.lit(""),
+        L("type ID", k, " = int64"),
+        F.lit(""),
+        L("type Count", k, " int"),
+        F.lit(""),
+        L("func Apply", k, "(f func(int) error, ch chan int, opts ...string) (ok bool) {"),
+        F.lit("\treturn true\n}"),
+        F.lit(""),
+        L("func helper", k, "() {}"),
+        F.lit(""),
+    ]
+    return s.select(
+        F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("repo"),
+        L("pkg/s", k, ".go").alias("path"),
+        F.concat_ws("\n", *lines).alias("content"),
+    )
