@@ -20,6 +20,25 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_MEMO: dict = {}
+
+
+def memo_column(key: str, build) -> Column:
+    """Build a large expression once per Spark application and reuse it.
+
+    Only for expressions that refer to input columns by name: building a
+    deep expression tree costs one JVM call per node, which is paid once
+    instead of on every plan."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc is not None else None, key)
+    c = _MEMO.get(k)
+    if c is None:
+        c = _MEMO[k] = build()
+    return c
+
+
 def let(value, body) -> Column:
     """Bind ``value`` once and use it in ``body(v)``.
 

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let, memo_column
+from ..session import cut_lineage
 from .nested import compare_symbols
 
 # Declaration kind labels by ordinal, and change kinds by ordinal.
@@ -121,30 +123,42 @@ def diff_modified(old: DataFrame, new: DataFrame, keys: list[str], compare_cols:
 _CMP_FIELDS = ["kind", "signature", "recv", "params", "returns", "fields", "methods"]
 
 
+_SYMBOL_DEFAULTS = {
+    "repo": ("string", ""),
+    "path": ("string", ""),
+    "ordinal": ("int", 0),
+    "name": ("string", ""),
+    "kind": ("string", "unknown"),
+    "signature": ("string", ""),
+    "doc": ("string", ""),
+    "recv": ("string", ""),
+    "params": ("array<struct<name:string,type:string>>", None),
+    "returns": ("array<struct<name:string,type:string>>", None),
+    "fields": ("array<struct<name:string,type:string,doc:string>>", None),
+    "methods": ("array<struct<name:string,type:string,doc:string>>", None),
+    "grp": ("string", ""),
+}
+
+
 def _normalise_symbols(df: DataFrame) -> DataFrame:
-    s = "string"
-    return df.select(
-        F.coalesce("repo", F.lit("")).alias("repo"),
-        F.coalesce("path", F.lit("")).alias("path"),
-        F.coalesce("ordinal", F.lit(0)).cast("int").alias("ordinal"),
-        F.coalesce("name", F.lit("")).alias("name"),
-        F.coalesce("kind", F.lit("unknown")).alias("kind"),
-        F.coalesce("signature", F.lit("")).cast(s).alias("signature"),
-        F.coalesce("doc", F.lit("")).alias("doc"),
-        F.coalesce("recv", F.lit("")).alias("recv"),
-        F.coalesce("params", F.array().cast("array<struct<name:string,type:string>>")).alias("params"),
-        F.coalesce("returns", F.array().cast("array<struct<name:string,type:string>>")).alias("returns"),
-        F.coalesce("fields", F.array().cast("array<struct<name:string,type:string,doc:string>>")).alias("fields"),
-        F.coalesce("methods", F.array().cast("array<struct<name:string,type:string,doc:string>>")).alias("methods"),
-        F.coalesce("grp", F.lit("")).alias("grp"),
-    )
+    """Coalesce every declaration column to its empty value (Go has no null
+    strings); missing optional columns are added empty."""
+    cols = []
+    for c, (t, default) in _SYMBOL_DEFAULTS.items():
+        empty = F.array().cast(t) if default is None else F.lit(default).cast(t)
+        src = F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)
+        cols.append(F.coalesce(src, empty).alias(c))
+    return df.select(*cols)
 
 
 def shape_key(sym: str = "sym") -> Column:
     """What must be equal for a removed/added pair to count as a rename:
     kind, receiver, parameter types, result types, field names and types.
     Hashed (SHA-256 of its JSON) so it is a compact join/partition key."""
-    s = F.col(sym)
+    return _shape(F.col(sym))
+
+
+def _shape(s: Column) -> Column:
     shape = F.struct(
         s["kind"].alias("k"),
         s["recv"].alias("r"),
@@ -188,28 +202,38 @@ def symbol_diff(
     j = o.join(n, SYMBOL_KEYS, "full_outer")
 
     empty = F.array().cast("array<struct<ord:int,aspect:string,description:string>>")
-    both = F.col("o").isNotNull() & F.col("n").isNotNull()
-    changes = F.when(both & (_cmp_view(F.col("o")) != _cmp_view(F.col("n"))), compare_symbols("o", "n")).otherwise(empty)
-    j = j.withColumn("changes", changes)
-    change_ord = (
-        F.when(F.col("o").isNull(), 0)
-        .when(F.col("n").isNull(), 1)
-        .when(F.size("changes") > 0, 2)
-    )
-    j = j.withColumn("change_ord", change_ord).filter(F.col("change_ord").isNotNull())
-    j = j.withColumn("sym", F.when(F.col("change_ord") == 1, F.col("o")).otherwise(F.col("n")))
+
+    def classify(x):
+        o_, n_ = x["o"], x["n"]
+        both = o_.isNotNull() & n_.isNotNull()
+        changes = F.when(both & (_cmp_view(o_) != _cmp_view(n_)), compare_symbols(o_, n_)).otherwise(empty)
+
+        def with_changes(ch):
+            change_ord = F.when(o_.isNull(), 0).when(n_.isNull(), 1).when(F.size(ch) > 0, 2)
+            return F.struct(ch.alias("changes"), change_ord.alias("change_ord"))
+
+        return let(changes, with_changes)
+
+    # the comparison runs once per pair (``let``), also where a filter on
+    # its result is pushed below this projection
+    j = j.select(*SYMBOL_KEYS, "o", "n", memo_column("symbol_classify", lambda: let(F.struct("o", "n"), classify)).alias("_r"))
+    j = j.select(*SYMBOL_KEYS, "o", "n", F.col("_r.changes").alias("changes"), F.col("_r.change_ord").alias("change_ord"))
+    j = j.filter(F.col("change_ord").isNotNull())
+    sym = F.when(F.col("change_ord") == 1, F.col("o")).otherwise(F.col("n"))
     diffs = j.select(
         *SYMBOL_KEYS,
         F.lit("").alias("old_name"),
         F.col("change_ord"),
-        F.col("sym")["kind"].alias("kind"),
-        F.col("sym")["signature"].alias("signature"),
+        sym["kind"].alias("kind"),
+        sym["signature"].alias("signature"),
         F.when(F.col("change_ord") == 0, F.lit("")).otherwise(F.col("o")["signature"]).alias("old_signature"),
         F.col("changes"),
-        F.when(F.col("change_ord") < 2, shape_key("sym")).alias("shape"),
+        F.when(F.col("change_ord") < 2, _shape(sym)).alias("shape"),
     )
     if renames:
-        diffs = detect_renames(diffs, max_group_rows=max_group_rows)
+        # the diff feeds the pairing several times (class sizes, both rounds,
+        # unpaired rows): store it once instead of recomputing the join
+        diffs = detect_renames(cut_lineage(diffs), max_group_rows=max_group_rows)
     return diffs.select(
         *SYMBOL_KEYS,
         "old_name",

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, upper_initial
+from ..functions.text import let, memo_column, upper_initial
 from .changes import split_lines
 from .diff import SYMBOL_KEYS
 
@@ -279,8 +279,13 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
             F.max(F.when(F.col("line_no") == F.col("block"), F.col("doc_above"))).alias("doc"),
         )
     )
-    h = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_h"), r"\(\s+", "("), r",?\s*\)", ")"), r"\s+", " ")
-    fns = fn_hdr.select("repo", "path", "block", "doc", parse_func_header(h).alias("f")).select(
+    fn_header = memo_column(
+        "func_header",
+        lambda: parse_func_header(
+            F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_h"), r"\(\s+", "("), r",?\s*\)", ")"), r"\s+", " ")
+        ),
+    )
+    fns = fn_hdr.select("repo", "path", "block", "doc", fn_header.alias("f")).select(
         "repo", "path", F.col("block").alias("ordinal"),
         F.when(F.col("f.recv_text") != "", F.concat(F.col("f.recv"), F.lit("."), F.col("f.name"))).otherwise(F.col("f.name")).alias("name"),
         F.when(F.col("f.recv_text") != "", F.lit("method")).otherwise(F.lit("func")).alias("kind"),
@@ -326,7 +331,7 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
         "repo", "path", "spec_line", "line_no", "m",
         F.array(
             let(
-                parse_func_header(F.concat(F.lit("func "), F.col("m"))),
+                memo_column("method_header", lambda: parse_func_header(F.concat(F.lit("func "), F.col("m")))),
                 lambda f: F.struct(
                     f["name"].alias("name"),
                     F.concat(F.lit("func"), F.regexp_replace(F.col("m"), r"^[A-Za-z_]\w*", "")).alias("type"),

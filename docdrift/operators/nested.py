@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import col_, go_quote
+from ..functions.text import col_, go_quote, let
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -187,11 +187,12 @@ def _tag(arr: Column, aspect: str) -> Column:
 ASPECTS = ["kind", "params", "returns", "fields", "methods", "receiver", "signature"]
 
 
-def compare_symbols(o: str = "o", n: str = "n") -> Column:
+def compare_symbols(o="o", n="n") -> Column:
     """All sub-changes of one symbol pair as ``ARRAY<STRUCT<ord, aspect,
     description>>`` in the fixed order kind, params, returns, fields,
-    methods, receiver, signature. ``o`` and ``n`` name struct columns."""
-    oc, nc = F.col(o), F.col(n)
+    methods, receiver, signature. ``o`` and ``n`` are struct columns (or
+    their names)."""
+    oc, nc = col_(o), col_(n)
     parts = [
         ("kind", cmp_kind(oc["kind"], nc["kind"])),
         ("params", cmp_params(oc["params"], nc["params"])),
@@ -201,10 +202,11 @@ def compare_symbols(o: str = "o", n: str = "n") -> Column:
         ("receiver", cmp_receiver(oc["recv"], nc["recv"])),
     ]
     tagged = [_tag(arr, aspect) for aspect, arr in parts]
-    found = F.concat(*tagged)
-    sig = _tag(cmp_signature(oc["signature"], nc["signature"], found), "signature")
-    allc = F.concat(found, sig)
-    return F.transform(
-        allc,
-        lambda c, i: F.struct(i.alias("ord"), c["aspect"].alias("aspect"), c["description"].alias("description")),
-    )
+    def with_found(found):
+        sig = _tag(cmp_signature(oc["signature"], nc["signature"], found), "signature")
+        return F.transform(
+            F.concat(found, sig),
+            lambda c, i: F.struct(i.alias("ord"), c["aspect"].alias("aspect"), c["description"].alias("description")),
+        )
+
+    return let(F.concat(*tagged), with_found)

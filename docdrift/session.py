@@ -45,3 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and continue from
+    the stored copy (reliable against lost executors; never a local-only
+    checkpoint). Used where a result feeds several consumers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
