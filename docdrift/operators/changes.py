@@ -35,10 +35,13 @@ def normalise_content(c, trim_old: bool = True):
 
 def changed_files(old: DataFrame, new: DataFrame, trim_old: bool = True) -> DataFrame:
     """``repo, path, old_content, new_content`` for changed paths; the
-    missing side is ``''``."""
+    missing side is ``''``. Snapshots hold one row per ``(repo, path)``."""
     ch = changed_paths(old, new)
-    oc = old.select(*KEYS, F.col("content").alias("_oc")).dropDuplicates(KEYS)
-    nc = new.select(*KEYS, F.col("content").alias("_nc")).dropDuplicates(KEYS)
+    keys = ch.select(*KEYS)
+    # texts of changed paths only: the (usually small) changed-key side is
+    # the semi-join's build side, so unchanged texts are never shuffled
+    oc = old.select(*KEYS, F.col("content").alias("_oc")).join(keys, KEYS, "left_semi")
+    nc = new.select(*KEYS, F.col("content").alias("_nc")).join(keys, KEYS, "left_semi")
     out = ch.join(oc, KEYS, "left").join(nc, KEYS, "left")
     return out.select(
         *KEYS,

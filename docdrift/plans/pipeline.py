@@ -25,6 +25,7 @@ from ..operators import validate as V
 from ..sources import docs as SD
 from ..sources import replies as SR
 from ..sources import snapshots as SS
+from ..session import cut_lineage
 
 
 def plan_updates(
@@ -47,7 +48,7 @@ def plan_updates(
     files = C.changed_files(old_src, new_src)
     old_syms = MI.mine_declarations(files.select("repo", "path", F.col("old_content").alias("content"))).drop("exported")
     new_syms = MI.mine_declarations(files.select("repo", "path", F.col("new_content").alias("content"))).drop("exported")
-    diffs = D.symbol_diff(old_syms, new_syms).checkpoint()
+    diffs = cut_lineage(D.symbol_diff(old_syms, new_syms))
     repos = files.select("repo").distinct()
     summary = A.summary_compact(diffs, repos)
     with_api_change = summary.filter(F.col("summary") != A.NO_CHANGES)

@@ -50,8 +50,9 @@ def scan_docs(
 ) -> DataFrame:
     """``docs(repo, path, content)`` restricted to paths ending with
     ``suffix`` that equal a configured root or sit below one
-    (``roots(repo, root)``), minus ``excludes(repo, path)``; one row per
-    ``(repo, path)``. Roots that match nothing are skipped silently.
+    (``roots(repo, root)``), minus ``excludes(repo, path)``. ``docs`` holds
+    one row per ``(repo, path)`` (as a file listing does); so does the
+    result. Roots that match nothing are skipped silently.
 
     Prefix tests become equi-joins: the distinct parent directories of the
     documents (far fewer than documents, de-duplicated map-side) are
@@ -80,7 +81,10 @@ def scan_docs(
     )
     if excludes is not None:
         kept = kept.join(excludes.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
-    return kept.dropDuplicates(["repo", "path"])
+    # one row per (repo, path) in, one out: both joins above are to
+    # de-duplicated tables, so no document is repeated however many roots
+    # cover it (no re-shuffle of document texts to de-duplicate)
+    return kept
 
 
 def mapping_pairs(mappings: DataFrame) -> DataFrame:
