@@ -48,8 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder and continue from
-    the stored copy (reliable against lost executors; never a local-only
-    checkpoint). Used where a result feeds several consumers."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and
+    continue from the stored copy (reliable against lost executors; never a
+    local-only checkpoint). Used where a result feeds several consumers.
+
+    Written once as a table (an RDD checkpoint would compute the data twice,
+    once for the action and once for the checkpoint file), and read back with
+    statistics for the optimizer."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/docdrift-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..operators import changes as C
 from ..operators import diff as D
 from ..operators import mining as MI
+from ..session import cut_lineage
 from ..sources import snapshots as SS
 
 ARRIVING = T.StructType(
@@ -58,9 +59,9 @@ def diff_batch(batch: DataFrame, batch_id: int, store: str, out: str, suffix: st
     )
     kept = cur.join(new.select("repo", "path"), ["repo", "path"], "left_anti")
     merged = kept.unionByName(new.select(*kept.columns))
-    # write the merged current version beside the store, then swap by
-    # overwriting: the read above is complete before this write starts
-    merged.checkpoint(eager=True).write.mode("overwrite").parquet(store)
+    # the merged version is first stored in the checkpoint folder, so the
+    # overwrite below no longer reads the files it replaces
+    cut_lineage(merged).write.mode("overwrite").parquet(store)
 
 
 def start(

@@ -2,10 +2,17 @@
 
 import json
 import re
+import sys
 import tempfile
 
+from pyspark import cloudpickle
+
 from docdrift.plans import pipeline as P
 
+# the completers below run in Python workers, which cannot import this test
+# module: ship them by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def completer(request: str) -> str:
     req = json.loads(request)
