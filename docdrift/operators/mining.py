@@ -59,9 +59,10 @@ def top_groups(s) -> Column:
     """Split ``s`` at its depth-0 parentheses: ``struct(groups
     array<struct<pre, inner>>, tail)`` where ``pre`` is the text before each
     top-level ``(...)`` and ``inner`` its content."""
+    # buf is null outside a group and the group's text inside one
     zero = F.struct(
         F.lit(0).alias("d"),
-        F.lit("").alias("buf"),
+        F.lit(None).cast("string").alias("buf"),
         F.lit("").alias("pre"),
         F.array().cast("array<struct<pre:string,inner:string>>").alias("g"),
     )
@@ -92,7 +93,6 @@ def top_groups(s) -> Column:
             F.struct(nd.alias("d"), acc["buf"].alias("buf"), F.concat(acc["pre"], ch).alias("pre"), acc["g"].alias("g"))
         )
 
-    zero = zero.withField("buf", F.lit(None).cast("string"))
     return F.aggregate(
         F.split(s, ""), zero, step, lambda acc: F.struct(acc["g"].alias("groups"), acc["pre"].alias("tail"))
     )
@@ -154,10 +154,8 @@ def parse_func_header(header) -> Column:
         named = F.try_element_at(gs, k)
         name = F.regexp_extract(named["pre"], r"([A-Za-z_]\w*)\s*(\[.*\])?\s*$", 1)
         recv_text = F.when(has_recv, F.try_element_at(gs, F.lit(1))["inner"]).otherwise(F.lit(""))
+        # "s *T" or "*T": drop the receiver name, then one "*"
         recv_type = F.regexp_replace(squeeze(F.regexp_replace(recv_text, r"^\s*[A-Za-z_]\w*\s+(?=\S)", "")), r"^\*", "")
-        recv_type = F.when(F.size(split_top(recv_text)) == 0, F.lit("")).otherwise(
-            F.when(recv_text.rlike(r"^\s*[A-Za-z_]\w*\s+\S"), recv_type).otherwise(F.regexp_replace(squeeze(recv_text), r"^\*", ""))
-        )
         res_group = F.try_element_at(gs, k + 1)
         tail = F.when(res_group.isNotNull(), res_group["pre"]).otherwise(tg["tail"])
         bare = squeeze(F.regexp_replace(F.coalesce(tg["tail"], F.lit("")), r"\s*\{[^{}]*\}?\s*$", ""))

@@ -29,13 +29,14 @@ FIELD_T = "array<struct<name:string,type:string,doc:string>>"
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table. A text table that arrives in fewer input
-    splits than the cluster has cores (a single Parquet row group) is
-    hash-spread on its key so the per-row text work runs in parallel; a
-    large table already has enough splits and is left alone."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read one driver table. With ``spread``, a text table that arrives in
+    fewer input splits than the cluster has cores (a single Parquet row
+    group) is hash-spread on its key so heavy per-row text work runs in
+    parallel; a large table already has enough splits and is left alone.
+    Reads that only need keys and labels are not spread."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = TEXT_TABLES.get(name)
+    key = TEXT_TABLES.get(name) if spread else None
     if key is not None:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
@@ -176,7 +177,7 @@ def code_snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Source files: one per document, repo = lang, path under
     ``pkg/<source>/``; content is the document text plus a final newline.
     The new version appends a line to residue-2 files."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     k = F.col("doc_id")
     r = k % 10
     path = F.concat(F.lit("pkg/"), F.col("source"), F.lit("/f"), k.cast("string"), _ext(k))
@@ -197,7 +198,7 @@ def code_snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: repo = lang, path ``docs/<source>/<doc_id>.md`` (``.txt``
     for doc_id % 9 = 0)."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     k = F.col("doc_id")
     ext = F.when(k % 9 == 0, F.lit(".txt")).otherwise(F.lit(".md"))
     return d.select(
@@ -299,7 +300,7 @@ def reply_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``docs_table``), shaped by doc_id % 7: 0 plain, 1 fenced, 2 fenced
     without newline (undecodable), 3 truncated, 4 empty content, 5 no
     choices, 6 ``{"edits": null}`` with an extra key."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     k = F.col("doc_id")
     path = F.concat(
         F.lit("docs/"), F.col("source"), F.lit("/"), k.cast("string"),

@@ -133,7 +133,7 @@ def q_filter_source_files(spark, sf):
        WHERE text <> ''""",
 )
 def q_split_lines(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    d = B.table(spark, sf, "documents", spread=True).select("doc_id", F.col("text").alias("content"))
     return C.split_lines(d).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 

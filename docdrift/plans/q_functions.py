@@ -44,7 +44,7 @@ _REL = "CASE doc_id % 3 WHEN 0 THEN 'a/' WHEN 1 THEN '../' ELSE 'a/../' END || s
     FROM documents""",
 )
 def q_scalar_functions(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.table(spark, sf, "documents", spread=True)
     text = F.col("text")
     rel = F.when(F.col("doc_id") % 3 == 0, F.lit("a/")).when(F.col("doc_id") % 3 == 1, F.lit("../")).otherwise(F.lit("a/../"))
     return d.select(

@@ -107,7 +107,7 @@ ATTEMPTS = f"""att AS (
        FROM (SELECT page_id, regexp_replace(html, '<!--[\\s\\S]*?-->', '', 'g') AS s FROM pages)""",
 )
 def q_strip_comments(spark, sf):
-    p = B.table(spark, sf, "pages")
+    p = B.table(spark, sf, "pages", spread=True)
     s = RQ.strip_comments("html")
     return p.select("page_id", F.octet_length(s).alias("n_bytes"), F.md5(s).alias("md5"))
 
@@ -174,7 +174,7 @@ def q_request_json(spark, sf):
                              ELSE text END AS p FROM documents)""",
 )
 def q_preview_text(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.table(spark, sf, "documents", spread=True)
     p = RQ.preview_text("text")
     return d.select("doc_id", F.md5(p).alias("md5"), F.length(p).alias("n_chars"))
 
