@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 def read_doc_files(spark: SparkSession, root: str, repo: str, suffix: str = ".md") -> DataFrame:
     """Read Markdown files below ``root`` as ``repo, path, content``."""
     df = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .text(root)
+        # keyword arguments of ``text`` override ``.option`` values, so
+        # ``wholetext`` must be passed here to get one row per file
+        spark.read.text(root, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("_abs"))
     )
     base = root.rstrip("/").replace("file:", "") + "/"
