@@ -38,9 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = TEXT_TABLES.get(name) if spread else None
     if key is not None:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, key)
+        try:
+            cores = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores, key)
+        except Exception:  # no driver-side context: leave the splits as they are
+            pass
     return df
 
 

@@ -38,13 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     read here. Only when it is unset (local tests) a fresh scratch folder is
     created and set.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="docdrift-ckpt-", dir="/tmp")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    d = None
+    try:
+        sc = spark.sparkContext
+        d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+        if not d:
+            d = tempfile.mkdtemp(prefix="docdrift-ckpt-", dir="/tmp")
+            sc.setCheckpointDir(d)
+            d = sc.getCheckpointDir() or d
+    except Exception:  # a session without a driver-side context (remote client)
+        d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docdrift-ckpt-", dir="/tmp")
+    return d
 
 
 def cut_lineage(df):
