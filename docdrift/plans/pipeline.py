@@ -89,7 +89,7 @@ def finish_updates(
     gated = SR.gate_replies(SR.decode_replies(replies))
     decoded = SR.decode_edits(gated)
     applied = E.apply_edits(docs, decoded.filter(F.col("decode_status") == "ok"))
-    updates = E.changed_docs(applied)
+    updates = cut_lineage(E.changed_docs(applied))  # read by validation and blocking
     issues = V.validate_updates(docs, updates)
     flagged = V.blocked_docs(updates, issues, force=force)
     ready = V.write_ready_docs(flagged, docs)

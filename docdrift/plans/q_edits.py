@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE_CLASS
 from ..operators import edits as E
 from ..operators import validate as V
+from ..session import cut_lineage
 from ..sources import replies as SR
 from . import bindings as B
 from .registry import register
@@ -29,7 +30,9 @@ def _applied(spark, sf):
 
 
 def _flagged(spark, sf):
-    updates = E.changed_docs(_applied(spark, sf))
+    # the changed documents feed both the validation and the block flag:
+    # store them once rather than decoding and folding every reply twice
+    updates = cut_lineage(E.changed_docs(_applied(spark, sf)))
     issues = V.validate_updates(B.docs_table(spark, sf), updates)
     return V.blocked_docs(updates, issues)
 
