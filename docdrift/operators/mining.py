@@ -233,19 +233,22 @@ def _doc(own, trailing) -> Column:
 # --- E1-E12 ------------------------------------------------------------------------
 
 
+def _unparsable() -> Column:
+    return (F.col("content") != "") & ~F.col("content").rlike(r"(?m)^package\s+\w+")
+
+
 def extract_errors(files: DataFrame) -> DataFrame:
     """Non-empty files without a ``package`` clause outside comments
     cannot be parsed; they yield no symbols and one error row."""
-    has_pkg = F.col("content").rlike(r"(?m)^package\s+\w+")
-    return files.filter((F.col("content") != "") & ~has_pkg).select(
-        "repo", "path", F.lit("expected 'package' clause").alias("error")
-    )
+    return files.filter(_unparsable()).select("repo", "path", F.lit("expected 'package' clause").alias("error"))
 
 
 def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame:
     """``files(repo, path, content)`` -> a declaration table in the
     ``SYMBOLS`` schema (plus ``exported``). Files that fail E12 give nothing."""
-    ok = files.join(extract_errors(files).select("repo", "path"), ["repo", "path"], "left_anti")
+    # (repo, path) names one file, so dropping the E12 files is a row filter,
+    # not an anti join that would shuffle every file's text
+    ok = files.filter(~_unparsable())
     lt = line_table(ok)
     w = Window.partitionBy("repo", "path").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -265,11 +268,13 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
 
     # --- functions and methods (headers may span lines up to the body brace)
     fn_lines = lt.filter((F.col("block_kw") == "func") & F.col("in_block"))
-    hdr_end = fn_lines.filter(F.col("code").rlike(r"\{[^{}]*\}?\s*$") | F.col("ends_block")).groupBy("repo", "path", "block").agg(
-        F.min("line_no").alias("_hend")
-    )
+    # the header ends at the block's first line that opens the body (or ends
+    # the block); a window over the lines, already clustered by file, finds
+    # it without a join
+    hdr_stop = F.col("code").rlike(r"\{[^{}]*\}?\s*$") | F.col("ends_block")
+    hend = F.min(F.when(hdr_stop, F.col("line_no"))).over(Window.partitionBy("repo", "path", "block"))
     fn_hdr = (
-        fn_lines.join(hdr_end, ["repo", "path", "block"])
+        fn_lines.withColumn("_hend", hend)
         .filter(F.col("line_no") <= F.col("_hend"))
         .groupBy("repo", "path", "block")
         .agg(
