@@ -271,6 +271,26 @@ def _pair_once(cand: DataFrame, part: list[str]) -> DataFrame:
     return g
 
 
+def _pair_leftovers(left: DataFrame, cls: list[str]) -> DataFrame:
+    """Rank pairing of the rows a split class left unpaired, without putting
+    the class into one task: a row's rank within its class and side is the
+    number of same-side rows in lower buckets (a table of classes x buckets)
+    plus its rank inside its own bucket, so every pairing group holds at
+    most one removed and one added row."""
+    left = left.withColumn("_b", F.pmod(F.xxhash64("name"), F.col("_nb")))
+    side = [*cls, "change_ord"]
+    local = F.row_number().over(Window.partitionBy(*side, "_b").orderBy("name"))
+    counts = left.groupBy(*side, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    lower = Window.partitionBy(*side).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*side, "_b", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_off"))
+    ranked = left.withColumn("_lr", local).join(offsets, [*side, "_b"]).withColumn("_rn", F.col("_off") + F.col("_lr"))
+    row = F.struct(*_DIFF_COLS, "_nb")
+    return ranked.groupBy(*cls, "_rn").agg(
+        F.first(F.when(F.col("change_ord") == 1, row), ignorenulls=True).alias("rem"),
+        F.first(F.when(F.col("change_ord") == 0, row), ignorenulls=True).alias("add"),
+    )
+
+
 def detect_renames(diffs: DataFrame, max_group_rows: int = 1_000_000) -> DataFrame:
     """Removed and added rows of equal shape in the same file become one
     renamed row; each row is used at most once.
@@ -279,8 +299,9 @@ def detect_renames(diffs: DataFrame, max_group_rows: int = 1_000_000) -> DataFra
     pairing inside each ``(repo, path, shape)`` class. A class larger than
     ``max_group_rows`` is first split into ``ceil(n / max_group_rows)``
     buckets by a hash of the name and paired per bucket; what is left over
-    in split classes (a small remainder) is paired again at class level.
-    The number of pairs is always ``min(removed, added)`` per class.
+    in split classes is paired again by class-wide rank, computed from
+    per-bucket offsets so no class is gathered into one task. The number of
+    pairs is always ``min(removed, added)`` per class.
     """
     rest = diffs.filter(F.col("change_ord") >= 2)
     cand = diffs.filter(F.col("change_ord") < 2)
@@ -313,8 +334,8 @@ def detect_renames(diffs: DataFrame, max_group_rows: int = 1_000_000) -> DataFra
         return paired, single
 
     p1, left1 = emit(_pair_once(cand, cls + ["_b"]))
-    split = left1.filter(F.col("_nb") > 1).drop("_b")
-    p2, left2 = emit(_pair_once(split, cls))
+    split = left1.filter(F.col("_nb") > 1)
+    p2, left2 = emit(_pair_leftovers(split, cls))
     cols = _DIFF_COLS
     return reduce(
         DataFrame.unionByName,

@@ -198,10 +198,11 @@ def code_snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
-def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def docs_table(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """Documents: repo = lang, path ``docs/<source>/<doc_id>.md`` (``.txt``
-    for doc_id % 9 = 0)."""
-    d = table(spark, sf_dir, "documents", spread=True)
+    for doc_id % 9 = 0). ``spread=False`` for reads that only need keys or
+    lengths and go straight into a keyed shuffle."""
+    d = table(spark, sf_dir, "documents", spread=spread)
     k = F.col("doc_id")
     ext = F.when(k % 9 == 0, F.lit(".txt")).otherwise(F.lit(".md"))
     return d.select(

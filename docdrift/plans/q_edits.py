@@ -33,7 +33,7 @@ def _flagged(spark, sf):
     # the changed documents feed both the validation and the block flag:
     # store them once rather than decoding and folding every reply twice
     updates = cut_lineage(E.changed_docs(_applied(spark, sf)))
-    issues = V.validate_updates(B.docs_table(spark, sf), updates)
+    issues = V.validate_updates(B.docs_table(spark, sf, spread=False), updates)
     return V.blocked_docs(updates, issues)
 
 
@@ -235,7 +235,7 @@ def q_validate_edits(spark, sf):
 @register("validate_updates", _w("SELECT repo, file, message, rejected FROM iss"))
 def q_validate_updates(spark, sf):
     updates = E.changed_docs(_applied(spark, sf))
-    return V.validate_updates(B.docs_table(spark, sf), updates)
+    return V.validate_updates(B.docs_table(spark, sf, spread=False), updates)
 
 
 @register("blocked_docs", _w("SELECT repo, path, blocked FROM flagged"))
@@ -265,7 +265,7 @@ _READY = """ready AS (
     "WITH " + BASE + ", " + _READY + " SELECT repo, path, outcome, octet_length(encode(content)) AS n_bytes FROM ready",
 )
 def q_write_ready_docs(spark, sf):
-    r = V.write_ready_docs(_flagged(spark, sf), B.docs_table(spark, sf))
+    r = V.write_ready_docs(_flagged(spark, sf), B.docs_table(spark, sf, spread=False))
     return r.select("repo", "path", "outcome", F.octet_length("content").alias("n_bytes"))
 
 
@@ -276,4 +276,4 @@ def q_write_ready_docs(spark, sf):
         count(*) FILTER (WHERE outcome NOT IN ('written', 'blocked')) AS refused FROM ready GROUP BY repo""",
 )
 def q_outcome_counts(spark, sf):
-    return V.outcome_counts(V.write_ready_docs(_flagged(spark, sf), B.docs_table(spark, sf)))
+    return V.outcome_counts(V.write_ready_docs(_flagged(spark, sf), B.docs_table(spark, sf, spread=False)))

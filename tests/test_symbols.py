@@ -178,3 +178,17 @@ def test_rename_counts_random_with_split_classes(spark):
             got[r["path"]] = (rm + (r["change"] == "removed"), ad + (r["change"] == "added"), pr + (r["change"] == "renamed"))
         for f, v in expect.items():
             assert got.get(f, (0, 0, 0)) == v, (cap, f)
+
+
+def test_rename_lopsided_split_class(spark):
+    # one class, 50 removed vs 20 added, split into many buckets: the
+    # leftovers of every bucket are paired again across the whole class
+    old = [("z.go", f"Old{i}", "const") for i in range(50)]
+    new = [("z.go", f"New{i}", "const") for i in range(20)]
+    expect = _greedy_model(old, new)
+    for cap in (1_000_000, 4):
+        d = D.symbol_diff(_sym_rows(spark, old), _sym_rows(spark, new), max_group_rows=cap)
+        got = [r["change"] for r in d.collect()]
+        assert (got.count("removed"), got.count("added"), got.count("renamed")) == expect["z.go"], cap
+        renamed = [r for r in d.collect() if r["change"] == "renamed"]
+        assert len({r["old_name"] for r in renamed}) == len(renamed) == 20
