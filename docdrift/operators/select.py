@@ -50,17 +50,17 @@ def select_docs(docs: DataFrame, mapped: DataFrame) -> DataFrame:
     there are none (no mappings, no match, or only names of documents that
     do not exist) all documents of the repository.
 
-    Per-repository flag by aggregation and an equi-join back (not an
-    unpartitioned window); a large repository is split by AQE's skew-join
-    handling."""
+    Per-repository flag by aggregation and an equi-join back on keys only
+    (not an unpartitioned window); a large repository is split by AQE's
+    skew-join handling."""
     m = mapped.select("repo", F.col("doc_path").alias("path"), F.lit(True).alias("_hit")).distinct()
-    flagged = docs.join(m, ["repo", "path"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    any_hit = flagged.groupBy("repo").agg(F.max("_hit").alias("_any"))
-    return (
-        flagged.join(any_hit, "repo")
-        .filter(F.col("_hit") | ~F.col("_any"))
-        .drop("_hit", "_any")
+    flagged = docs.select("repo", "path").join(m, ["repo", "path"], "left").withColumn(
+        "_hit", F.coalesce("_hit", F.lit(False))
     )
+    any_hit = flagged.groupBy("repo").agg(F.max("_hit").alias("_any"))
+    chosen = flagged.join(any_hit, "repo").filter(F.col("_hit") | ~F.col("_any")).select("repo", "path")
+    # decided on keys; the texts are fetched once
+    return docs.join(chosen, ["repo", "path"], "left_semi")
 
 
 def token_estimate(docs: DataFrame) -> DataFrame:

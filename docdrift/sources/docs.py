@@ -59,7 +59,8 @@ def scan_docs(
     then kept by an equi-join on their parent directory, or on their own
     path for file roots.
     """
-    d = docs.filter(F.col("path").endswith(suffix)).withColumn(
+    # the selection runs on keys only; texts join back once at the end
+    d = docs.select("repo", "path").filter(F.col("path").endswith(suffix)).withColumn(
         "_dir", F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "^$", "")
     )
     r = roots.select("repo", _norm_root(F.col("root")).alias("_root")).distinct()
@@ -76,14 +77,15 @@ def scan_docs(
         d.join(covered, ["repo", "_dir"], "left")
         .join(files, ["repo", "path"], "left")
         .filter(F.col("_by_dir").isNotNull() | F.col("_by_file").isNotNull())
-        .drop("_dir", "_by_dir", "_by_file")
+        .select("repo", "path")
     )
     if excludes is not None:
         kept = kept.join(excludes.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
-    # one row per (repo, path) in, one out: both joins above are to
-    # de-duplicated tables, so no document is repeated however many roots
-    # cover it (no re-shuffle of document texts to de-duplicate)
-    return kept
+    # one row per (repo, path) in, one out: the key joins above are to
+    # de-duplicated tables, and the texts are fetched by a semi join, so no
+    # document is repeated however many roots cover it and each text is
+    # shuffled once
+    return docs.join(kept, ["repo", "path"], "left_semi")
 
 
 def mapping_pairs(mappings: DataFrame) -> DataFrame:
