@@ -37,12 +37,14 @@ def validate_updates(originals: DataFrame, updates: DataFrame, keys: list[str] |
     """V2: ``issues(repo, file, message, rejected)`` for updates of known
     documents that are empty or lose more than half of their bytes."""
     keys = keys or ["repo", "path"]
-    j = updates.select(*keys, F.col("content").alias("_new")).join(
-        originals.select(*keys, F.col("content").alias("_old")), keys, "inner"
+    # only byte lengths are compared: take them before the join so the
+    # shuffle carries two integers per document, not both texts
+    j = updates.select(*keys, F.octet_length("content").alias("_new_len")).join(
+        originals.select(*keys, F.octet_length("content").alias("_old_len")), keys, "inner"
     )
-    old_len, new_len = F.octet_length("_old"), F.octet_length("_new")
+    old_len, new_len = F.col("_old_len"), F.col("_new_len")
     loss = (old_len - new_len) / old_len
-    msg = F.when(F.col("_new") == "", F.lit("updated content is empty")).when(
+    msg = F.when(new_len == 0, F.lit("updated content is empty")).when(
         (old_len > 0) & (loss > CONTENT_LOSS_THRESHOLD),
         F.format_string(
             "content shrank by %s%% (%d → %d bytes), exceeds %s%% threshold",
