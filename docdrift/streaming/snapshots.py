@@ -4,8 +4,8 @@ New file versions land as Parquet rows ``(repo, ref, path, content)`` in a
 source folder. Each micro-batch is compared with the stored current version
 of the same files, its declaration diff is appended (partitioned by batch
 id, so a replayed batch overwrites its own partition instead of adding
-duplicates), and the stored current version is replaced for the files the
-batch touched. Exactly-once end to end rests on the stream checkpoint plus
+duplicates), and the stored current version (partitioned by repository) is
+replaced for the repositories the batch touched. Exactly-once end to end rests on the stream checkpoint plus
 these idempotent writes.
 """
 
@@ -57,11 +57,20 @@ def diff_batch(batch: DataFrame, batch_id: int, store: str, out: str, suffix: st
         .partitionBy("batch_id")
         .parquet(out)
     )
-    kept = cur.join(new.select("repo", "path"), ["repo", "path"], "left_anti")
+    # the store is partitioned by repository: only the repositories this
+    # batch touched are rewritten, not the whole store
+    touched = cur.join(new.select("repo").distinct(), "repo", "left_semi")
+    kept = touched.join(new.select("repo", "path"), ["repo", "path"], "left_anti")
     merged = kept.unionByName(new.select(*kept.columns))
     # the merged version is first stored in the checkpoint folder, so the
     # overwrite below no longer reads the files it replaces
-    cut_lineage(merged).write.mode("overwrite").parquet(store)
+    (
+        cut_lineage(merged)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("repo")
+        .parquet(store)
+    )
 
 
 def start(

@@ -9,12 +9,16 @@ def test_stream_two_versions(spark):
     root = tempfile.mkdtemp(prefix="docdrift-stream-", dir="/tmp")
     src, store, out, ck = (f"{root}/{x}" for x in ("src", "store", "out", "ck"))
     v1 = spark.createDataFrame(
-        [("r", "v1", "a.go", "package p\n\nfunc Keep() {}\n\nfunc Old() {}\n")], "repo string, ref string, path string, content string"
+        [
+            ("r", "v1", "a.go", "package p\n\nfunc Keep() {}\n\nfunc Old() {}\n"),
+            ("q", "v1", "b.go", "package q\n\nfunc Other() {}\n"),
+        ],
+        "repo string, ref string, path string, content string",
     )
     v1.write.mode("append").parquet(src)
     ST.start(spark, src, store, out, ck).awaitTermination()
     first = {(r["name"], r["change"]) for r in spark.read.parquet(out).collect()}
-    assert first == {("Keep", "added"), ("Old", "added")}
+    assert first == {("Keep", "added"), ("Old", "added"), ("Other", "added")}
     v2 = spark.createDataFrame(
         [("r", "v2", "a.go", "package p\n\nfunc Keep() {}\n\nfunc New() {}\n")], "repo string, ref string, path string, content string"
     )
@@ -22,3 +26,6 @@ def test_stream_two_versions(spark):
     ST.start(spark, src, store, out, ck).awaitTermination()
     second = {(r["name"], r["old_name"], r["change"]) for r in spark.read.parquet(out).filter("batch_id = 1").collect()}
     assert second == {("New", "Old", "renamed")}
+    # only repository r was rewritten; q keeps its stored version
+    stored = {(r["repo"], r["path"], r["ref"]) for r in spark.read.parquet(store).collect()}
+    assert stored == {("r", "a.go", "v2"), ("q", "b.go", "v1")}
