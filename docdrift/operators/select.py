@@ -65,10 +65,12 @@ def select_docs(docs: DataFrame, mapped: DataFrame) -> DataFrame:
 
 def token_estimate(docs: DataFrame) -> DataFrame:
     """A4: ``repo, n_docs, total_bytes, est_tokens`` - UTF-8 bytes summed,
-    integer-divided by four after the sum."""
+    integer-divided by four after the sum. ``docs`` carries ``content`` or
+    its byte count ``n_bytes``."""
+    size = F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length("content")
     return (
         docs.groupBy("repo")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("content")).alias("total_bytes"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("total_bytes"))
         .withColumn("est_tokens", F.floor(F.col("total_bytes") / BYTES_PER_TOKEN).cast("bigint"))
     )
 

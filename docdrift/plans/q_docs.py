@@ -80,8 +80,12 @@ def _go_changed(spark, sf):
     return SS.filter_source_files(_changed(spark, sf)).select("repo", "path")
 
 
-def _selected(spark, sf):
-    return M.select_docs(_scanned(spark, sf), M.mapped_docs(_go_changed(spark, sf), _pairs(spark, sf)))
+def _selected_sizes(spark, sf):
+    # the size keys need each selected document's byte count only: take it at
+    # the scan so no text travels through the selection joins
+    d = B.docs_table(spark, sf).select("repo", "path", F.octet_length("content").alias("n_bytes"))
+    scanned = SD.scan_docs(d, B.doc_roots(spark, sf), B.doc_excludes(spark, sf))
+    return M.select_docs(scanned, M.mapped_docs(_go_changed(spark, sf), _pairs(spark, sf)))
 
 
 @register(
@@ -178,12 +182,12 @@ def q_mapped_docs(spark, sf):
 
 @register("select_docs", f"WITH {SELECTED} SELECT repo, path, octet_length(encode(content)) AS n_bytes FROM selected")
 def q_select_docs(spark, sf):
-    return _selected(spark, sf).select("repo", "path", F.octet_length("content").alias("n_bytes"))
+    return _selected_sizes(spark, sf).select("repo", "path", "n_bytes")
 
 
 @register("token_estimate", f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens FROM est")
 def q_token_estimate(spark, sf):
-    return M.token_estimate(_selected(spark, sf))
+    return M.token_estimate(_selected_sizes(spark, sf))
 
 
 @register(
@@ -191,4 +195,4 @@ def q_token_estimate(spark, sf):
     f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens, est_tokens <= 50000 AS within_budget FROM est",
 )
 def q_budget_gate(spark, sf):
-    return M.budget_gate(M.token_estimate(_selected(spark, sf)))
+    return M.budget_gate(M.token_estimate(_selected_sizes(spark, sf)))
