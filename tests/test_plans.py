@@ -64,3 +64,14 @@ def test_hash_scan_prunes_content(spark):
     plan = ch._jdf.queryExecution().executedPlan().toString()
     # only the documents' key and text feed the hash; no unrelated columns are read
     assert "n_chars" not in plan
+
+
+def test_lineage_is_cut_only_in_a_named_folder():
+    from types import SimpleNamespace
+
+    from docdrift.session import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=context))
