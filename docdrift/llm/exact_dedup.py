@@ -36,7 +36,8 @@ def squeezed(text: Column) -> Column:
 
 def _pattern(digest: Column) -> Column:
     h = F.xxhash64(digest, F.lit(1))
-    bit = [F.shiftleft(F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(3)]
+    place = [F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(3)]
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in place]
     return bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2])
 
 
@@ -47,7 +48,6 @@ def possibly_repeated(digests: DataFrame, bits_per_row: int = BITS_PER_ROW) -> D
     marked = digests.withColumns(
         {"block": F.pmod(F.xxhash64("sha"), F.lit(blocks)), "pattern": _pattern(F.col("sha"))}
     )
-    # A pattern is a shift of 1 by a column, which Catalyst evaluates per row.
     twice = marked.groupBy("block", "pattern").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     words = cut_lineage(twice.groupBy("block").agg(F.bit_or("pattern").alias("word")))
     # The stored filter is broadcast only if its measured size allows it.
