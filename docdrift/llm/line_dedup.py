@@ -103,7 +103,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH lines AS (
   SELECT source, unnest(list_distinct(list_filter(
-           list_transform(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(13))), x -> x <> ''))) AS line
+           list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line
   FROM documents
 ), pages AS (
   SELECT source, count(*) AS pages FROM documents GROUP BY source
@@ -116,7 +116,7 @@ WITH lines AS (
 ), cut AS (
   SELECT doc_id, d.source, text, string_split(text, chr(10)) AS parts,
          list_filter(string_split(text, chr(10)),
-           x -> keys IS NULL OR NOT list_contains(keys, trim(x, ' ' || chr(9) || chr(13)))) AS stay
+           lambda x: keys IS NULL OR NOT list_contains(keys, trim(x, ' ' || chr(9) || chr(13)))) AS stay
   FROM documents d LEFT JOIN keys k ON d.source IS NOT DISTINCT FROM k.source
 )
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(stay, chr(10)) END AS text,
