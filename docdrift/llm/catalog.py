@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP1_SQL, op1_line_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE = {
