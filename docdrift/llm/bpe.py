@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,7 +233,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Reco
     """The same rows in batches whose ``column`` holds some megabytes at most
     (or one row)."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // BATCH_BYTES
         starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
         for a, b in zip(starts[:-1], starts[1:], strict=True):

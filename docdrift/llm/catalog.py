@@ -5,10 +5,14 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .packing import op6_packing
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_simhash": op3_simhash,
+    "op6_packing": op6_packing,
     "op8_bpe": op8_bpe,
 }
 
