@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_text import op7_html_text
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op6_packing
 from .simhash import op3_simhash
+from .toxicity import op5_toxicity
+from .warc import op4_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
 }
 
