@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_text import op7_html_text
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE = {
