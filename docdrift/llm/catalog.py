@@ -6,6 +6,7 @@ from .bpe import op8_bpe
 from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_text import op7_html_text
+from .license_scan import OP9_SQL, op9_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op6_packing
 from .simhash import op3_simhash
@@ -21,10 +22,12 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE = {
     "op1_line_dedup": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op9_license_scan": OP9_SQL,
 }

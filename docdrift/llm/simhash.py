@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .tables import power_of_two, table
+from .tables import power_of_two, table, whole_row
 
 #: The query's contract: words in a shingle, bits two fingerprints may differ in.
 SHINGLE, MAX_BITS = 3, 3
@@ -232,10 +232,11 @@ def fingerprint_links(
 
 
 def simhash_groups(marked: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``fp, component_id`` for the fingerprints of a stored table
-    ``marked(doc_id, fp)``: the smallest id reachable over links of at most
-    ``max_bits`` differing bits. Ids that are null are not chosen; a component
-    of null ids only has the null id."""
+    """``fp, root, component_id`` for the fingerprints of a stored table
+    ``marked(doc_id, fp)``: one fingerprint that stands for all reachable over
+    links of at most ``max_bits`` differing bits, and their smallest id. Ids
+    that are null are not chosen; a component of null ids only has the null
+    id."""
     firsts = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = cut_lineage(components(fingerprint_links(firsts.select("fp"), max_bits, node_rows)))
     rooted = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -243,7 +244,7 @@ def simhash_groups(marked: DataFrame, max_bits: int = MAX_BITS, node_rows: int =
     )
     rooted = cut_lineage(rooted)
     least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    return cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
+    return cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
 
 
 def simhash_dedup(
@@ -270,5 +271,32 @@ def simhash_dedup(
     )
 
 
+def keep_one_of_each(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+    node_rows: int = NODE_ROWS,
+) -> DataFrame:
+    """The input's rows and columns, one row of each near-duplicate component:
+    the one with the smallest id (null ids last; one of rows that tie). Texts
+    are treated as in ``simhash_dedup``; columns of any name are kept."""
+    stored = cut_lineage(
+        df.select(
+            whole_row(),
+            F.col(id_col).alias("doc_id"),
+            fingerprint_column(F.col(text_col), shingle).alias("fp"),
+            F.monotonically_increasing_id().alias("rid"),
+        )
+    )
+    thin = stored.select("doc_id", "fp", "rid")
+    marked = cut_lineage(thin.join(simhash_groups(thin, max_bits, node_rows), "fp").select("root", "doc_id", "rid"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    first = cut_lineage(marked.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.rid").alias("keep")))
+    dropped = cut_lineage(marked.join(first, "root").where("rid <> keep").select("rid"))
+    return stored.join(dropped, "rid", "left_anti").select("row.*")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
