@@ -186,7 +186,7 @@ def symbol_diff(
     old_symbols: DataFrame,
     new_symbols: DataFrame,
     renames: bool = True,
-    max_group_rows: int = 1_000_000,
+    ranges: int | None = None,
 ) -> DataFrame:
     """D5 + D8 for declaration tables keyed by ``(repo, path, name)``.
 
@@ -231,9 +231,7 @@ def symbol_diff(
         F.when(F.col("change_ord") < 2, _shape(sym)).alias("shape"),
     )
     if renames:
-        # the diff feeds the pairing several times (class sizes, both rounds,
-        # unpaired rows): store it once instead of recomputing the join
-        diffs = detect_renames(cut_lineage(diffs), max_group_rows=max_group_rows)
+        diffs = detect_renames(diffs, ranges)
     return diffs.select(
         *SYMBOL_KEYS,
         "old_name",
@@ -247,106 +245,57 @@ def symbol_diff(
     )
 
 
+_CLASS = ["repo", "path", "shape"]
 _DIFF_COLS = ["repo", "path", "name", "old_name", "change_ord", "kind", "signature", "old_signature", "changes", "shape"]
 
 
-def _pair_once(cand: DataFrame, part: list[str]) -> DataFrame:
-    """Rank pairing inside each ``part`` group: the i-th removed row by name
-    pairs with the i-th added row by name. Both windows share one
-    partitioning, and the regrouping on ``part + rn`` reuses it."""
-    cand = cand.repartition(*part)
-    w_all = Window.partitionBy(*part)
-    w_ord = Window.partitionBy(*part).orderBy("change_ord", "name")
-    n_added = F.sum(F.when(F.col("change_ord") == 0, 1).otherwise(0)).over(w_all)
-    rn = F.row_number().over(w_ord) - F.when(F.col("change_ord") == 1, n_added).otherwise(0)
-    row = F.struct(*_DIFF_COLS, *[c for c in cand.columns if c not in _DIFF_COLS and c not in part])
-    g = (
-        cand.withColumn("_rn", rn)
-        .groupBy(*part, "_rn")
-        .agg(
-            F.first(F.when(F.col("change_ord") == 1, row), ignorenulls=True).alias("rem"),
-            F.first(F.when(F.col("change_ord") == 0, row), ignorenulls=True).alias("add"),
-        )
-    )
-    return g
-
-
-def _pair_leftovers(left: DataFrame, cls: list[str]) -> DataFrame:
-    """Rank pairing of the rows a split class left unpaired, without putting
-    the class into one task: a row's rank within its class and side is the
-    number of same-side rows in lower buckets (a table of classes x buckets)
-    plus its rank inside its own bucket, so every pairing group holds at
-    most one removed and one added row."""
-    left = left.withColumn("_b", F.pmod(F.xxhash64("name"), F.col("_nb")))
-    side = [*cls, "change_ord"]
-    local = F.row_number().over(Window.partitionBy(*side, "_b").orderBy("name"))
-    counts = left.groupBy(*side, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    lower = Window.partitionBy(*side).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*side, "_b", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_off"))
-    ranked = left.withColumn("_lr", local).join(offsets, [*side, "_b"]).withColumn("_rn", F.col("_off") + F.col("_lr"))
-    row = F.struct(*_DIFF_COLS, "_nb")
-    return ranked.groupBy(*cls, "_rn").agg(
-        F.first(F.when(F.col("change_ord") == 1, row), ignorenulls=True).alias("rem"),
-        F.first(F.when(F.col("change_ord") == 0, row), ignorenulls=True).alias("add"),
-    )
+def _ranked(cand: DataFrame) -> DataFrame:
+    """Add ``_rn``: a row's rank by name among the removed (or the added) rows
+    of its class. ``cand`` is stored and has ``_part``, its range in the order
+    of class, side and name, so the rank is the number of such rows in earlier
+    ranges (a row per range and class) plus the rank inside the range: no task
+    holds more of a class than a range does."""
+    side = [*_CLASS, "change_ord"]
+    inside = F.row_number().over(Window.partitionBy("_part", *side).orderBy("name"))
+    counts = cand.groupBy("_part", *side).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*side).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", *side, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    return cand.withColumn("_in", inside).join(before, ["_part", *side]).withColumn("_rn", F.col("_before") + F.col("_in"))
 
 
-def detect_renames(diffs: DataFrame, max_group_rows: int = 1_000_000) -> DataFrame:
+def detect_renames(diffs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Removed and added rows of equal shape in the same file become one
     renamed row; each row is used at most once.
 
     Shape equality is an equivalence relation, so greedy pairing equals rank
-    pairing inside each ``(repo, path, shape)`` class. A class larger than
-    ``max_group_rows`` is first split into ``ceil(n / max_group_rows)``
-    buckets by a hash of the name and paired per bucket; what is left over
-    in split classes is paired again by class-wide rank, computed from
-    per-bucket offsets so no class is gathered into one task. The number of
-    pairs is always ``min(removed, added)`` per class.
-    """
+    pairing inside each ``(repo, path, shape)`` class: the i-th removed row by
+    name pairs with the i-th added row by name, whatever the size of the
+    class and the number of ``ranges`` it is spread over."""
+    order = [*_CLASS, "change_ord", "name"]
+    dealt = diffs.repartitionByRange(ranges, *order) if ranges else diffs.repartitionByRange(*order)
+    # read by the unchanged rows, the counts and the pairing: stored once
+    diffs = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
     rest = diffs.filter(F.col("change_ord") >= 2)
-    cand = diffs.filter(F.col("change_ord") < 2)
-    cls = ["repo", "path", "shape"]
-    sizes = cand.groupBy(*cls).agg(F.count(F.lit(1)).alias("_n"))
-    cand = (
-        cand.join(sizes, cls)
-        .withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_group_rows))))
-        .withColumn("_b", F.pmod(F.xxhash64("name"), F.col("_nb")))
-        .drop("_n")
+    row = F.struct(*_DIFF_COLS)
+    paired = _ranked(diffs.filter(F.col("change_ord") < 2)).groupBy(*_CLASS, "_rn").agg(
+        F.first(F.when(F.col("change_ord") == 1, row), ignorenulls=True).alias("rem"),
+        F.first(F.when(F.col("change_ord") == 0, row), ignorenulls=True).alias("add"),
     )
-
-    def emit(g: DataFrame) -> tuple[DataFrame, DataFrame]:
-        paired = g.filter(F.col("rem").isNotNull() & F.col("add").isNotNull()).select(
-            F.col("add.repo").alias("repo"),
-            F.col("add.path").alias("path"),
-            F.col("add.name").alias("name"),
-            F.col("rem.name").alias("old_name"),
-            F.lit(3).alias("change_ord"),
-            F.col("add.kind").alias("kind"),
-            F.col("add.signature").alias("signature"),
-            F.col("rem.old_signature").alias("old_signature"),
-            F.col("add.changes").alias("changes"),
-            F.col("add.shape").alias("shape"),
-            F.col("add._nb").alias("_nb"),
-        )
-        single = g.filter(F.col("rem").isNull() | F.col("add").isNull()).select(
-            F.coalesce(F.col("rem"), F.col("add")).alias("r")
-        ).select("r.*")
-        return paired, single
-
-    p1, left1 = emit(_pair_once(cand, cls + ["_b"]))
-    split = left1.filter(F.col("_nb") > 1)
-    p2, left2 = emit(_pair_leftovers(split, cls))
-    cols = _DIFF_COLS
-    return reduce(
-        DataFrame.unionByName,
-        [
-            rest.select(*cols),
-            p1.select(*cols),
-            left1.filter(F.col("_nb") == 1).select(*cols),
-            p2.select(*cols),
-            left2.select(*cols),
-        ],
+    renamed = F.struct(
+        F.col("add.repo").alias("repo"),
+        F.col("add.path").alias("path"),
+        F.col("add.name").alias("name"),
+        F.col("rem.name").alias("old_name"),
+        F.lit(3).alias("change_ord"),
+        F.col("add.kind").alias("kind"),
+        F.col("add.signature").alias("signature"),
+        F.col("rem.old_signature").alias("old_signature"),
+        F.col("add.changes").alias("changes"),
+        F.col("add.shape").alias("shape"),
     )
+    both = F.col("rem").isNotNull() & F.col("add").isNotNull()
+    out = paired.select(F.when(both, renamed).otherwise(F.coalesce("rem", "add")).alias("r")).select("r.*")
+    return rest.select(*_DIFF_COLS).unionByName(out.select(*_DIFF_COLS))
 
 
 def order_diffs(diffs: DataFrame) -> DataFrame:

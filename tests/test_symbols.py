@@ -170,25 +170,23 @@ def test_rename_counts_random_with_split_classes(spark):
     okind = {(p, n): k for p, n, k in old}
     new = [(p, n, okind.get((p, n), k)) for p, n, k in new]
     expect = _greedy_model(old, new)
-    for cap in (1_000_000, 3):  # 3 forces the split-class path
-        d = D.symbol_diff(_sym_rows(spark, old), _sym_rows(spark, new), max_group_rows=cap)
+    for ranges in (None, 1, 7):
+        d = D.symbol_diff(_sym_rows(spark, old), _sym_rows(spark, new), ranges=ranges)
         got = {}
         for r in d.collect():
             rm, ad, pr = got.get(r["path"], (0, 0, 0))
             got[r["path"]] = (rm + (r["change"] == "removed"), ad + (r["change"] == "added"), pr + (r["change"] == "renamed"))
         for f, v in expect.items():
-            assert got.get(f, (0, 0, 0)) == v, (cap, f)
-
-
-def test_rename_lopsided_split_class(spark):
-    # one class, 50 removed vs 20 added, split into many buckets: the
-    # leftovers of every bucket are paired again across the whole class
-    old = [("z.go", f"Old{i}", "const") for i in range(50)]
-    new = [("z.go", f"New{i}", "const") for i in range(20)]
-    expect = _greedy_model(old, new)
-    for cap in (1_000_000, 4):
-        d = D.symbol_diff(_sym_rows(spark, old), _sym_rows(spark, new), max_group_rows=cap)
-        got = [r["change"] for r in d.collect()]
-        assert (got.count("removed"), got.count("added"), got.count("renamed")) == expect["z.go"], cap
-        renamed = [r for r in d.collect() if r["change"] == "renamed"]
-        assert len({r["old_name"] for r in renamed}) == len(renamed) == 20
+            assert got.get(f, (0, 0, 0)) == v, (ranges, f)
+
+
+def test_rename_pairs_are_the_same_for_any_ranges(spark):
+    # one class, 50 removed and 20 added, spread over 1, 4 and 64 ranges: the
+    # i-th removed by name always pairs with the i-th added by name
+    old = [("z.go", f"Old{i:02d}", "const") for i in range(50)] + [("y.go", "A", "const")]
+    new = [("z.go", f"New{i:02d}", "const") for i in range(20)] + [("y.go", "B", "const"), ("y.go", "C", "const")]
+    expect = sorted((f"Old{i:02d}", f"New{i:02d}") for i in range(20)) + [("A", "B")]
+    for ranges in (1, 4, 64):
+        got = D.symbol_diff(_sym_rows(spark, old), _sym_rows(spark, new), ranges=ranges).collect()
+        assert sorted((r["old_name"], r["name"]) for r in got if r["change"] == "renamed") == sorted(expect), ranges
+        assert sum(r["change"] == "removed" for r in got) == 30 and sum(r["change"] == "added" for r in got) == 1
