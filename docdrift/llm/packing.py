@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,18 +32,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .bpe import LONG_CHUNK, REMEMBERED, by_bytes
+from .bpe import LONG_CHUNK, by_bytes
 from .tables import table
 
 #: The query's contract: tokens in a sequence, and the id that ends a document.
 SEQUENCE, END = 1024, 2
 #: Steps of the least-squares fit.
 STEPS = 300
+#: Chunks whose ids a worker remembers (about 200 MB); past it the memory
+#: starts anew.
+REMEMBERED = 1_000_000
 
 _BETWEEN = re.compile(r"(?<!\s) | (?=\S)")
 _INSIDE = re.compile(r"\s (?:\s|\Z)")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class TokenIds:
     """Ids of whole texts by a byte-level tokenizer file of the ``tokenizers``
     library.
@@ -63,7 +76,19 @@ class TokenIds:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         coded = self.coder.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+        return [_packed(c.ids) for c in coded]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks after a space. A word of letters and the marks after
+        it are pieces of their own, so such words are encoded once."""
+        words = {c: c.rstrip(".,;:!?") for c in chunks}
+        words = {c: w for c, w in words.items() if len(w) < len(c) and w.isalpha()}
+        new = list(chunks.difference(words).union(w for w in words.values() if w not in self.known))
+        coded = dict(zip(new, self._ids([" " + c for c in new]), strict=True))
+        marks = list({c[len(w) :] for c, w in words.items()})
+        ends = dict(zip(marks, self._ids(marks), strict=True))
+        coded.update((c, (coded.get(w) or self.known[w]) + ends[c[len(w) :]]) for c, w in words.items())
+        return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -80,8 +105,7 @@ class TokenIds:
             parts.append(chunks)
             heads.append(chunks[0])
             wanted.update(chunks[1:])
-        fresh = list(wanted.difference(self.known))
-        coded = dict(zip(fresh, self._ids([" " + c for c in fresh]), strict=True))
+        coded = self._learn(wanted.difference(self.known))
         self.known.update((c, ids) for c, ids in coded.items() if len(c) <= LONG_CHUNK)
         long = {c: ids for c, ids in coded.items() if len(c) > LONG_CHUNK}
         known = self.known | long if long else self.known
@@ -112,7 +136,7 @@ def token_pieces(
     Null text counts as empty (the end token alone)."""
     thin = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = thin.schema["doc_id"].dataType.simpleString()
-    last = np.array([end], dtype="<u4").tobytes()
+    last = _packed([end])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen, part = token_ids(path), Counter(), TaskContext.get().partitionId()
