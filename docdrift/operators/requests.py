@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,10 +114,8 @@ def preview_text(c, n: int = 500, suffix: str = "\n...(truncated)") -> Column:
 
 # --- R0 -----------------------------------------------------------------------
 
-REPLY_ROW = T.StructType(
+STORED = T.StructType(
     [
-        T.StructField("repo", T.StringType()),
-        T.StructField("path", T.StringType()),
         T.StructField("request_hash", T.StringType()),
         T.StructField("body", T.StringType()),
         T.StructField("error", T.StringType()),
@@ -124,25 +123,40 @@ REPLY_ROW = T.StructType(
 )
 
 
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """The stored replies; None where nothing was stored yet (any other
+    failure to read is an error, never an empty store)."""
+    try:
+        return spark.read.schema(STORED).parquet(store)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def complete_requests(
     requests_json: DataFrame,
     completer: Callable[[str], str],
     store: str | None = None,
-    spark: SparkSession | None = None,
     concurrency: int | None = None,
+    batches: int = 1,
 ) -> DataFrame:
-    """Call ``completer(request_json) -> reply body`` once per request.
+    """Call ``completer(request_json) -> reply body`` once per distinct
+    request and give every ``(repo, path)`` that asks it the reply: ``repo,
+    path, request_hash, body, error``.
 
     Runs in ``mapInPandas`` (Arrow batches); an exception becomes the row's
-    ``error`` so one failure never loses the other replies. With ``store``
-    (a shared path), replies already stored under the same request hash are
-    not requested again, and new replies are appended there before they are
-    returned - a retried or speculative task cannot make a second paid call
-    visible, and a re-run picks up where it stopped. ``concurrency`` bounds
-    the number of tasks calling out at once."""
-
-    def run(batches: Iterator) -> Iterator:
-        for pdf in batches:
+    ``error`` so one failure never loses the other replies. With ``store`` (a
+    shared path) replies without an error are kept there by request hash and
+    not requested again; failed ones are, so a re-run picks up where it
+    stopped. The guarantee is at least once: a retried or speculative task
+    repeats the calls of its part that were not committed. ``batches`` commits
+    the replies in so many parts, which bounds what can be repeated;
+    ``concurrency`` bounds the number of tasks calling out at once. Without a
+    store the plan is lazy and each evaluation calls again."""
+
+    def run(pdfs: Iterator) -> Iterator:
+        for pdf in pdfs:
             bodies, errors = [], []
             for req in pdf["request_json"]:
                 try:
@@ -151,24 +165,27 @@ def complete_requests(
                 except Exception as exc:  # recorded per row
                     bodies.append(None)
                     errors.append(f"{type(exc).__name__}: {exc}")
-            yield pdf.assign(body=bodies, error=errors)[["repo", "path", "request_hash", "body", "error"]]
-
-    todo = requests_json.select("repo", "path", "request_hash", "request_json")
-    done = None
-    if store is not None:
-        spark = spark or requests_json.sparkSession
-        try:
-            done = spark.read.schema(REPLY_ROW).parquet(store)
-            todo = todo.join(done.select("request_hash").distinct(), "request_hash", "left_anti")
-        except Exception:  # nothing stored yet
-            done = None
-    if concurrency:
-        todo = todo.repartition(concurrency, "request_hash")
-    fresh = todo.mapInPandas(run, REPLY_ROW)
+            yield pdf.assign(body=bodies, error=errors)[["request_hash", "body", "error"]]
+
+    def called(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(concurrency, "request_hash") if concurrency else rows
+        return rows.mapInPandas(run, STORED)
+
+    asked = requests_json.select("repo", "path", "request_hash")
+    todo = requests_json.groupBy("request_hash").agg(F.min("request_json").alias("request_json"))
     if store is None:
-        return fresh
-    fresh.write.mode("append").parquet(store)
-    spark = spark or requests_json.sparkSession
-    return spark.read.schema(REPLY_ROW).parquet(store).join(
-        requests_json.select("repo", "path", "request_hash"), ["repo", "path", "request_hash"], "left_semi"
-    )
+        replies = called(todo)
+    else:
+        spark = requests_json.sparkSession
+        for part in range(batches):
+            wanted = todo if batches == 1 else todo.filter(F.pmod(F.xxhash64("request_hash"), F.lit(batches)) == part)
+            done = _stored(spark, store)
+            if done is not None:
+                good = done.filter(F.col("error").isNull()).select("request_hash")
+                wanted = wanted.join(good, "request_hash", "left_anti")
+            called(wanted).write.mode("append").parquet(store)
+        # of several rows for one request (failed, then answered) the answer
+        replies = _stored(spark, store).groupBy("request_hash").agg(
+            F.min_by(F.struct("body", "error"), F.struct(F.col("error").isNotNull(), "error", "body")).alias("r")
+        ).select("request_hash", "r.body", "r.error")
+    return asked.join(replies, "request_hash").select("repo", "path", "request_hash", "body", "error")

@@ -3,8 +3,8 @@
 ``plan_updates`` goes from two snapshots to requests; ``finish_updates``
 goes from stored replies to the rows to write. Two points are materialised
 in the shared checkpoint folder (``spark.checkpoint.dir``): the symbol diffs
-(read by three consumers) and the replies (external calls must never be
-repeated by a recompute).
+(read by three consumers) and the replies (an answered request is not asked
+again).
 """
 
 from __future__ import annotations
@@ -45,10 +45,10 @@ def plan_updates(
     an API change and within budget)."""
     old_src = SS.filter_source_files(old_snapshot, suffix)
     new_src = SS.filter_source_files(new_snapshot, suffix)
-    files = C.changed_files(old_src, new_src)
+    files = cut_lineage(C.changed_files(old_src, new_src))  # read by mining, selection and summary
     old_syms = MI.mine_declarations(files.select("repo", "path", F.col("old_content").alias("content"))).drop("exported")
     new_syms = MI.mine_declarations(files.select("repo", "path", F.col("new_content").alias("content"))).drop("exported")
-    diffs = cut_lineage(D.symbol_diff(old_syms, new_syms))
+    diffs = D.symbol_diff(old_syms, new_syms)  # stored inside, before renames are paired
     repos = files.select("repo").distinct()
     summary = A.summary_compact(diffs, repos)
     with_api_change = summary.filter(F.col("summary") != A.NO_CHANGES)
@@ -69,12 +69,18 @@ def plan_updates(
         "selected": selected,
         "budget": budget,
         "requests": RQ.request_json(requests),
-        "extract_errors": MI.extract_errors(files.select("repo", "path", F.col("new_content").alias("content"))),
+        "extract_errors": _errors(files, "old").unionByName(_errors(files, "new")),
     }
 
 
+def _errors(files: DataFrame, side: str) -> DataFrame:
+    """E12 rows of one version of the changed files."""
+    rows = files.select("repo", "path", F.col(f"{side}_content").alias("content"))
+    return MI.extract_errors(rows).withColumn("side", F.lit(side))
+
+
 def complete(requests_json: DataFrame, completer: Callable[[str], str], store: str) -> DataFrame:
-    """R0 with the reply store in shared storage (exactly-once per request)."""
+    """R0 with the reply store in shared storage (one stored reply per request)."""
     return RQ.complete_requests(requests_json, completer, store=store)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import attempts as AT
 from ..operators import requests as RQ
+from ..session import checkpoint_dir
 from ..sources import snapshots as SS
 from ..operators import changes as C
 from . import bindings as B
@@ -186,7 +188,8 @@ def q_preview_text(spark, sf):
         '[' || regexp_extract(regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g'), '^(\\S*)', 1) || ']' AS new_text FROM reqs""",
 )
 def q_complete_requests(spark, sf):
-    rep = RQ.complete_requests(RQ.request_json(_requests(spark, sf)), local_completer)
+    store = f"{checkpoint_dir(spark)}/docdrift-replies-{uuid.uuid4().hex}"
+    rep = RQ.complete_requests(RQ.request_json(_requests(spark, sf)), local_completer, store=store)
     content = F.get_json_object("body", "$.choices[0].message.content")
     return rep.select(
         "repo", "path", "error",
@@ -214,7 +217,7 @@ def q_classify_attempts(spark, sf):
                FROM cls2 WHERE attempt < 4),
     pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rk) AS rn FROM ranked) WHERE rn = 1)
     SELECT request_id, attempt AS final_attempt, status AS final_status,
-           CASE WHEN terminal THEN outcome ELSE 'exhausted' END AS final_outcome,
+           CASE WHEN terminal THEN outcome WHEN attempt = 3 THEN 'exhausted' ELSE 'unfinished' END AS final_outcome,
            terminal AND outcome = 'ok' AS succeeded, attempt + 1 AS attempts_used, message FROM pick""",
 )
 def q_final_attempt(spark, sf):

@@ -11,19 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import read_texts
 
 
 def read_doc_files(spark: SparkSession, root: str, repo: str, suffix: str = ".md") -> DataFrame:
     """Read Markdown files below ``root`` as ``repo, path, content``."""
-    df = (
-        # keyword arguments of ``text`` override ``.option`` values, so
-        # ``wholetext`` must be passed here to get one row per file
-        spark.read.text(root, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
-        .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("_abs"))
-    )
-    base = root.rstrip("/").replace("file:", "") + "/"
-    rel = F.expr(f"substring(regexp_replace(_abs, '^file:', ''), {len(base) + 1})")
-    return df.select(F.lit(repo).alias("repo"), rel.alias("path"), "content")
+    return read_texts(spark, root, suffix).select(F.lit(repo).alias("repo"), "path", "content")
 
 
 def _norm_root(c):

@@ -10,16 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let, trim_space
 from ..schemas import EDIT_RESPONSE, REPLY
 
-JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+#: A column that the parser fills when the text is not valid JSON of the schema.
+CORRUPT = "_corrupt_record"
+JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+PARSED = T.StructType([*REPLY.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def decode_replies(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``reply`` (choices / usage / error struct) decoded from the
-    body text and ``reply_ok`` (false when the body is not one JSON object).
+    body text and ``reply_ok`` (false when the body is not one JSON object,
+    malformed JSON included).
 
     The chain is written with ``let`` so the parse runs once per row even
     where the optimizer copies the expression (a filter pushed below the
@@ -29,8 +34,13 @@ def decode_replies(df: DataFrame, body: str = "body") -> DataFrame:
         lambda b: let(
             trim_space(b),
             lambda t: let(
-                F.when(t.startswith("{") & t.endswith("}"), F.from_json(b, REPLY)),
-                lambda r: F.struct(r.alias("reply"), r.isNotNull().alias("reply_ok")),
+                F.when(t.startswith("{") & t.endswith("}"), F.from_json(b, PARSED, JSON_OPTS)),
+                lambda r: let(
+                    r.isNotNull() & r[CORRUPT].isNull(),
+                    lambda ok: F.struct(
+                        F.when(ok, F.struct(*[r[f.name].alias(f.name) for f in REPLY.fields])).alias("reply"), ok.alias("reply_ok")
+                    ),
+                ),
             ),
         ),
     )

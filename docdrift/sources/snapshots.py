@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import read_texts
+
 SNAPSHOT_COLS = ["repo", "ref", "path", "content", "content_hash"]
 
 
@@ -25,31 +27,14 @@ def read_snapshot_files(
     ref: str,
     suffix: str = ".go",
 ) -> DataFrame:
-    """S1 for files on (shared) storage: one row per file below ``root``.
-
-    ``wholetext`` gives one row per file; the suffix filter is pushed into
-    the file listing by ``pathGlobFilter``. Paths are made relative to
-    ``root``.
-    """
-    df = (
-        # keyword arguments of ``text`` override ``.option`` values, so
-        # ``wholetext`` must be passed here to get one row per file
-        spark.read.text(root, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
-        .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("_abs"))
-    )
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("_abs", "^file:", ""), "^" + _re_escape(base.replace("file:", "")), "")
+    """S1 for files on (shared) storage: one row per file below ``root``, its
+    path relative to ``root``."""
+    files = read_texts(spark, root, suffix)
     return with_hash(
-        df.select(F.lit(repo).alias("repo"), F.lit(ref).alias("ref"), rel.alias("path"), "content")
+        files.select(F.lit(repo).alias("repo"), F.lit(ref).alias("ref"), "path", "content")
     ).select(*SNAPSHOT_COLS)
 
 
-def _re_escape(s: str) -> str:
-    import re
-
-    return re.escape(s)
-
-
 def read_snapshot_table(spark: SparkSession, path: str, ref: str | None = None) -> DataFrame:
     """S1 for a Parquet snapshot table partitioned by ``repo, ref``."""
     df = spark.read.parquet(path)
@@ -59,10 +44,12 @@ def read_snapshot_table(spark: SparkSession, path: str, ref: str | None = None)
 
 
 def write_snapshot_table(df: DataFrame, path: str) -> None:
-    """Write snapshots partitioned by ``repo, ref`` (dynamic overwrite)."""
+    """Write snapshots partitioned by ``repo, ref`` (dynamic overwrite). Rows
+    are dealt out by ranges of ``(repo, ref, path)``, so a large version is
+    written by many tasks and a small one by few."""
     (
         with_hash(df.drop("content_hash")).select(*SNAPSHOT_COLS)
-        .repartition("repo", "ref")
+        .repartitionByRange("repo", "ref", "path")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repo", "ref")
