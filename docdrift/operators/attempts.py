@@ -75,8 +75,9 @@ def classify_attempts(attempts: DataFrame) -> DataFrame:
 
 def final_attempt(classified: DataFrame) -> DataFrame:
     """R2: per request, the first attempt that succeeded or failed for good,
-    among the first four; if there is none, the last of them with outcome
-    ``exhausted``."""
+    among the first four; if there is none, the last of them, with outcome
+    ``exhausted`` after the fourth and ``unfinished`` while attempts are
+    left."""
     within = classified.filter(F.col("attempt") < MAX_ATTEMPTS)
     terminal = (F.col("outcome") == "ok") | ~F.col("retryable")
     # terminal attempts rank by attempt number and before every other row;
@@ -90,7 +91,9 @@ def final_attempt(classified: DataFrame) -> DataFrame:
         "request_id",
         F.col("p.attempt").alias("final_attempt"),
         F.col("p.status").alias("final_status"),
-        F.when(F.col("p.terminal"), F.col("p.outcome")).otherwise(F.lit("exhausted")).alias("final_outcome"),
+        F.when(F.col("p.terminal"), F.col("p.outcome")).when(
+            F.col("p.attempt") == MAX_ATTEMPTS - 1, "exhausted"
+        ).otherwise("unfinished").alias("final_outcome"),
         (F.col("p.terminal") & (F.col("p.outcome") == "ok")).alias("succeeded"),
         (F.col("p.attempt") + 1).alias("attempts_used"),
         F.col("p.message").alias("message"),

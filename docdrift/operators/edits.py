@@ -86,7 +86,9 @@ def apply_edits(docs: DataFrame, replies: DataFrame, keys: list[str] | None = No
     )
     zero = F.struct(F.col("content").alias("content"), F.array().cast(LOG_T).alias("log"))
     folded = F.aggregate(numbered, zero, _step(F.col("path")))
-    return j.select(*keys, "content", folded["content"].alias("new_content"), folded["log"].alias("log"))
+    # a generator row: a filter on the result is not pushed into the fold, so
+    # the fold runs once per document however often its result is read
+    return j.select(*keys, "content", F.inline(F.array(folded)).alias("new_content", "log"))
 
 
 def skipped_edits(applied: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ _REL = "CASE doc_id % 3 WHEN 0 THEN 'a/' WHEN 1 THEN '../' ELSE 'a/../' END || s
         octet_length(encode(text)) AS n_bytes,
         octet_length(encode(text)) // 4 AS est_tokens,
         CAST(CAST(round_even(100.0 * length(text) / octet_length(encode(text)), 0) AS BIGINT) AS VARCHAR) AS ascii_pct,
-        {go_quote_sql('substring(text, 1, 20)')} AS quoted,
+        md5({go_quote_sql('text')}) AS quoted_md5,
         md5(regexp_replace(text, '<!--[\\s\\S]*?-->', '', 'g')) AS no_comments_md5,
         CAST(to_json({{'lang': lang, 'doc_id': doc_id}}) AS VARCHAR) AS as_json,
         TRY_CAST(substring(source, 4) AS INTEGER) AS source_no,
@@ -64,10 +64,10 @@ def q_scalar_functions(spark, sf):
         T.byte_len(text).alias("n_bytes"),
         F.floor(T.byte_len(text) / 4).cast("bigint").alias("est_tokens"),
         T.percent0(100.0 * F.length(text) / T.byte_len(text)).alias("ascii_pct"),
-        T.go_quote(F.substring(text, 1, 20)).alias("quoted"),
+        F.md5(T.go_quote(text)).alias("quoted_md5"),
         F.md5(strip_comments(text)).alias("no_comments_md5"),
         F.to_json(F.struct("lang", "doc_id")).alias("as_json"),
-        F.substring("source", 4, 1 << 20).try_cast("int").alias("source_no"),
+        F.substr("source", F.lit(4)).try_cast("int").alias("source_no"),
         F.least(F.pow(F.lit(2.0), F.col("doc_id") % 8), F.lit(30.0)).alias("backoff_s"),
         stays_inside_root(F.concat(rel, F.col("source"))).alias("safe"),
         T.upper_initial(text).alias("exported"),
