@@ -126,7 +126,7 @@ _CMP_FIELDS = ["kind", "signature", "recv", "params", "returns", "fields", "meth
 _SYMBOL_DEFAULTS = {
     "repo": ("string", ""),
     "path": ("string", ""),
-    "ordinal": ("int", 0),
+    "ordinal": ("bigint", 0),
     "name": ("string", ""),
     "kind": ("string", "unknown"),
     "signature": ("string", ""),

@@ -7,10 +7,13 @@ spec a member line belongs to are running values over the lines of one
 file (window functions partitioned by ``(repo, path)``, ordered by line).
 Each file's lines meet in one task, as the file itself did in one row.
 
-Limits (documented, not hidden): block comments and raw strings that put
-declaration-like text in column 0 mislead the scan; members of anonymous
-structs nested inside a struct are not listed; ``//`` inside a string literal
-on a declaration line is taken for a comment.
+Structure is read from a masked copy of the text, of the same length, in which
+comments are blank and the insides of string, rune and raw literals are
+underscores; so brackets, comment marks and declaration-like text in them
+mislead nothing.
+
+Limits (documented, not hidden): a block comment is no documentation; members
+of anonymous structs nested inside a struct are part of their field's type.
 """
 
 from __future__ import annotations
@@ -19,10 +22,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, memo_column, upper_initial
-from .changes import split_lines
 from .diff import SYMBOL_KEYS
 
 DECL_RE = r"^(func|type|const|var|import)\b"
+#: An identifier: letters of any script, digits and underscores.
+IDENT = r"[\p{L}_][\p{L}\p{Nd}_]*"
+#: Type parameters behind a name (three levels of brackets).
+TYPE_PARAMS = r"\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\]"
+#: Comments, literals and the text between them.
+TOKEN_RE = (
+    r"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|\"(?:[^\"\\\n]++|\\.)*+\"?|`[^`]*+`?|'(?:[^'\\\n]++|\\.)*+'?|[^/\"`']++|/"
+)
+#: Stands where a line comment starts in the masked text.
+MARK = "\u0001"
+#: Declarations of one line, in their order, below this many.
+PER_LINE = 1_000_000
 # Words that start a type, so ``chan int`` is not a name
 # followed by a type.
 TYPE_WORDS = ["chan", "func", "map", "struct", "interface"]
@@ -39,14 +53,26 @@ def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def code_part(line) -> Column:
-    """The line without a trailing ``//`` comment (when no quote precedes it)."""
-    return F.regexp_replace(line, r"^([^\"`]*?)\s*//.*$", "$1")
-
+def mask(content) -> Column:
+    """The text with comments blank (``MARK`` where a line comment starts) and
+    the insides of literals as underscores; lines and columns stay."""
+
+    def masked(t):
+        return (
+            F.when(t.startswith("//"), F.concat(F.lit(MARK), F.repeat(F.lit(" "), F.length(t) - 1)))
+            .when(t.startswith("/*"), F.regexp_replace(t, r"[^\n]", " "))
+            .when(
+                t.rlike("^[\"`']"),
+                F.concat(
+                    F.substr(t, F.lit(1), F.lit(1)),
+                    F.regexp_replace(F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))), r"[^\n]", "_"),
+                    F.when(F.length(t) > 1, F.substr(t, F.length(t), F.lit(1))).otherwise(F.lit("")),
+                ),
+            )
+            .otherwise(t)
+        )
 
-def trailing_comment(line) -> Column:
-    """Text of a ``// ...`` comment after code on the same line, else ''."""
-    return F.regexp_extract(line, r"^[^\"`]*?\S[^\"`]*?\s*//\s?(.*?)\s*$", 1)
+    return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(TOKEN_RE), F.lit(0)), masked), "")
 
 
 def _delta(code) -> Column:
@@ -121,7 +147,7 @@ def parse_params(list_text) -> Column:
     a type keyword (``chan int`` is one unnamed type)."""
     parts = split_top(list_text)
     kw = "|".join(TYPE_WORDS)
-    named_re = rf"^(?!(?:{kw})\b)([A-Za-z_]\w*)\s+(\S.*)$"
+    named_re = rf"^(?!(?:{kw})\b)({IDENT})\s+(\S.*)$"
 
     def build(ps):
         named = F.exists(ps, lambda p: p.rlike(named_re))
@@ -152,17 +178,20 @@ def parse_func_header(header) -> Column:
         has_recv = F.trim(F.try_element_at(gs, F.lit(1))["pre"]) == "func"
         k = F.when(has_recv, 2).otherwise(1)
         named = F.try_element_at(gs, k)
-        name = F.regexp_extract(named["pre"], r"([A-Za-z_]\w*)\s*(\[.*\])?\s*$", 1)
+        name = F.regexp_extract(named["pre"], rf"({IDENT})\s*(\[.*\])?\s*$", 1)
         recv_text = F.when(has_recv, F.try_element_at(gs, F.lit(1))["inner"]).otherwise(F.lit(""))
         # "s *T" or "*T": drop the receiver name, then one "*"
-        recv_type = F.regexp_replace(squeeze(F.regexp_replace(recv_text, r"^\s*[A-Za-z_]\w*\s+(?=\S)", "")), r"^\*", "")
+        recv_type = F.regexp_replace(squeeze(F.regexp_replace(recv_text, rf"^\s*{IDENT}\s+(?=\S)", "")), r"^\*", "")
         res_group = F.try_element_at(gs, k + 1)
-        tail = F.when(res_group.isNotNull(), res_group["pre"]).otherwise(tg["tail"])
-        bare = squeeze(F.regexp_replace(F.coalesce(tg["tail"], F.lit("")), r"\s*\{[^{}]*\}?\s*$", ""))
+        # what follows the last list, up to the body's brace (a brace after
+        # ``interface`` or ``struct`` belongs to a type)
+        after = F.coalesce(tg["tail"], F.lit(""))
+        before_body = F.regexp_extract(after, r"^((?:(?:interface|struct)\s*\{[^{}]*\}|[^{])*)", 1)
+        bare = squeeze(before_body)
         returns = F.when(res_group.isNotNull(), parse_params(res_group["inner"])).when(
             bare != "", F.array(F.struct(F.lit("").alias("name"), bare.alias("type")))
         ).otherwise(F.array().cast(PARAM_T))
-        sig = squeeze(F.regexp_replace(header, r"\s*\{[^{}]*\}?\s*$", ""))
+        sig = squeeze(F.substr(header, F.lit(1), F.length(header) - F.length(after) + F.length(before_body)))
         return F.struct(
             recv_text.alias("recv_text"),
             recv_type.alias("recv"),
@@ -170,7 +199,6 @@ def parse_func_header(header) -> Column:
             parse_params(named["inner"]).alias("params"),
             returns.alias("returns"),
             sig.alias("signature"),
-            tail.alias("_tail"),
         )
 
     return let(top_groups(header), with_groups)
@@ -180,24 +208,35 @@ def parse_func_header(header) -> Column:
 
 
 def line_table(files: DataFrame) -> DataFrame:
-    """C5 + per-line state: ``repo, path, line_no, line, code, kw, block,
+    """C5 + per-line state: ``repo, path, line_no, code (masked), text (the line without its comment), kw, block,
     in_block, depth (before the line, inside its block), doc_above,
     comment``."""
-    lines = split_lines(files.select("repo", "path", "content"))
+    text = files.filter(F.col("content") != "").select("repo", "path", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("_t"))
+    both = F.arrays_zip(F.split("_t", "\n", -1).alias("line"), F.split(mask(F.col("_t")), "\n", -1).alias("masked"))
+    lines = text.select("repo", "path", F.posexplode(both).alias("_i", "_l")).select(
+        "repo", "path", (F.col("_i") + 1).alias("line_no"), "_l.line", "_l.masked"
+    )
     w = Window.partitionBy("repo", "path").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
 
-    code = code_part(F.col("line"))
-    is_comment = F.col("line").rlike(r"^\s*//")
-    kw = F.regexp_extract("line", DECL_RE, 1)
-    is_decl = kw != ""
-    opens = F.col("code").rlike(r"[{(]\s*$")
-    closer = F.col("line").rlike(r"^[)}]") & ~F.col("code").rlike(r"\{\s*$")
+    mark = F.instr("masked", MARK)
+    def before_comment(c):
+        return F.regexp_replace(F.when(mark > 0, F.substr(c, F.lit(1), mark - 1)).otherwise(F.col(c)), r"\s+$", "")
+
+    code = before_comment("masked")
+    is_comment = (mark > 0) & (code == "")
+    kw = F.regexp_extract("masked", DECL_RE, 1)
+    is_decl = F.col("kw") != ""
+    opens = F.col("code").rlike(r"[{(]$")
+    closer = F.col("code").rlike(r"^[)}]") & ~F.col("code").rlike(r"\{$")
+    note = F.regexp_replace(F.regexp_replace(F.substr("line", mark + 2), r"^\s", ""), r"\s+$", "")
     df = lines.select(
-        "repo", "path", "line_no", "line",
-        F.when(is_comment, F.lit("")).otherwise(code).alias("code"),
+        "repo", "path", "line_no",
+        code.alias("code"),
+        before_comment("line").alias("text"),
         is_comment.alias("is_comment"),
+        F.when(mark > 0, note).otherwise(F.lit("")).alias("note"),
         kw.alias("kw"),
     )
     df = df.withColumn("ends_block", (is_decl & ~opens) | closer)
@@ -216,14 +255,13 @@ def line_table(files: DataFrame) -> DataFrame:
     df = df.withColumn(
         "_island", F.last(F.when(F.col("is_comment") & ~F.col("_prev_comment"), F.col("line_no")), ignorenulls=True).over(upto)
     )
-    txt = F.regexp_replace(F.regexp_replace("line", r"^\s*//\s?", ""), r"\s+$", "")
     wi = Window.partitionBy("repo", "path", "_island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_doc_so_far", F.when(F.col("is_comment"), F.array_join(F.collect_list(txt).over(wi), "\n")))
+    df = df.withColumn("_doc_so_far", F.when(F.col("is_comment"), F.array_join(F.collect_list("note").over(wi), "\n")))
     df = df.withColumn(
         "doc_above",
         F.when(F.col("_prev_comment"), F.concat(F.lag("_doc_so_far").over(w), F.lit("\n"))).otherwise(F.lit("")),
-    ).withColumn("comment", F.when(~F.col("is_comment"), trailing_comment(F.col("line"))).otherwise(F.lit("")))
-    return df.drop("_end_before", "_cum", "_prev_comment", "_island", "_doc_so_far")
+    ).withColumn("comment", F.when(~F.col("is_comment"), F.col("note")).otherwise(F.lit("")))
+    return df.drop("_end_before", "_cum", "_prev_comment", "_island", "_doc_so_far", "note")
 
 
 def _doc(own, trailing) -> Column:
@@ -233,14 +271,26 @@ def _doc(own, trailing) -> Column:
 # --- E1-E12 ------------------------------------------------------------------------
 
 
-def _unparsable() -> Column:
-    return (F.col("content") != "") & ~F.col("content").rlike(r"(?m)^package\s+\w+")
+def _syntax_error() -> Column:
+    """What keeps ``content`` from being read, else null."""
+
+    def found(m):
+        def count(c):
+            return F.length(m) - F.length(F.replace(m, F.lit(c), F.lit("")))
+
+        code = F.regexp_replace(m, rf"^[\s{MARK}]+", "")
+        return F.when(~code.rlike(rf"^package\s+{IDENT}"), F.lit("expected 'package' clause")).when(
+            (count("(") != count(")")) | (count("{") != count("}")) | (count("[") != count("]")), F.lit("unbalanced brackets")
+        )
+
+    return F.when(F.col("content") != "", let(mask(F.col("content")), found))
 
 
 def extract_errors(files: DataFrame) -> DataFrame:
-    """Non-empty files without a ``package`` clause outside comments
-    cannot be parsed; they yield no symbols and one error row."""
-    return files.filter(_unparsable()).select("repo", "path", F.lit("expected 'package' clause").alias("error"))
+    """Non-empty files that do not start with a ``package`` clause (apart
+    from comments) or whose brackets do not match cannot be parsed; they yield
+    no symbols and one error row."""
+    return files.select("repo", "path", _syntax_error().alias("error")).filter(F.col("error").isNotNull())
 
 
 def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame:
@@ -248,19 +298,19 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
     ``SYMBOLS`` schema (plus ``exported``). Files that fail E12 give nothing."""
     # (repo, path) names one file, so dropping the E12 files is a row filter,
     # not an anti join that would shuffle every file's text
-    ok = files.filter(~_unparsable())
+    ok = files.filter(_syntax_error().isNull())
     lt = line_table(ok)
     w = Window.partitionBy("repo", "path").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
     # type and value specs: the decl line of an ungrouped declaration, or a
     # depth-1 line of a grouped one
-    grouped = F.col("_block_line").rlike(r"^(type|const|var)\s*\($")
-    lt = lt.withColumn("_block_line", F.last(F.when(F.col("kw") != "", F.col("line")), ignorenulls=True).over(upto))
-    spec_text = F.when(F.col("kw") != "", F.regexp_replace("code", r"^(type|const|var)\s+", "")).otherwise(F.trim("code"))
+    grouped = F.col("_block_code").rlike(r"^(type|const|var)\s*\($")
+    lt = lt.withColumn("_block_code", F.last(F.when(F.col("kw") != "", F.col("code")), ignorenulls=True).over(upto))
+    spec_text = F.when(F.col("kw") != "", F.regexp_replace("text", r"^(type|const|var)\s+", "")).otherwise(F.col("text"))
     is_spec = F.col("block_kw").isin("type", "const", "var") & F.col("in_block") & (
         ((F.col("kw") != "") & ~grouped) | (grouped & (F.col("depth") == 1) & (F.col("kw") == ""))
-    ) & ~F.col("is_comment") & (F.trim("code") != "") & ~F.col("line").rlike(r"^[)}]")
+    ) & ~F.col("is_comment") & (F.trim("code") != "") & ~F.col("code").rlike(r"^[)}]")
     lt = lt.withColumn("is_spec", is_spec).withColumn("spec_text", F.when(is_spec, squeeze(spec_text)))
     lt = lt.withColumn("_block_doc", F.last(F.when(F.col("kw") != "", F.col("doc_above")), ignorenulls=True).over(upto))
     lt = lt.withColumn("_spec_line", F.last(F.when(F.col("is_spec"), F.col("line_no")), ignorenulls=True).over(upto))
@@ -289,7 +339,7 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
         ),
     )
     fns = fn_hdr.select("repo", "path", "block", "doc", fn_header.alias("f")).select(
-        "repo", "path", F.col("block").alias("ordinal"),
+        "repo", "path", (F.col("block").cast("long") * PER_LINE).alias("ordinal"),
         F.when(F.col("f.recv_text") != "", F.concat(F.col("f.recv"), F.lit("."), F.col("f.name"))).otherwise(F.col("f.name")).alias("name"),
         F.when(F.col("f.recv_text") != "", F.lit("method")).otherwise(F.lit("func")).alias("kind"),
         F.col("f.signature").alias("signature"),
@@ -304,17 +354,37 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
     )
 
     # --- members of struct / interface specs (one level below the spec)
-    member = (
-        F.col("in_block") & ~F.col("is_spec") & ~F.col("is_comment") & (F.trim("code") != "")
-        & (F.col("depth") == F.col("_spec_depth") + 1) & ~F.col("line").rlike(r"^\s*[)}]")
-        & (F.col("block_kw") == "type")
+    rel = F.col("depth") - F.col("_spec_depth")
+    inside = lt.filter(
+        F.col("in_block") & ~F.col("is_spec") & ~F.col("is_comment") & (F.trim("code") != "") & (F.col("block_kw") == "type")
+        & (rel >= 1) & (rel + _delta(F.col("code")) >= 1)  # not the line that closes the spec
     )
-    members = lt.filter(member).select(
-        "repo", "path", F.col("_spec_line").alias("spec_line"), "line_no", squeeze(F.col("code")).alias("m"),
-        _doc(F.col("doc_above"), F.col("comment")).alias("mdoc"),
+    # a member may span lines: a parameter list, a nested struct
+    starts = (rel == 1) & ~F.col("code").rlike(r"^\s*[)}\]]")
+    inside = inside.withColumn("_first", F.last(F.when(starts, F.col("line_no")), ignorenulls=True).over(upto))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", squeeze(F.col("text")).alias("c"), "doc_above", "comment")))
+
+    def joined(acc, x):
+        follows = acc.rlike(r"[({\[,;]$") | x["c"].rlike(r"^[)}\]]") | (acc == "")
+        return F.concat(acc, F.when(acc == "", "").when(follows, " ").otherwise("; "), x["c"])
+
+    text = F.regexp_replace(F.regexp_replace(F.aggregate("_p", F.lit(""), joined), r"\(\s+", "("), r",?\s*\)", ")")
+    spread = inside.groupBy("repo", "path", F.col("_spec_line").alias("spec_line"), F.col("_first").alias("line_no")).agg(
+        parts.alias("_p")
+    ).select(
+        "repo", "path", "spec_line", "line_no", squeeze(text).alias("m"),
+        _doc(F.col("_p")[0]["doc_above"], F.element_at("_p", -1)["comment"]).alias("mdoc"),
     )
-    field_re = r"^([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s+([^`]+?)\s*(`.*`)?$"
-    fields = members.filter(~F.col("m").rlike(r"^[A-Za-z_]\w*\(")).select(
+    # a body on the spec's own line
+    body_re = rf"^{IDENT}(?:{TYPE_PARAMS})?\s*(?:struct|interface)\s*\{{(.*)\}}$"
+    inline = lt.filter(F.col("is_spec") & (F.col("block_kw") == "type") & F.col("spec_text").rlike(body_re)).select(
+        "repo", "path", F.col("line_no").alias("spec_line"),
+        F.posexplode(split_top(F.regexp_extract("spec_text", body_re, 1), ";")).alias("line_no", "m"),
+    ).filter(F.col("m") != "").select("repo", "path", "spec_line", "line_no", squeeze(F.col("m")).alias("m"), F.lit("").alias("mdoc"))
+    members = spread.unionByName(inline)
+    field_re = rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s+([^`]+?)\s*(`.*`)?$"
+    method_re = rf"^{IDENT}\("
+    fields = members.filter(~F.col("m").rlike(method_re)).select(
         "repo", "path", "spec_line", "line_no", "mdoc", "m",
         F.when(F.col("m").rlike(field_re), F.split(F.regexp_extract("m", field_re, 1), r"\s*,\s*")).alias("_names"),
         F.regexp_extract("m", field_re, 2).alias("_type"),
@@ -330,14 +400,14 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
             )
         ).alias("fs"),
     )
-    methods = members.filter(F.col("m").rlike(r"^[A-Za-z_]\w*\(")).select(
+    methods = members.filter(F.col("m").rlike(method_re)).select(
         "repo", "path", "spec_line", "line_no", "m",
         F.array(
             let(
                 memo_column("method_header", lambda: parse_func_header(F.concat(F.lit("func "), F.col("m")))),
                 lambda f: F.struct(
                     f["name"].alias("name"),
-                    F.concat(F.lit("func"), F.regexp_replace(F.col("m"), r"^[A-Za-z_]\w*", "")).alias("type"),
+                    F.concat(F.lit("func"), F.regexp_replace(F.col("m"), rf"^{IDENT}", "")).alias("type"),
                     F.col("mdoc").alias("doc"),
                 ),
             )
@@ -357,11 +427,11 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
     # --- type specs (E8) and value specs
     specs = lt.filter("is_spec").select(
         "repo", "path", "line_no", "block", "block_kw", "spec_text", "doc_above", "comment", "_block_doc",
-        F.col("_block_line").rlike(r"^(type|const|var)\s*\($").alias("_grouped"),
+        grouped.alias("_grouped"),
     )
     t = specs.filter(F.col("block_kw") == "type")
-    tname = F.regexp_extract("spec_text", r"^([A-Za-z_]\w*)", 1)
-    trest = F.trim(F.regexp_replace("spec_text", r"^[A-Za-z_]\w*(\[[^\]]*\])?\s*", ""))
+    tname = F.regexp_extract("spec_text", rf"^({IDENT})", 1)
+    trest = F.trim(F.regexp_replace("spec_text", rf"^{IDENT}(?:{TYPE_PARAMS})?\s*", ""))
     tkind = (
         F.when(trest.rlike(r"^struct\b"), "struct")
         .when(trest.rlike(r"^interface\b"), "interface")
@@ -369,7 +439,7 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
         .otherwise("type")
     )
     types = t.join(per_spec.withColumnRenamed("spec_line", "line_no"), ["repo", "path", "line_no"], "left").select(
-        "repo", "path", F.col("line_no").alias("ordinal"), tname.alias("name"), tkind.alias("kind"),
+        "repo", "path", (F.col("line_no").cast("long") * PER_LINE).alias("ordinal"), tname.alias("name"), tkind.alias("kind"),
         F.when(
             tkind.isin("struct", "interface"),
             F.concat(F.lit("type "), tname, F.lit(" "), tkind, F.lit(" {"), F.coalesce("body", F.lit("")), F.lit("}")),
@@ -387,7 +457,7 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
     )
 
     v = specs.filter(F.col("block_kw").isin("const", "var"))
-    val_re = r"^([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s*([^=]*?)\s*(=.*)?$"
+    val_re = rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s*([^=]*?)\s*(=.*)?$"
     v = v.select(
         "repo", "path", "line_no", "block", "block_kw", "doc_above", "comment", "_grouped",
         F.split(F.regexp_extract("spec_text", val_re, 1), r"\s*,\s*").alias("_names"),
@@ -407,7 +477,7 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
         "repo", "path", "line_no", "block_kw", "doc_above", "comment", "_vtype", "grp",
         F.posexplode("_names").alias("_i", "name"),
     ).select(
-        "repo", "path", (F.col("line_no") * 1000 + F.col("_i")).cast("int").alias("ordinal"), "name",
+        "repo", "path", (F.col("line_no").cast("long") * PER_LINE + F.col("_i")).alias("ordinal"), "name",
         F.col("block_kw").alias("kind"),
         F.when(F.col("_vtype") != "", F.concat_ws(" ", "block_kw", "name", "_vtype")).otherwise(F.concat_ws(" ", "block_kw", "name")).alias("signature"),
         _doc(F.col("doc_above"), F.col("comment")).alias("doc"),
@@ -419,7 +489,7 @@ def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame
         "grp",
         upper_initial(F.col("name")).alias("exported"),
     )
-    out = fns.unionByName(types).unionByName(values).withColumn("ordinal", F.col("ordinal").cast("int"))
+    out = fns.unionByName(types).unionByName(values)
     if exported_only:
         out = out.filter("exported")
     return out.select(*[c for c in SYMBOL_KEYS[:2]], "ordinal", "name", "kind", "signature", "doc", "recv",

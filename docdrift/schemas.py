@@ -36,7 +36,7 @@ SYMBOLS = T.StructType(
     [
         T.StructField("repo", S),
         T.StructField("path", S),
-        T.StructField("ordinal", I),
+        T.StructField("ordinal", L),
         T.StructField("name", S),
         T.StructField("kind", S),
         T.StructField("signature", S),
