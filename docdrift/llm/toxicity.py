@@ -12,6 +12,7 @@ The model is fitted by numpy on a bounded, documented sample of labelled rows
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,34 +40,46 @@ def terms_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def indicative(documents: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Terms that point to toxicity: the toxic share of the documents that
-    hold the term is at least ``MIN_LIFT`` times the usual one, and Chernoff's
-    bound makes it unlikely (``CHANCE`` over all terms) that this is luck."""
-    usual = toxic.mean() if len(toxic) else 0.0
-    if usual in (0.0, 1.0):
+def indicative(fitted_on: DataFrame) -> list[str]:
+    """Terms of ``fitted_on(toxic boolean, terms array)`` that point to
+    toxicity: the toxic share of the documents that hold the term is at least
+    ``MIN_LIFT`` times the usual one, and Chernoff's bound makes it unlikely
+    (``CHANCE`` over all terms) that this is luck. Terms are counted by Spark;
+    at most ``MAX_TERMS``, the surest, come to the driver."""
+    total = fitted_on.agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("k")).first()
+    if not 0 < total["k"] < total["n"]:
         return []
-    counts: dict[str, list[int]] = {}
-    for words, bad in zip(documents, toxic.astype(int).tolist(), strict=True):
-        for w in words:
-            counts.setdefault(w, [0, 0])[bad] += 1
-    names = sorted(counts)
-    c = np.array([counts[w] for w in names], dtype=float).reshape(-1, 2)
-    n, share = c.sum(axis=1), c[:, 1] / c.sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = np.nan_to_num(share * np.log(share / usual)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - usual)))
-    good = (share >= min(MIN_LIFT * usual, (1 + usual) / 2)) & (n * far >= np.log(max(1, len(names)) / CHANCE))
-    best = np.flatnonzero(good)[np.argsort(-(n * far)[good], kind="stable")[:MAX_TERMS]]
-    return [names[k] for k in best]
-
-
-def severity(documents: list[set[str]], toxic: np.ndarray, terms: set[str], grades: int = GRADES) -> np.ndarray:
+    usual = total["k"] / total["n"]
+    counts = cut_lineage(
+        fitted_on.select("toxic", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("k"))
+    )
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    clean = F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - usual)))).otherwise(0.0)
+    cause = k * F.log(k / (n * usual)) + clean
+    sure = counts.where((k > 0) & (k / n >= min(MIN_LIFT * usual, (1 + usual) / 2)))
+    sure = sure.select("term", cause.alias("cause")).where(F.col("cause") >= math.log(max(1, counts.count()) / CHANCE))
+    return [r["term"] for r in sure.orderBy(F.desc("cause"), "term").limit(MAX_TERMS).collect()]
+
+
+def terms_column(text: Column) -> Column:
+    """The distinct lower-case words of each text."""
+
+    @F.pandas_udf("array<string>")
+    def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted(terms_of(t)) for t in texts])
+
+    return terms(text)
+
+
+def severity(held: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades for labels that only tell toxic from clean: 0 for clean, and for
     toxic ones 1 to ``grades`` by how many of the terms that point to toxicity
     they hold, cut at the toxic documents' own quantiles."""
-    held = np.array([len(words & terms) for words in documents])
     if not toxic.any():
-        return np.zeros(len(documents), dtype=int)
+        return np.zeros(len(held), dtype=int)
     cuts = np.quantile(held[toxic], np.arange(1, grades) / grades)
     return np.where(toxic, 1 + (held[:, None] > cuts).sum(axis=1), 0)
 
@@ -133,30 +146,35 @@ def train(
     has no weights and calls nothing toxic."""
     label = F.col(grade_col or label_col).cast("int")
     wanted = labels.select(F.col(id_col).alias("id"), label.alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
-    chosen = cut_lineage(wanted.orderBy(F.xxhash64("id"), "id", "grade").limit(max_rows))  # the bounded sample
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(chosen, "id").where("text IS NOT NULL")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"].astype(str), "grade": b["grade"], "terms": [" ".join(sorted(terms_of(t))) for t in b["text"]]})
-
-    fitted_on = rows.mapInPandas(read, "id string, grade int, terms string").toPandas().sort_values(["id", "grade", "terms"])
-    words = [set(t.split()) for t in fitted_on["terms"]]
-    grade = fitted_on["grade"].to_numpy(dtype=int)
-    toxic = grade > 0
-    names = indicative(words, toxic)
-    levels = int(grade.max(initial=1)) if grade_col else GRADES
+    # The bounded sample: ids and grades of at most max_rows labels.
+    chosen = cut_lineage(wanted.orderBy(F.xxhash64("id"), "id", "grade").limit(max_rows))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = texts.join(F.broadcast(chosen), "id")
+    fitted_on = cut_lineage(
+        rows.select("id", "grade", (F.col("grade") > 0).alias("toxic"), terms_column(F.col("text")).alias("terms"))
+    )
+    names = indicative(fitted_on)
+    levels = GRADES
+    if grade_col:
+        levels = max(1, fitted_on.agg(F.max("grade")).first()[0] or 1)
     if not names:
-        return Ordinal({}, tuple(range(1, levels + 1)))
+        return Ordinal({}, tuple(float(k) for k in range(1, levels + 1)))
+    held = F.array_sort(F.array_intersect("terms", F.lit(names)))
+    sample = sorted(
+        (str(r["id"]), r["grade"], tuple(r["held"])) for r in fitted_on.select("id", "grade", held.alias("held")).collect()
+    )
+    grade = np.array([g for _, g, _ in sample], dtype=int)
+    words = [h for _, _, h in sample]
     if not grade_col:
-        grade = severity(words, toxic, set(names))
-    place = {w: i for i, w in enumerate(names)}
+        grade = severity(np.array([len(h) for h in words]), grade > 0)
+    place = {w: i for i, w in enumerate(sorted(names))}
     features = np.zeros((len(words), len(names)), dtype=np.float32)
     for i, own in enumerate(words):
-        features[i, [place[w] for w in own if w in place]] = 1
+        features[i, [place[w] for w in own]] = 1
     weights, thresholds = fit_ordinal(features, grade, levels)
-    return Ordinal({w: float(x) for w, x in zip(names, weights, strict=True)}, tuple(float(x) for x in thresholds))
+    return Ordinal(
+        {w: float(x) for w, x in zip(sorted(names), weights, strict=True)}, tuple(float(x) for x in thresholds)
+    )
 
 
 class _Chunks(dict):

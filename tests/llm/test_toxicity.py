@@ -24,19 +24,19 @@ def test_gradient_is_that_of_the_likelihood():
     assert (np.diff(above, axis=1) <= 0).all()
 
 
-def test_indicative_terms_need_cause():
+def test_indicative_terms_need_cause(llm):
     rng = np.random.default_rng(1)
-    words = [set(f"w{k}" for k in rng.integers(0, 400, size=20)) for _ in range(1000)]
-    toxic = np.arange(1000) < 100
+    rows = [(i < 100, sorted({f"w{k}" for k in rng.integers(0, 400, size=20)})) for i in range(1000)]
     for i in range(100):
-        words[i].add("bad" if i % 2 else "worse")
-    assert set(T.indicative(words, toxic)) == {"bad", "worse"}
-    assert T.indicative(words, np.zeros(1000, dtype=bool)) == [] and T.indicative([], np.zeros(0, dtype=bool)) == []
+        rows[i][1].append("bad" if i % 2 else "worse")
+    schema = "toxic boolean, terms array<string>"
+    assert sorted(T.indicative(llm.createDataFrame(rows, schema))) == ["bad", "worse"]
+    assert T.indicative(llm.createDataFrame([(False, w) for _, w in rows], schema)) == []
+    assert T.indicative(llm.createDataFrame([], schema)) == []
 
 
 def test_severity_grows_with_toxic_terms():
-    docs = [set(), {"bad"}, {"bad", "worse"}, {"bad", "worse", "worst"}]
-    grade = T.severity(docs, np.array([False, True, True, True]), {"bad", "worse", "worst"})
+    grade = T.severity(np.array([0, 1, 2, 3]), np.array([False, True, True, True]))
     assert grade.tolist() == [0, 1, 2, 3]
 
 
