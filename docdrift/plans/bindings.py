@@ -166,11 +166,11 @@ def _ext(doc_id):
     return F.when(doc_id % 6 == 5, F.lit(".txt")).when(doc_id % 6 == 4, F.lit("_test.go")).otherwise(F.lit(".go"))
 
 
-def code_snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+def code_snapshot(spark: SparkSession, sf_dir: str, side: str, spread: bool = True) -> DataFrame:
     """Source files: one per document, repo = lang, path under
     ``pkg/<source>/``; content is the document text plus a final newline.
     The new version appends a line to residue-2 files."""
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents", spread=spread)
     k = F.col("doc_id")
     r = k % 10
     path = F.concat(F.lit("pkg/"), F.col("source"), F.lit("/f"), k.cast("string"), _ext(k))
@@ -206,41 +206,37 @@ def docs_table(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFra
 # directory, one with a trailing slash, one with a leading './', a file that
 # does not exist) - the shape of a ``docs.paths`` setting.
 DOC_ROOTS = ["docs/src1", "docs/src2/", "./docs/src3", "README.md"]
+ALL_ROOTS = ["docs"]
 
 
-def doc_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_roots(spark: SparkSession, sf_dir: str, roots: list[str] = DOC_ROOTS) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("lang").alias("repo")).distinct().select(
-        "repo", F.explode(F.array(*[F.lit(x) for x in DOC_ROOTS])).alias("root")
+        "repo", F.explode(F.array(*[F.lit(x) for x in roots])).alias("root")
     )
 
 
 def doc_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excluded paths: the documents with doc_id % 13 = 0."""
-    return docs_table(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").filter(F.col("doc_id") % 13 == 0).select(
-            F.col("lang").alias("repo"),
-            F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
-        ),
-        ["repo", "path"],
-        "left_semi",
-    ).select("repo", "path")
+    """Excluded paths: those of the documents with doc_id % 13 = 0, as ``.md``
+    (some of which do not exist)."""
+    return table(spark, sf_dir, "documents").filter(F.col("doc_id") % 13 == 0).select(
+        F.col("lang").alias("repo"),
+        F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+    )
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mapping per (lang, source): code prefix ``pkg/<source>`` (so
-    ``pkg/src1`` also covers ``pkg/src10``..), docs = the ``.md`` paths of the
-    group's documents with doc_id % 3 = 0 (some of which are ``.txt`` files
-    and so do not exist as ``.md``)."""
-    d = table(spark, sf_dir, "documents")
-    named = F.when(
-        F.col("doc_id") % 3 == 0,
-        F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")),
+    """One mapping per document with doc_id % 3 = 0: code prefix
+    ``pkg/<source>`` (so ``pkg/src1`` also covers ``pkg/src10``..), docs = its
+    own ``.md`` path (which some ``.txt`` documents do not have) and the
+    source's ``README.md`` (which does not exist)."""
+    folder = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"))
+    return table(spark, sf_dir, "documents").filter(F.col("doc_id") % 3 == 0).select(
+        F.col("lang").alias("repo"),
+        F.col("doc_id").alias("mapping_id"),
+        F.array(F.concat(folder, F.col("doc_id").cast("string"), F.lit(".md")), F.concat(folder, F.lit("README.md"))).alias("docs"),
+        F.array(F.concat(F.lit("pkg/"), F.col("source"))).alias("code"),
     )
-    return d.groupBy(F.col("lang").alias("repo"), "source").agg(
-        F.min("doc_id").alias("mapping_id"),
-        F.collect_list(named).alias("docs"),
-    ).select("repo", "mapping_id", "docs", F.array(F.concat(F.lit("pkg/"), F.col("source"))).alias("code"))
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ ROOTS = """SELECT DISTINCT lang AS repo, r.root FROM documents,
              (VALUES ('docs/src1'), ('docs/src2/'), ('./docs/src3'), ('README.md')) AS r(root)"""
 EXCLUDES = """SELECT lang AS repo, 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path
               FROM documents WHERE doc_id % 13 = 0"""
-MAPPINGS = """SELECT lang AS repo, min(doc_id) AS mapping_id,
-                     list('docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md') FILTER (WHERE doc_id % 3 = 0) AS docs,
+MAPPINGS = """SELECT lang AS repo, doc_id AS mapping_id,
+                     ['docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md', 'docs/' || source || '/README.md'] AS docs,
                      ['pkg/' || source] AS code
-              FROM documents GROUP BY lang, source"""
+              FROM documents WHERE doc_id % 3 = 0"""
 CHANGED = f"""so AS ({SNAP_OLD}), sn AS ({SNAP_NEW}),
   changed AS (
     SELECT coalesce(so.repo, sn.repo) AS repo, coalesce(so.path, sn.path) AS path,
@@ -56,7 +56,8 @@ SELECTED = f"""{SCANNED}, {CHANGED}, {MATCHED},
   flagged AS (SELECT s.*, EXISTS (SELECT 1 FROM mapped m WHERE m.repo = s.repo AND m.doc_path = s.path) AS hit FROM scanned s),
   selected AS (SELECT f.repo, f.path, f.content FROM flagged f
                WHERE f.hit OR NOT (SELECT bool_or(g.hit) FROM flagged g WHERE g.repo = f.repo))"""
-ESTIMATE = f"""{SELECTED},
+ALL_ROOTS = "SELECT DISTINCT lang AS repo, 'docs' AS root FROM documents"
+ESTIMATE = f"""{SELECTED.replace(ROOTS, ALL_ROOTS)},
   est AS (SELECT repo, count(*) AS n_docs, sum(octet_length(encode(content))) AS total_bytes,
                  sum(octet_length(encode(content))) // 4 AS est_tokens FROM selected GROUP BY repo)"""
 
@@ -65,7 +66,8 @@ ESTIMATE = f"""{SELECTED},
 
 
 def _changed(spark, sf):
-    return C.changed_paths(B.code_snapshot(spark, sf, "old"), B.code_snapshot(spark, sf, "new"))
+    # hashed at the scan: no text is dealt out for a comparison of hashes
+    return C.changed_paths(B.code_snapshot(spark, sf, "old", spread=False), B.code_snapshot(spark, sf, "new", spread=False))
 
 
 def _scanned(spark, sf):
@@ -80,11 +82,11 @@ def _go_changed(spark, sf):
     return SS.filter_source_files(_changed(spark, sf)).select("repo", "path")
 
 
-def _selected_sizes(spark, sf):
+def _selected_sizes(spark, sf, roots=B.DOC_ROOTS):
     # the size keys need each selected document's byte count only: take it at
-    # the scan so no text travels through the selection joins
-    d = B.docs_table(spark, sf).select("repo", "path", F.octet_length("content").alias("n_bytes"))
-    scanned = SD.scan_docs(d, B.doc_roots(spark, sf), B.doc_excludes(spark, sf))
+    # the scan so no text travels at all
+    d = B.docs_table(spark, sf, spread=False).select("repo", "path", F.octet_length("content").alias("n_bytes"))
+    scanned = SD.scan_docs(d, B.doc_roots(spark, sf, roots), B.doc_excludes(spark, sf))
     return M.select_docs(scanned, M.mapped_docs(_go_changed(spark, sf), _pairs(spark, sf)))
 
 
@@ -187,7 +189,7 @@ def q_select_docs(spark, sf):
 
 @register("token_estimate", f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens FROM est")
 def q_token_estimate(spark, sf):
-    return M.token_estimate(_selected_sizes(spark, sf))
+    return M.token_estimate(_selected_sizes(spark, sf, B.ALL_ROOTS))
 
 
 @register(
@@ -195,4 +197,4 @@ def q_token_estimate(spark, sf):
     f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens, est_tokens <= 50000 AS within_budget FROM est",
 )
 def q_budget_gate(spark, sf):
-    return M.budget_gate(M.token_estimate(_selected_sizes(spark, sf)))
+    return M.budget_gate(M.token_estimate(_selected_sizes(spark, sf, B.ALL_ROOTS)))
