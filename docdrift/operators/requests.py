@@ -62,12 +62,6 @@ def system_text(parts: dict[str, str] | None = None) -> str:
     return PART_SEPARATOR.join(f"<{t}>\n{parts[t]}\n</{t}>" for t in SYSTEM_TAGS)
 
 
-def user_text(summary, path, content) -> Column:
-    """The user message of one request: change summary, blank line,
-    comment-free document."""
-    return F.concat(wrap_code_diff(summary), F.lit("\n\n"), wrap_doc(path, strip_comments(content)))
-
-
 def build_requests(
     docs: DataFrame,
     summaries: DataFrame,
@@ -76,30 +70,58 @@ def build_requests(
     max_tokens: int = 0,
     temperature: float = 0.0,
 ) -> DataFrame:
-    """``docs(repo, path, content)`` x ``summaries(repo, summary)`` ->
-    ``repo, path, request`` (model, messages system + user, max_tokens - null
-    when 0 so it is left out of the JSON -, temperature)."""
+    """``docs(repo, path, content)`` of the repositories in
+    ``summaries(repo, summary)`` -> ``repo, path, request``: model, messages
+    (system, and the wrapped document as user), ``summary_key``, max_tokens
+    (null when 0, so it is left out of the JSON) and temperature.
+
+    A request names its repository's summary by key and does not hold it: the
+    summary is one text per repository, and a copy in each document's row
+    would grow with the square of the repository. ``request_body`` puts it in
+    front of the document when the request is sent."""
     sys_text = system_text(parts)
-    j = docs.join(summaries.select("repo", "summary"), "repo")
+    keyed = summaries.select("repo", F.sha2("summary", 256).alias("summary_key"))
     messages = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(sys_text).alias("content")),
-        F.struct(F.lit("user").alias("role"), user_text(F.col("summary"), F.col("path"), F.col("content")).alias("content")),
+        F.struct(F.lit("user").alias("role"), wrap_doc(F.col("path"), strip_comments(F.col("content"))).alias("content")),
     )
     request = F.struct(
         F.lit(model).alias("model"),
         messages.alias("messages"),
+        F.col("summary_key"),
         (F.lit(max_tokens) if max_tokens else F.lit(None)).cast("int").alias("max_tokens"),
         F.lit(float(temperature)).cast("double").alias("temperature"),
     )
-    return j.select("repo", "path", request.alias("request"))
+    return docs.join(keyed, "repo").select("repo", "path", request.alias("request"))
 
 
 def request_json(requests: DataFrame) -> DataFrame:
-    """The request body as JSON text (``max_tokens`` omitted when null,
-    ``temperature`` always present) and its SHA-256 as ``request_hash``."""
+    """The request as JSON text (``max_tokens`` omitted when null,
+    ``temperature`` always present), its ``summary_key`` and its SHA-256 as
+    ``request_hash`` (which covers the summary through its key)."""
     return requests.select(
-        "repo", "path", let(F.to_json("request"), lambda j: F.struct(j.alias("j"), F.sha2(j, 256).alias("h"))).alias("_r")
-    ).select("repo", "path", F.col("_r.j").alias("request_json"), F.col("_r.h").alias("request_hash"))
+        "repo", "path", F.col("request.summary_key").alias("summary_key"),
+        let(F.to_json("request"), lambda j: F.struct(j.alias("j"), F.sha2(j, 256).alias("h"))).alias("_r"),
+    ).select("repo", "path", "summary_key", F.col("_r.j").alias("request_json"), F.col("_r.h").alias("request_hash"))
+
+
+_REQUEST = (
+    "model string, messages array<struct<role string, content string>>, summary_key string, max_tokens int, temperature double"
+)
+
+
+def request_body(json_text, summary) -> Column:
+    """The body to send: the change summary, a blank line and the document as
+    the user message; the key is left out."""
+
+    def full(r):
+        user = F.concat(wrap_code_diff(summary), F.lit("\n\n"), r["messages"][1]["content"])
+        messages = F.array(r["messages"][0], F.struct(F.lit("user").alias("role"), user.alias("content")))
+        return F.to_json(
+            F.struct(r["model"].alias("model"), messages.alias("messages"), r["max_tokens"].alias("max_tokens"), r["temperature"].alias("temperature"))
+        )
+
+    return let(F.from_json(col_(json_text), _REQUEST), full)
 
 
 def write_requests(requests_json: DataFrame, out_path: str) -> None:
@@ -137,13 +159,16 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
 def complete_requests(
     requests_json: DataFrame,
     completer: Callable[[str], str],
+    summaries: DataFrame | None = None,
     store: str | None = None,
     concurrency: int | None = None,
     batches: int = 1,
 ) -> DataFrame:
-    """Call ``completer(request_json) -> reply body`` once per distinct
+    """Call ``completer(request body) -> reply body`` once per distinct
     request and give every ``(repo, path)`` that asks it the reply: ``repo,
-    path, request_hash, body, error``.
+    path, request_hash, body, error``. The body holds the summary that the
+    request names, from ``summaries(repo, summary)``; without them it is the
+    request as it stands.
 
     Runs in ``mapInPandas`` (Arrow batches); an exception becomes the row's
     ``error`` so one failure never loses the other replies. With ``store`` (a
@@ -168,11 +193,17 @@ def complete_requests(
             yield pdf.assign(body=bodies, error=errors)[["request_hash", "body", "error"]]
 
     def called(rows: DataFrame) -> DataFrame:
+        if texts is not None:  # one copy of a summary at a time, on its way to the call
+            rows = rows.join(texts, "summary_key")
         rows = rows.repartition(concurrency, "request_hash") if concurrency else rows
+        if texts is not None:
+            rows = rows.select("request_hash", request_body(F.col("request_json"), F.col("summary")).alias("request_json"))
         return rows.mapInPandas(run, STORED)
 
     asked = requests_json.select("repo", "path", "request_hash")
-    todo = requests_json.groupBy("request_hash").agg(F.min("request_json").alias("request_json"))
+    named = ["summary_key"] if summaries is not None else []
+    todo = requests_json.dropDuplicates(["request_hash"]).select("request_hash", "request_json", *named)
+    texts = summaries.select(F.sha2("summary", 256).alias("summary_key"), "summary").distinct() if named else None
     if store is None:
         replies = called(todo)
     else:

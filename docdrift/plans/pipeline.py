@@ -79,9 +79,9 @@ def _errors(files: DataFrame, side: str) -> DataFrame:
     return MI.extract_errors(rows).withColumn("side", F.lit(side))
 
 
-def complete(requests_json: DataFrame, completer: Callable[[str], str], store: str) -> DataFrame:
+def complete(requests_json: DataFrame, summaries: DataFrame, completer: Callable[[str], str], store: str) -> DataFrame:
     """R0 with the reply store in shared storage (one stored reply per request)."""
-    return RQ.complete_requests(requests_json, completer, store=store)
+    return RQ.complete_requests(requests_json, completer, summaries, store)
 
 
 def finish_updates(

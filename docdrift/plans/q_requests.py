@@ -38,7 +38,7 @@ def local_completer(request: str) -> str:
     user = req["messages"][1]["content"]
     m = re.search(r'<DOCUMENT path="([^"]*)">\n(\S*)', user)
     path, word = (m.group(1), m.group(2)) if m else ("", "")
-    edits = {"edits": [{"file": path, "action": "replace", "old_text": word, "new_text": "[" + word + "]"}]}
+    edits = {"edits": [{"file": path, "section": str(user.index("</CODE_CHANGES>") - len("<CODE_CHANGES>\n") - 1), "action": "replace", "old_text": word, "new_text": "[" + word + "]"}]}
     reply = {
         "choices": [{"message": {"role": "assistant", "content": json.dumps(edits)}, "finish_reason": "stop"}],
         "usage": {"prompt_tokens": len(user.encode()) // 4, "completion_tokens": 1, "total_tokens": len(user.encode()) // 4 + 1},
@@ -55,7 +55,7 @@ SUMMARIES = f"""{CHANGED},
   docs AS ({DOCS}),
   reqs AS (
     SELECT d.repo, d.path, d.content,
-           '<CODE_CHANGES>' || chr(10) || s.summary || chr(10) || '</CODE_CHANGES>' || chr(10) || chr(10) ||
+           sha256(s.summary) AS summary_key, length(s.summary) AS n_summary,
            '<DOCUMENT path="' || d.path || '">' || chr(10) || regexp_replace(d.content, '<!--[\\s\\S]*?-->', '', 'g') ||
            chr(10) || '</DOCUMENT>' AS user_text
     FROM docs d JOIN sums s ON d.repo = s.repo)"""
@@ -140,7 +140,7 @@ def q_system_text(spark, sf):
 @register(
     "build_requests",
     f"""WITH {SUMMARIES} SELECT repo, path, 2 AS n_messages, md5({SYSTEM_SQL}) AS system_md5,
-        octet_length(encode(user_text)) AS user_bytes, md5(user_text) AS user_md5, CAST(0.0 AS DOUBLE) AS temperature, true AS no_max_tokens FROM reqs""",
+        octet_length(encode(user_text)) AS user_bytes, md5(user_text) AS user_md5, summary_key, CAST(0.0 AS DOUBLE) AS temperature, true AS no_max_tokens FROM reqs""",
 )
 def q_build_requests(spark, sf):
     r = _requests(spark, sf)
@@ -149,6 +149,7 @@ def q_build_requests(spark, sf):
         F.md5(F.col("request.messages")[0]["content"]).alias("system_md5"),
         F.octet_length(F.col("request.messages")[1]["content"]).alias("user_bytes"),
         F.md5(F.col("request.messages")[1]["content"]).alias("user_md5"),
+        F.col("request.summary_key").alias("summary_key"),
         F.col("request.temperature").alias("temperature"),
         F.col("request.max_tokens").isNull().alias("no_max_tokens"),
     )
@@ -157,7 +158,7 @@ def q_build_requests(spark, sf):
 @register(
     "request_json",
     f"""WITH {SUMMARIES} SELECT repo, path, '{MODEL}' AS model, '0.0' AS temperature, false AS has_max_tokens,
-        md5(user_text) AS user_md5 FROM reqs""",
+        md5(user_text) AS user_md5, summary_key FROM reqs""",
 )
 def q_request_json(spark, sf):
     j = RQ.request_json(_requests(spark, sf))
@@ -165,7 +166,7 @@ def q_request_json(spark, sf):
     return j.select(
         "repo", "path", g("$.model").alias("model"), g("$.temperature").alias("temperature"),
         F.col("request_json").contains('"max_tokens"').alias("has_max_tokens"),
-        F.md5(g("$.messages[1].content")).alias("user_md5"),
+        F.md5(g("$.messages[1].content")).alias("user_md5"), "summary_key",
     )
 
 
@@ -183,18 +184,19 @@ def q_preview_text(spark, sf):
 
 @register(
     "complete_requests",
-    f"""WITH {SUMMARIES} SELECT repo, path, CAST(NULL AS VARCHAR) AS error, 1 AS n_edits, path AS file,
+    f"""WITH {SUMMARIES} SELECT repo, path, CAST(NULL AS VARCHAR) AS error, 1 AS n_edits, path AS file, CAST(n_summary AS VARCHAR) AS section,
         regexp_extract(regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g'), '^(\\S*)', 1) AS old_text,
         '[' || regexp_extract(regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g'), '^(\\S*)', 1) || ']' AS new_text FROM reqs""",
 )
 def q_complete_requests(spark, sf):
     store = f"{checkpoint_dir(spark)}/docdrift-replies-{uuid.uuid4().hex}"
-    rep = RQ.complete_requests(RQ.request_json(_requests(spark, sf)), local_completer, store=store)
+    rep = RQ.complete_requests(RQ.request_json(_requests(spark, sf)), local_completer, _summaries(spark, sf), store)
     content = F.get_json_object("body", "$.choices[0].message.content")
     return rep.select(
         "repo", "path", "error",
         F.json_array_length(F.get_json_object(content, "$.edits")).alias("n_edits"),
         F.get_json_object(content, "$.edits[0].file").alias("file"),
+        F.get_json_object(content, "$.edits[0].section").alias("section"),
         F.get_json_object(content, "$.edits[0].old_text").alias("old_text"),
         F.get_json_object(content, "$.edits[0].new_text").alias("new_text"),
     )

@@ -46,14 +46,14 @@ def test_plan_and_finish(spark):
     assert sorted(r["path"] for r in reqs) == ["docs/a.md", "docs/b.md"]
 
     store = tempfile.mkdtemp(prefix="docdrift-replies-", dir="/tmp") + "/replies"
-    replies = P.complete(plan["requests"], completer, store)
+    replies = P.complete(plan["requests"], plan["summary"], completer, store)
     assert replies.count() == 2
     # a second run finds the stored replies and calls nothing again: a
     # completer that always fails would leave error rows if it were called
     def failing(_request):
         raise RuntimeError("must not be called")
 
-    again = P.complete(plan["requests"], failing, store)
+    again = P.complete(plan["requests"], plan["summary"], failing, store)
     assert again.count() == 2
     assert all(r["error"] is None for r in again.collect())
 

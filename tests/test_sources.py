@@ -115,15 +115,17 @@ def test_malformed_bodies_are_bad_bodies(spark):
     assert [r["reply_ok"] for r in got][6] and got[6]["reply_status"] == "no_choices"
 
 
-def test_request_json_omits_zero_max_tokens(spark):
+def test_request_names_its_summary_and_the_body_holds_it(spark):
     docs = spark.createDataFrame([("r", "a.md", "text <!-- hidden --> end")], "repo string, path string, content string")
     sums = spark.createDataFrame([("r", "+ ADDED   X: func X()")], "repo string, summary string")
     for max_tokens, present in ((0, False), (256, True)):
-        req = RQ.request_json(RQ.build_requests(docs, sums, model="m", max_tokens=max_tokens)).collect()[0]
-        body = json.loads(req["request_json"])
-        assert ("max_tokens" in body) is present
+        req = RQ.request_json(RQ.build_requests(docs, sums, model="m", max_tokens=max_tokens))
+        row = req.join(sums, "repo").select("*", RQ.request_body("request_json", F.col("summary")).alias("body")).first()
+        assert "ADDED" not in row["request_json"] and row["summary_key"] in row["request_json"]
+        body = json.loads(row["body"])
+        assert ("max_tokens" in body) is present and "summary_key" not in body
         assert body["temperature"] == 0.0 and body["model"] == "m"
         user = body["messages"][1]["content"]
         assert "hidden" not in user and user.startswith("<CODE_CHANGES>\n+ ADDED")
-        assert '<DOCUMENT path="a.md">\ntext  end\n</DOCUMENT>' in user
-        assert len(req["request_hash"]) == 64
+        assert '</CODE_CHANGES>\n\n<DOCUMENT path="a.md">\ntext  end\n</DOCUMENT>' in user
+        assert len(row["request_hash"]) == 64
