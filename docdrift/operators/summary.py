@@ -1,10 +1,10 @@
-"""Change summaries (A2, A3): one text per repository.
+"""Change summaries (A2, A3): ordered chunks, and one text per repository.
 
-The text is assembled in two levels so no task ever holds a whole
-repository's lines at once before it has to: first one chunk per
-``(repo, section, path)`` (ordered lines), then the chunks of a repository in
-``(section, path)`` order. The final string per repository is the output
-itself, so its size is the size of the answer.
+The summary of a repository is kept as chunk rows, one per ``(repo, section,
+path)`` or ``(repo, path)``, each no longer than a file's changes; in the order
+of their keys they are the text. ``summary_verbose`` and ``summary_compact``
+put a repository's chunks together where one text is asked for (a request);
+that text is one row, so it is for repositories whose summary fits one.
 """
 
 from __future__ import annotations
@@ -59,13 +59,20 @@ def verbose_lines(diffs: DataFrame) -> DataFrame:
     return single.unionByName(modified)
 
 
-def summary_verbose(diffs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """A2: ``repo, summary`` with sections Added / Removed / Modified /
-    Renamed, one line per sub-change for modified symbols."""
-    lines = verbose_lines(diffs)
-    chunks = lines.groupBy("repo", "section", "path").agg(
+def verbose_chunks(diffs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A2: ``repo, section, path, chunk``: the lines of one file under one of
+    the sections Added / Removed / Modified / Renamed, one line per sub-change
+    for modified symbols. A repository of ``repos`` without changes has one
+    chunk that says so."""
+    chunks = verbose_lines(diffs).groupBy("repo", "section", "path").agg(
         _ordered_join(F.collect_list(F.struct("name", "j", "line")), "\n").alias("chunk")
     )
+    return _say_empty(chunks, repos)
+
+
+def summary_verbose(diffs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A2: ``repo, summary``, the verbose chunks under their headings."""
+    chunks = verbose_chunks(diffs)
     sections = chunks.groupBy("repo", "section").agg(
         _ordered_join(F.collect_list(F.struct("path", F.col("chunk").alias("line"))), "\n").alias("body")
     )
@@ -79,8 +86,10 @@ def summary_verbose(diffs: DataFrame, repos: DataFrame | None = None) -> DataFra
     return _fill_empty(per_repo, repos)
 
 
-def summary_compact(diffs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """A3: ``repo, summary`` - one short entry per diff, in diff order."""
+def compact_chunks(diffs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A3: ``repo, path, chunk`` - one short entry per diff of the file, in
+    diff order. A repository of ``repos`` without changes has one chunk that
+    says so."""
     line = (
         F.when(F.col("change_ord") == 0, F.concat(F.lit("+ ADDED   "), F.col("name"), F.lit(": "), F.col("signature")))
         .when(F.col("change_ord") == 1, F.concat(F.lit("- REMOVED "), F.col("name"), F.lit(": "), F.col("old_signature")))
@@ -98,12 +107,24 @@ def summary_compact(diffs: DataFrame, repos: DataFrame | None = None) -> DataFra
     chunks = diffs.groupBy("repo", "path").agg(
         _ordered_join(F.collect_list(F.struct("change_ord", "name", line.alias("line"))), "\n").alias("chunk")
     )
+    return _say_empty(chunks, repos)
+
+
+def summary_compact(diffs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A3: ``repo, summary``, the compact chunks in path order."""
+    chunks = compact_chunks(diffs)
     per_repo = chunks.groupBy("repo").agg(
         trim_space(_ordered_join(F.collect_list(F.struct("path", F.col("chunk").alias("line"))), "\n")).alias("summary")
     )
     return _fill_empty(per_repo, repos)
 
 
+def _say_empty(chunks: DataFrame, repos: DataFrame | None) -> DataFrame:
+    if repos is None:
+        return chunks
+    return repos.select("repo").distinct().join(chunks, "repo", "left").withColumn("chunk", F.coalesce("chunk", F.lit(NO_CHANGES)))
+
+
 def _fill_empty(per_repo: DataFrame, repos: DataFrame | None) -> DataFrame:
     if repos is None:
         return per_repo

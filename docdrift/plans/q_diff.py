@@ -219,15 +219,11 @@ def _verbose_sql() -> str:
       SELECT repo, 2, path, name, u.j - 1, '- ' || kind || ' ' || name || ': ' || u.c
       FROM d, unnest(ch) WITH ORDINALITY AS u(c, j) WHERE change_ord = 2
     ),
-    secs AS (
-      SELECT repo, section,
-             ['## Added', '## Removed', '## Modified', '## Renamed'][section + 1] || chr(10) ||
-             string_agg(line, chr(10) ORDER BY path, name, j) AS body
-      FROM lines GROUP BY repo, section
-    ),
-    per_repo AS (SELECT repo, string_agg(body, chr(10) || chr(10) ORDER BY section) AS summary FROM secs GROUP BY repo)
-    SELECT r.repo, coalesce(p.summary, 'No changes to exported symbols') AS summary
-    FROM repos r LEFT JOIN per_repo p ON r.repo = p.repo"""
+    chunks AS (
+      SELECT repo, section, path, string_agg(line, chr(10) ORDER BY name, j) AS chunk FROM lines GROUP BY repo, section, path
+    )
+    SELECT r.repo, section, path, coalesce(chunk, 'No changes to exported symbols') AS chunk
+    FROM repos r LEFT JOIN chunks c ON r.repo = c.repo"""
     )
 
 
@@ -246,9 +242,9 @@ def _compact_sql() -> str:
                   ELSE '→ RENAMED ' || old_name || ' → ' || name || ': ' || signature END AS line
       FROM d
     ),
-    per_repo AS (SELECT repo, trim(string_agg(line, chr(10) ORDER BY path, change_ord, name)) AS summary FROM lines GROUP BY repo)
-    SELECT r.repo, coalesce(p.summary, 'No changes to exported symbols') AS summary
-    FROM repos r LEFT JOIN per_repo p ON r.repo = p.repo"""
+    chunks AS (SELECT repo, path, string_agg(line, chr(10) ORDER BY change_ord, name) AS chunk FROM lines GROUP BY repo, path)
+    SELECT r.repo, path, coalesce(chunk, 'No changes to exported symbols') AS chunk
+    FROM repos r LEFT JOIN chunks c ON r.repo = c.repo"""
     )
 
 
@@ -258,9 +254,9 @@ def _repos(spark, sf):
 
 @register("summary_verbose", _verbose_sql())
 def q_summary_verbose(spark, sf):
-    return A.summary_verbose(_sym_diff(spark, sf), _repos(spark, sf))
+    return A.verbose_chunks(_sym_diff(spark, sf), _repos(spark, sf))
 
 
 @register("summary_compact", _compact_sql())
 def q_summary_compact(spark, sf):
-    return A.summary_compact(_sym_diff(spark, sf), _repos(spark, sf))
+    return A.compact_chunks(_sym_diff(spark, sf), _repos(spark, sf))
