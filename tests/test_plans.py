@@ -66,6 +66,18 @@ def test_hash_scan_prunes_content(spark):
     assert "n_chars" not in plan
 
 
+@pytest.mark.parametrize("key", ["changed_docs", "validate_updates"])
+def test_edit_fold_is_planned_once(spark, key):
+    plan = queries()[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 1, key
+
+
+def test_selection_moves_no_text(spark):
+    plan = _plan(spark, "select_docs")
+    for line in plan.split("\n"):
+        assert not ("Exchange" in line and "text#" in line)
+
+
 def test_lineage_is_cut_only_in_a_named_folder():
     from types import SimpleNamespace
 
