@@ -62,6 +62,19 @@ def system_text(parts: dict[str, str] | None = None) -> str:
     return PART_SEPARATOR.join(f"<{t}>\n{parts[t]}\n</{t}>" for t in SYSTEM_TAGS)
 
 
+def system_texts(parts: DataFrame) -> DataFrame:
+    """P3 for a table of parts ``(repo, tag, text)``: ``repo, system_text``,
+    the named parts in their fixed order, each in its tag, joined by a blank
+    line. A part that a repository does not set has the default text; unknown
+    tags are left out; of several texts for one tag the smallest counts. At
+    most seven parts a repository."""
+    given = F.map_from_entries(F.collect_list(F.struct("tag", "text")))
+    one = parts.filter(F.col("tag").isin(SYSTEM_TAGS)).groupBy("repo", "tag").agg(F.min("text").alias("text"))
+    named = parts.select("repo").distinct().join(one.groupBy("repo").agg(given.alias("g")), "repo", "left")
+    texts = [wrap(t, F.coalesce(F.try_element_at("g", F.lit(t)), F.lit(DEFAULT_PARTS[t]))) for t in SYSTEM_TAGS]
+    return named.select("repo", F.concat_ws(PART_SEPARATOR, *texts).alias("system_text"))
+
+
 def build_requests(
     docs: DataFrame,
     summaries: DataFrame,

@@ -127,14 +127,36 @@ def q_wrap_tags(spark, sf):
     )
 
 
+# The parts that every repository leaves at their default text.
+_DEFAULTS = {t: RQ.DEFAULT_PARTS[t].replace("'", "''") for t in ("CONTEXT", "TONE", "EXAMPLES")}
+
+
 @register(
     "system_text",
-    f"SELECT DISTINCT lang AS repo, octet_length(encode({SYSTEM_SQL})) AS system_bytes, md5({SYSTEM_SQL}) AS system_md5 FROM documents",
+    f"""WITH n AS (SELECT lang AS repo, count(*) AS c, min(doc_id) AS first, max(n_chars) AS longest FROM documents GROUP BY lang),
+    t AS (SELECT repo,
+        '<ROLE>' || chr(10) || 'Editor of ' || repo || chr(10) || '</ROLE>' || chr(10) || chr(10) ||
+        '<CONTEXT>' || chr(10) || '{_DEFAULTS["CONTEXT"]}' || chr(10) || '</CONTEXT>' || chr(10) || chr(10) ||
+        '<SCALE>' || chr(10) || c || ' documents' || chr(10) || '</SCALE>' || chr(10) || chr(10) ||
+        '<RULES>' || chr(10) || 'Start at ' || first || chr(10) || '</RULES>' || chr(10) || chr(10) ||
+        '<TONE>' || chr(10) || '{_DEFAULTS["TONE"]}' || chr(10) || '</TONE>' || chr(10) || chr(10) ||
+        '<EDGE_CASES>' || chr(10) || 'Up to ' || longest || ' characters' || chr(10) || '</EDGE_CASES>' || chr(10) || chr(10) ||
+        '<EXAMPLES>' || chr(10) || '{_DEFAULTS["EXAMPLES"]}' || chr(10) || '</EXAMPLES>' AS system_text FROM n)
+    SELECT repo, octet_length(encode(system_text)) AS system_bytes, md5(system_text) AS system_md5 FROM t""",
 )
 def q_system_text(spark, sf):
-    t = RQ.system_text()
-    d = B.table(spark, sf, "documents").select(F.col("lang").alias("repo")).distinct()
-    return d.select("repo", F.octet_length(F.lit(t)).alias("system_bytes"), F.md5(F.lit(t)).alias("system_md5"))
+    d = B.table(spark, sf, "documents").groupBy(F.col("lang").alias("repo"))
+    n = d.agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first"), F.max("n_chars").alias("longest"))
+    part = [
+        ("ROLE", F.concat(F.lit("Editor of "), "repo")),
+        ("SCALE", F.concat(F.col("c").cast("string"), F.lit(" documents"))),
+        ("RULES", F.concat(F.lit("Start at "), F.col("first").cast("string"))),
+        ("EDGE_CASES", F.concat(F.lit("Up to "), F.col("longest").cast("string"), F.lit(" characters"))),
+        ("OTHER", F.lit("not a part")),
+    ]
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), x.alias("text")) for t, x in part]))
+    texts = RQ.system_texts(n.select("repo", rows.alias("p")).select("repo", "p.*"))
+    return texts.select("repo", F.octet_length("system_text").alias("system_bytes"), F.md5("system_text").alias("system_md5"))
 
 
 @register(
