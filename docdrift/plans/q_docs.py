@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import stays_inside_root
 from ..operators import changes as C
 from ..operators import select as M
+from ..session import cut_lineage
 from ..sources import docs as SD
 from ..sources import snapshots as SS
 from . import bindings as B
@@ -84,10 +85,12 @@ def _go_changed(spark, sf):
 
 def _selected_sizes(spark, sf, roots=B.DOC_ROOTS):
     # the size keys need each selected document's byte count only: take it at
-    # the scan so no text travels at all
-    d = B.docs_table(spark, sf, spread=False).select("repo", "path", F.octet_length("content").alias("n_bytes"))
-    scanned = SD.scan_docs(d, B.doc_roots(spark, sf, roots), B.doc_excludes(spark, sf))
-    return M.select_docs(scanned, M.mapped_docs(_go_changed(spark, sf), _pairs(spark, sf)))
+    # the scan so no text travels at all; what selection reads several times
+    # (documents' keys and sizes, mapping pairs, changed paths) is stored once
+    d = cut_lineage(B.docs_table(spark, sf, spread=False).select("repo", "path", F.octet_length("content").alias("n_bytes")))
+    scanned = cut_lineage(SD.scan_docs(d, B.doc_roots(spark, sf, roots), B.doc_excludes(spark, sf)))
+    mapped = M.mapped_docs(cut_lineage(_go_changed(spark, sf)), cut_lineage(_pairs(spark, sf)))
+    return M.select_docs(scanned, mapped)
 
 
 @register(
