@@ -32,7 +32,7 @@ from .tables import table, whole_row
 MAX_ROWS, MAX_TERMS, MIN_LIFT, CHANCE, GRADES, PENALTY, STEPS = 20_000, 2_000, 3.0, 0.001, 3, 0.05, 400
 
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -74,13 +74,14 @@ def terms_column(text: Column) -> Column:
     return terms(text)
 
 
-def severity(held: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
+def severity(held: np.ndarray, toxic: np.ndarray, count: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades for labels that only tell toxic from clean: 0 for clean, and for
     toxic ones 1 to ``grades`` by how many of the terms that point to toxicity
-    they hold, cut at the toxic documents' own quantiles."""
+    they hold, cut at the toxic documents' own quantiles. Each row stands for
+    ``count`` documents."""
     if not toxic.any():
         return np.zeros(len(held), dtype=int)
-    cuts = np.quantile(held[toxic], np.arange(1, grades) / grades)
+    cuts = np.quantile(np.repeat(held[toxic], count[toxic]), np.arange(1, grades) / grades)
     return np.where(toxic, 1 + (held[:, None] > cuts).sum(axis=1), 0)
 
 
@@ -96,13 +97,16 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - score[:, None], -50, 50)))
 
 
-def fit_ordinal(features: np.ndarray, grade: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(
+    features: np.ndarray, grade: np.ndarray, levels: int, count: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by gradient steps
     (Adam) on the penalised likelihood; thresholds are a first value and the
     exponentials of free gaps, so they stay in order. Grades that no row has
-    widen no gap."""
+    widen no gap. Each row stands for ``count`` documents (one if not given)."""
     rows, width = features.shape
-    share = np.array([(grade > k).mean() for k in range(levels)])
+    count = np.ones(rows) if count is None else count.astype(float)
+    share = np.array([count[grade > k].sum() / count.sum() for k in range(levels)])
     logit = -np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
     gaps = np.log(np.maximum(np.diff(logit), 1e-2))
     params = np.concatenate([np.zeros(width), logit[:1], gaps])
@@ -119,10 +123,11 @@ def fit_ordinal(features: np.ndarray, grade: np.ndarray, levels: int) -> tuple[n
         d_cut = np.zeros((rows, levels + 2))
         np.add.at(d_cut, (at, grade), -slope[at, grade] / p)
         np.add.at(d_cut, (at, grade + 1), slope[at, grade + 1] / p)
+        d_cut *= count[:, None]
         d_s = -d_cut.sum(axis=1)
         by_cut = d_cut[:, 1 : levels + 1].sum(axis=0)
         later = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([features.T @ d_s - PENALTY * w, [by_cut.sum()], later[1:] * g]) / rows
+        gradient = np.concatenate([features.T @ d_s - PENALTY * w, [by_cut.sum()], later[1:] * g]) / count.sum()
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         params = params + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -160,18 +165,19 @@ def train(
     if not names:
         return Ordinal({}, tuple(float(k) for k in range(1, levels + 1)))
     held = F.array_sort(F.array_intersect("terms", F.lit(names)))
-    sample = sorted(
-        (str(r["id"]), r["grade"], tuple(r["held"])) for r in fitted_on.select("id", "grade", held.alias("held")).collect()
-    )
-    grade = np.array([g for _, g, _ in sample], dtype=int)
-    words = [h for _, _, h in sample]
+    # Documents of one grade with the same terms are one row with a count.
+    alike = fitted_on.groupBy("grade", held.alias("held")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sample = sorted((r["grade"], tuple(r["held"]), r["n"]) for r in alike)
+    grade = np.array([g for g, _, _ in sample], dtype=int)
+    words = [h for _, h, _ in sample]
+    count = np.array([n for _, _, n in sample], dtype=int)
     if not grade_col:
-        grade = severity(np.array([len(h) for h in words]), grade > 0)
+        grade = severity(np.array([len(h) for h in words]), grade > 0, count)
     place = {w: i for i, w in enumerate(sorted(names))}
     features = np.zeros((len(words), len(names)), dtype=np.float32)
     for i, own in enumerate(words):
         features[i, [place[w] for w in own]] = 1
-    weights, thresholds = fit_ordinal(features, grade, levels)
+    weights, thresholds = fit_ordinal(features, grade, levels, count)
     return Ordinal(
         {w: float(x) for w, x in zip(sorted(names), weights, strict=True)}, tuple(float(x) for x in thresholds)
     )

@@ -36,8 +36,17 @@ def test_indicative_terms_need_cause(llm):
 
 
 def test_severity_grows_with_toxic_terms():
-    grade = T.severity(np.array([0, 1, 2, 3]), np.array([False, True, True, True]))
-    assert grade.tolist() == [0, 1, 2, 3]
+    one = np.ones(4, dtype=int)
+    assert T.severity(np.array([0, 1, 2, 3]), np.array([False, True, True, True]), one).tolist() == [0, 1, 2, 3]
+
+
+def test_counted_rows_fit_like_repeated_ones():
+    rng = np.random.default_rng(3)
+    x = (rng.random((50, 3)) < 0.5).astype(np.float32)
+    grade, count = rng.integers(0, 3, size=50), rng.integers(1, 5, size=50)
+    a = T.fit_ordinal(x, grade, 2, count)
+    b = T.fit_ordinal(np.repeat(x, count, axis=0), np.repeat(grade, count), 2)
+    assert np.allclose(a[0], b[0], atol=1e-3) and np.allclose(a[1], b[1], atol=1e-3)
 
 
 def corpus(llm):
