@@ -39,9 +39,9 @@ from .tables import table
 SEQUENCE, END = 1024, 2
 #: Steps of the least-squares fit.
 STEPS = 300
-#: Chunks whose ids a worker remembers (about 200 MB); past it the memory
-#: starts anew.
-REMEMBERED = 1_000_000
+#: Chunks whose ids a worker remembers (about 100 MB), in two generations: when
+#: the younger one holds half, the older one is forgotten but for what is used.
+REMEMBERED = 500_000
 
 _BETWEEN = re.compile(r"(?<!\s) | (?=\S)")
 _INSIDE = re.compile(r"\s (?:\s|\Z)")
@@ -73,6 +73,7 @@ class TokenIds:
         self.coder.no_padding()
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # chunks that follow a space
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         coded = self.coder.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,16 +84,16 @@ class TokenIds:
         it are pieces of their own, so such words are encoded once."""
         words = {c: c.rstrip(".,;:!?") for c in chunks}
         words = {c: w for c, w in words.items() if len(w) < len(c) and w.isalpha()}
-        new = list(chunks.difference(words).union(w for w in words.values() if w not in self.known))
+        new = list(chunks.difference(words).union(w for w in words.values() if w not in self.known and w not in self.older))
         coded = dict(zip(new, self._ids([" " + c for c in new]), strict=True))
         marks = list({c[len(w) :] for c, w in words.items()})
         ends = dict(zip(marks, self._ids(marks), strict=True))
-        coded.update((c, (coded.get(w) or self.known[w]) + ends[c[len(w) :]]) for c, w in words.items())
+        coded.update((c, (coded.get(w) or self.known.get(w) or self.older[w]) + ends[c[len(w) :]]) for c, w in words.items())
         return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         parts: list[list[str] | None] = []
         wanted: set[str] = set()
         whole, heads = [], []
@@ -105,7 +106,9 @@ class TokenIds:
             parts.append(chunks)
             heads.append(chunks[0])
             wanted.update(chunks[1:])
-        coded = self._learn(wanted.difference(self.known))
+        missing = wanted.difference(self.known)
+        self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
+        coded = self._learn(missing.difference(self.older))
         self.known.update((c, ids) for c, ids in coded.items() if len(c) <= LONG_CHUNK)
         long = {c: ids for c, ids in coded.items() if len(c) > LONG_CHUNK}
         known = self.known | long if long else self.known
