@@ -24,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +69,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a (signed) long; null text counts as empty."""
 
-    @F.pandas_udf("long")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            values = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
-            yield pd.Series(values.view(np.int64))
+    @F.arrow_udf("long")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:  # one text at a time as a Python string
+            values = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64)
+            yield pa.array(values.view(np.int64))
 
     return prints(text.cast("string"))
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +66,10 @@ def indicative(fitted_on: DataFrame) -> list[str]:
 def terms_column(text: Column) -> Column:
     """The distinct lower-case words of each text."""
 
-    @F.pandas_udf("array<string>")
-    def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([sorted(terms_of(t)) for t in texts])
+            yield pa.array([sorted(terms_of(t.as_py())) for t in texts], pa.list_(pa.string()))
 
     return terms(text)
 
@@ -201,23 +201,19 @@ class _Chunks(dict):
 def severity_column(model: Ordinal, text: Column) -> Column:
     """``struct<severity double, p_toxic double, grade int>`` of a text."""
 
-    @F.pandas_udf("severity double, p_toxic double, grade int")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("severity double, p_toxic double, grade int")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chunks = _Chunks(model.weights)
         for texts in batches:
             score = np.zeros(len(texts))
             for i, t in enumerate(texts):
-                found = {w for c in set((t or "").split()) for w in chunks[c]}
+                found = {w for c in set((t.as_py() or "").split()) for w in chunks[c]}
                 score[i] = sum(model.weights[w] for w in sorted(found))
             above = model.above(score)
             levels = np.concatenate([np.ones((len(score), 1)), above, np.zeros((len(score), 1))], axis=1)
-            yield pd.DataFrame(
-                {
-                    "severity": above.sum(axis=1),
-                    "p_toxic": above[:, 0],
-                    "grade": np.argmax(levels[:, :-1] - levels[:, 1:], axis=1).astype("int32"),
-                }
-            )
+            grade = np.argmax(levels[:, :-1] - levels[:, 1:], axis=1).astype("int32")
+            columns = [pa.array(np.ascontiguousarray(x)) for x in (above.sum(axis=1), above[:, 0], grade)]
+            yield pa.StructArray.from_arrays(columns, ["severity", "p_toxic", "grade"])
 
     return scored(text.cast("string"))
 
