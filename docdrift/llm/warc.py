@@ -273,7 +273,8 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     no records."""
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "bytes", cuts.alias("start")).where("bytes > 0")
-    spread = ranges.repartition("path", "start")
+    # A few bytes each, so the number of tasks has to be named.
+    spread = ranges.repartition(max(1, ranges.count()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.bool_()]
