@@ -141,14 +141,17 @@ def license_scan(
     share the digest of the empty text and are no licence. Repeated rows and
     null ids each give a row; other columns are ignored. Whole texts are read.
     """
-    known = known_licenses(df.sparkSession) if known is None else known
+    # The dictionary of this module is a handful of rows; a caller's table is
+    # broadcast only if Spark knows it to be small.
+    known = F.broadcast(known_licenses(df.sparkSession)) if known is None else known
     rows = df.select(F.col(id_col).alias("doc_id"), canonical_lines(text_or_empty(text_col)).alias("lines"))
     trimmed = F.transform(F.split("lines", "\n"), lambda x: F.trim(x))
     marked = rows.select("doc_id", digest_of(F.col("lines")).alias("digest"), trimmed.alias("own"))
     entire = [F.when(F.array_contains("own", F.trim(F.regexp_replace(canonical_lines(F.lit(t)), "\n", ""))), F.lit(i)) for i, t in notices.items()]
     found = F.concat_ws(",", *entire) if entire else F.lit("")
-    return marked.join(known, F.col("digest") == F.col("known_digest"), "left").select(
-        "doc_id", "digest", "license_id", found.alias("notices")
+    thin = marked.select("doc_id", "digest", found.alias("notices"))  # no text goes into the join
+    return thin.join(known, F.col("digest") == F.col("known_digest"), "left").select(
+        "doc_id", "digest", "license_id", "notices"
     )
 
 
