@@ -15,6 +15,7 @@ sequence length alone, not on the number of documents.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .bpe import LONG_CHUNK, by_bytes
+from .bpe import LONG_CHUNK, Merges, by_bytes
 from .tables import table
 
 #: The query's contract: tokens in a sequence, and the id that ends a document.
@@ -44,6 +45,8 @@ STEPS = 300
 REMEMBERED = 500_000
 
 _BETWEEN = re.compile(r"(?<!\s) | (?=\S)")
+#: Behind the last letter of the Latin blocks.
+_LATIN_END = "\u0250"
 _INSIDE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -72,6 +75,9 @@ class TokenIds:
         self.coder.no_truncation()
         self.coder.no_padding()
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.known: dict[str, bytes] = {}  # chunks that follow a space
         self.older: dict[str, bytes] = {}
 
@@ -85,7 +91,12 @@ class TokenIds:
         words = {c: c.rstrip(".,;:!?") for c in chunks}
         words = {c: w for c, w in words.items() if len(w) < len(c) and w.isalpha()}
         new = list(chunks.difference(words).union(w for w in words.values() if w not in self.known and w not in self.older))
-        coded = dict(zip(new, self._ids([" " + c for c in new]), strict=True))
+        # A word of Latin letters is one piece, which the segment-tree encoder
+        # takes many at a time; all else goes through the library's pattern.
+        plain = [c for c in new if c.isalpha() and max(c) < _LATIN_END]
+        other = list(set(new).difference(plain))
+        coded = dict(zip(plain, self.merges.encode([(" " + c).encode() for c in plain]), strict=True)) if plain else {}
+        coded.update(zip(other, self._ids([" " + c for c in other]), strict=True))
         marks = list({c[len(w) :] for c, w in words.items()})
         ends = dict(zip(marks, self._ids(marks), strict=True))
         coded.update((c, (coded.get(w) or self.known.get(w) or self.older[w]) + ends[c[len(w) :]]) for c, w in words.items())
