@@ -89,3 +89,36 @@ def test_held_out_accuracy(llm):
     counts = {(r.label, r.toxic): r["count"] for r in T.score_toxicity(held, model).groupBy("row.label", "toxic").count().collect()}
     assert counts.get((0, True), 0) <= 0.01 * counts[0, False]
     assert counts[1, True] >= 0.85 * (counts[1, True] + counts.get((1, False), 0))
+
+
+def test_endings_that_are_rare_alone_are_found_by_their_stem(llm):
+    def text(i, ending):
+        return " ".join(f"w{(i * 7 + k) % 97}" for k in range(30)) + f" bomente{ending}"
+
+    def ending(i):
+        return "".join("aeiou"[i // 10 // 5**k % 5] for k in range(4))
+
+    rows = [(i, text(i, ending(i)) if i % 10 == 0 else text(i, "")[:-8]) for i in range(400)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = T.train(docs, labels)
+    new = llm.createDataFrame([(1, text(1, "xyz")), (2, text(2, "")[:-8]), (3, "w1 bom")], docs.schema)
+    assert {r.doc_id: r.toxic for r in T.score_toxicity(new, model).select("row.doc_id", "toxic").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_bounded_sample_holds_the_rare_class(llm):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 97}" for k in range(30)) + (" vile" if i % 100 == 0 else "")) for i in range(2000)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, int(i % 100 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    model = T.train(docs, labels, max_rows=100)
+    assert set(model.weights) == {"vile"}
+    assert sum(r.toxic for r in T.score_toxicity(docs, model).collect()) == 20
+
+
+def test_recall_in_every_language(llm):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = llm.read.parquet(f"{sf}/documents.parquet"), llm.read.parquet(f"{sf}/labels.parquet")
+    model = T.train(docs, labels.where("doc_id % 5 <> 0"))
+    held = docs.join(labels.where("toxic = 1 AND doc_id % 5 = 0").select("doc_id"), "doc_id")
+    found = T.score_toxicity(held, model).groupBy("row.lang").agg(F.avg(F.col("toxic").cast("int")).alias("recall")).collect()
+    assert {r.lang for r in found} == {"de", "en", "es", "fr"} and all(r.recall >= 0.5 for r in found)
