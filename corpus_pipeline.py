@@ -24,8 +24,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete the boilerplate lines of each source; every document stays."""
-    cleaned = line_dedup(docs).select("row.*")
+    """Delete the boilerplate lines of each source; every document stays, and
+    copies of a document, which are only dropped later, count as one page."""
+    cleaned = line_dedup(docs, copies_once=True).select("row.*")
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 

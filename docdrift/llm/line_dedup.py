@@ -40,15 +40,32 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(
-    df: DataFrame, text: Column, site: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    df: DataFrame,
+    text: Column,
+    site: Column,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
-    """``site, keys, pages``: the digests of each site's boilerplate lines."""
+    """``site, keys``: the digests of each site's boilerplate lines. With
+    ``copies_once`` the pages of a site with the same lines are one page."""
     pages = df.select(site.alias("site"), text.alias("text"))
-    totals = cut_lineage(pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
-    own = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _bare), lambda x: x != ""))
+    lines = F.filter(F.transform(_lines(F.col("text")), _bare), lambda x: x != "")
+    if copies_once:
+        # Digests stand for pages and lines, so no text is shuffled, and a line
+        # or a page that many rows hold is spread by (line, page).
+        same = F.unhex(F.md5(F.coalesce(F.array_join(lines, "\n"), F.lit("")).cast("binary")))
+        pages = pages.select("site", same.alias("page"), "text")
+        totals = pages.select("site", "page").distinct()
+    else:
+        totals = pages
+    totals = cut_lineage(totals.groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
+    kept = ["site", "page"] if copies_once else ["site"]
+    keyed = pages.select(*kept, F.explode(F.array_distinct(lines)).alias("line")).select(
+        *kept, F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")
+    )
     counted = (
-        pages.select("site", F.explode(own).alias("line"))
-        .select("site", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
+        (keyed.distinct() if copies_once else keyed)
         .groupBy("site", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_pages)
@@ -67,20 +84,23 @@ def line_dedup(
     site: Column | None = None,
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """The input's rows and columns with boilerplate lines deleted from
     ``text_col``, as ``struct row`` (the cleaned row), ``n_lines`` and
     ``n_dropped``.
 
     A line counts once per page, whatever white space stands around it, and
-    every row is a page, repeated rows included. Lines that are blank, or that
+    every row is a page, repeated rows included; with ``copies_once`` rows of a
+    site with the same lines are one page, so a document does not become
+    boilerplate by being copied. Lines that are blank, or that
     fewer than ``min_pages`` pages of the site contain, stay. The lines that
     stay keep their order and wording. Rows without a site form a site of
     their own; a null text stays null (no lines) and an empty one stays empty.
     The input's column names cannot clash with the helpers'.
     """
     site = F.col("source") if site is None else site
-    found = boilerplate(df, F.col(text_col), site, max_ratio, min_pages)
+    found = boilerplate(df, F.col(text_col), site, max_ratio, min_pages, copies_once)
     packed = df.select(whole_row(), site.alias("site"), F.col(text_col).alias("text"))
     # Sites without boilerplate are not in the table; it is broadcast only if
     # its measured size allows it.

@@ -45,6 +45,15 @@ def test_lines(llm, ratio, least):
     assert L.line_dedup(df.limit(0)).collect() == []
 
 
+def test_copies_count_as_one_page(llm):
+    rows = [(i, "a", f"menu\nown {i}") for i in range(40)] + [(100 + i, "a", "menu\nfirst \n\n second") for i in range(20)]
+    rows += [(200 + i, "b", "x\ny") for i in range(6)] + [(300, "b", None), (301, "b", "")]
+    df = llm.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in L.line_dedup(df, copies_once=True).select("row.*", "n_dropped").collect()}
+    expected = {i: (f"own {i}", 1) for i in range(40)} | {100 + i: ("first \n\n second", 1) for i in range(20)}
+    assert got == expected | {200 + i: ("x\ny", 0) for i in range(6)} | {300: (None, 0), 301: ("", 0)}
+
+
 def test_host_of_a_url(llm):
     urls = ["http://A.org/x", "https://u:p@b.org:80/", "no url", None, "//c.org/x", "http://d.org"]
     df = llm.createDataFrame([(u,) for u in urls], "u string")

@@ -76,3 +76,26 @@ def test_stages_on_odd_documents(llm):
     kept = P.simhash_stage(llm, lines, SF).collect()
     assert sorted(r.doc_id for r in kept) == [1, 5]
     assert len(P.packing_stage(llm, lines, SF).collect()) == 5
+
+
+def test_toxic_documents_are_rejected(llm):
+    docs, labels = (llm.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    rejected = set(by_id(docs)) - set(by_id(P.toxicity_stage(llm, docs, SF)))
+    assert len(rejected & toxic) >= len(toxic) // 2
+    assert not rejected & {r.doc_id for r in labels.where("toxic = 0").collect()}
+
+
+def test_a_group_of_copies_keeps_its_text(llm):
+    copied = {g: "\n".join(f"{g} copied line {k} of text {k * k}" for k in range(6)) for g in ("first", "second")}
+    rows = [(i, f"menu of the site\nown words {i} {i * i} of page {i**3}", "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, "menu of the site\n" + copied["first"], "en", "s", 0) for i in range(30)]
+    rows += [(200 + i, copied["second"], "en", "t", 0) for i in range(10)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    for _, stage in P.STAGES[:3]:
+        docs = stage(llm, docs, SF)
+    kept = [r.text for r in docs.collect()]
+    assert kept.count(copied["first"]) == 1 and kept.count(copied["second"]) == 1
+    assert "" not in kept and not any("menu" in t for t in kept)
+    pieces = P.packing_stage(llm, docs, SF).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
