@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS, MORE_NOTICES
 from .tables import table, text_or_empty
 
 # Licence texts, notices and spellings (fixed values).
@@ -75,6 +76,33 @@ software.
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+#: Further texts; longer licences are known by digest (``license_digests``).
+MORE_LICENSES = {
+    "BSD-3-Clause": LICENSES["BSD-2-Clause"].replace(
+        "THIS SOFTWARE IS",
+        """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS""",
+        1,
+    ),
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>""",
+}
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -102,6 +130,7 @@ SPELLINGS = (
 #: A line that only says whose copyright it is; names below it are not told apart.
 _COPYRIGHT = r"\n[^\n\p{L}\p{N}(©]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|(\(c\)|©)[ \t]*(copyright|[0-9<\[])|all rights reserved)[^\n]*"
 _MARKS = r"[^\n\p{L}\p{N}]+"
+_HEAD = r"^(?:[ \n]*+(?:(?:[^ \n]+ ){0,7}license(?: [^ \n]+){0,5}|copyright [^\n]*?) ?(?=\n|$)){1,50}+"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -114,6 +143,12 @@ def canonical_lines(text: Column) -> Column:
     return out
 
 
+def without_head(lines: Column) -> Column:
+    """Canonical lines without the titles ("X license") and copyright lines, the
+    name first or not, that stand before the text."""
+    return F.regexp_replace(lines, _HEAD, "")
+
+
 def digest_of(lines: Column) -> Column:
     """The digest of a canonical text, whatever its line breaks."""
     return F.sha2(F.trim(F.regexp_replace(lines, "[ \n]+", " ")).cast("binary"), 256)
@@ -125,36 +160,59 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] = LICENSES) -> Dat
     return rows.select(digest_of(canonical_lines(F.col("text"))).alias("known_digest"), "license_id")
 
 
+def all_known(spark: SparkSession) -> DataFrame:
+    """``known_digest, license_id``: the texts and the digests of this package."""
+    rows = spark.createDataFrame(sorted(DIGESTS.items()), "known_digest string, license_id string")
+    return known_licenses(spark, LICENSES | MORE_LICENSES).unionByName(rows)
+
+
 def license_scan(
     df: DataFrame,
     known: DataFrame | None = None,
-    notices: dict[str, str] = NOTICES,
+    notices: dict[str, str | tuple[str, ...]] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: ``doc_id, digest`` (of the canonical text),
-    ``license_id`` (null where the entire text is no known licence) and
+    ``license_id`` (null where the entire text, with or without the titles and
+    copyright lines at its head, is no known licence) and
     ``notices`` (ids of the known notices that are entire lines, each once, in
-    the dictionary's order, comma-separated; empty if none).
+    the dictionary's order, comma-separated; empty if none). A notice may have
+    several wordings.
 
     ``known`` has one row per digest. Null text counts as empty; empty texts
     share the digest of the empty text and are no licence. Repeated rows and
     null ids each give a row; other columns are ignored. Whole texts are read.
     """
-    # The dictionary of this module is a handful of rows; a caller's table is
+    # The table of this package is a handful of rows; a caller's table is
     # broadcast only if Spark knows it to be small.
-    known = F.broadcast(known_licenses(df.sparkSession)) if known is None else known
+    own_table = known is None
+    known = F.broadcast(all_known(df.sparkSession)) if known is None else known
+    if notices is None:
+        notices = {i: (t, *MORE_NOTICES.get(i, ())) for i, t in NOTICES.items()} | {i: t for i, t in MORE_NOTICES.items() if i not in NOTICES}
     rows = df.select(F.col(id_col).alias("doc_id"), canonical_lines(text_or_empty(text_col)).alias("lines"))
-    trimmed = F.transform(F.split("lines", "\n"), lambda x: F.trim(x))
-    marked = rows.select("doc_id", digest_of(F.col("lines")).alias("digest"), trimmed.alias("own"))
-    entire = [F.when(F.array_contains("own", F.trim(F.regexp_replace(canonical_lines(F.lit(t)), "\n", ""))), F.lit(i)) for i, t in notices.items()]
+    wordings = {i: [_one_line(t) for t in ([w] if isinstance(w, str) else w)] for i, w in notices.items()}
+    lines = F.transform(F.split("lines", "\n"), lambda x: F.trim(x))
+    # One pass over the lines, by hash, finds those that are some notice.
+    own = F.array_intersect(lines, F.array(*(x for w in wordings.values() for x in w))) if wordings else F.array().cast("array<string>")
+    bare = digest_of(without_head(F.col("lines")))
+    marked = rows.select("doc_id", digest_of(F.col("lines")).alias("digest"), bare.alias("bare"), own.alias("own"))
+    entire = [F.when(F.arrays_overlap("own", F.array(*w)), F.lit(i)) for i, w in wordings.items()]
     found = F.concat_ws(",", *entire) if entire else F.lit("")
-    thin = marked.select("doc_id", "digest", found.alias("notices"))  # no text goes into the join
-    return thin.join(known, F.col("digest") == F.col("known_digest"), "left").select(
-        "doc_id", "digest", "license_id", "notices"
+    # No text goes into the joins; texts without a head are looked up once.
+    thin = marked.select("doc_id", "digest", F.when(F.col("bare") != F.col("digest"), F.col("bare")).alias("bare"), found.alias("notices"))
+    headless = known.select(F.col("known_digest").alias("headless_digest"), F.col("license_id").alias("headless_id"))
+    return (
+        thin.join(known, F.col("digest") == F.col("known_digest"), "left")
+        .join(F.broadcast(headless) if own_table else headless, F.col("bare") == F.col("headless_digest"), "left")
+        .select("doc_id", "digest", F.coalesce("license_id", "headless_id").alias("license_id"), "notices")
     )
 
 
+def _one_line(text: str) -> Column:
+    return F.trim(F.regexp_replace(canonical_lines(F.lit(text)), "\n", ""))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
