@@ -10,7 +10,9 @@ Differencing alone cannot tell apart what markup states: a template may word
 its menu anew on every page, and copies of an article share all of its lines.
 So elements that HTML names as something else (``nav``, ``footer``, forms,
 adverts, comments and so on) are left out beforehand, and blocks of an
-``article`` or ``main`` element are aligned but never deleted.
+``article`` or ``main`` element are kept: a page that has such blocks keeps only
+these, all of them, and is not aligned, so there markup rules give the text and
+the partner has no effect.
 
 Pages are dealt out by ranges of (host, path), split by rows and not by hosts,
 so a host with a third of all pages is spread over many tasks. A task reads its
