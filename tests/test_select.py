@@ -6,7 +6,7 @@ from docdrift.operators import select as M
 from docdrift.sources import docs as SD
 from docdrift.sources import snapshots as SS
 
-from conftest import rows
+from collected import rows
 
 
 def _snap(spark, items, ref):
@@ -15,26 +15,21 @@ def _snap(spark, items, ref):
 
 
 def test_changed_files_cases(spark):
-    base = _snap(spark, [("committed.go", "package main\n")], "base")
-    head = _snap(
-        spark,
-        [
-            ("committed.go", "package main\n\nfunc hello() {}\n"),
-            ("untracked.go", "package x\n"),
-            ("pkg/deep/nested/leaf.go", "package leaf\n"),
-            ("readme.md", "# r\n"),
-            ("Makefile", "all:\n"),
-            ("go.sum", "x\n"),
-        ],
-        "head",
-    )
-    got = C.changed_files(SS.filter_source_files(base), SS.filter_source_files(head))
-    r = {x["path"]: (x["old_content"], x["new_content"]) for x in got.collect()}
-    assert set(r) == {"committed.go", "untracked.go", "pkg/deep/nested/leaf.go"}
-    assert r["committed.go"] == ("package main", "package main\n\nfunc hello() {}\n")
-    assert r["untracked.go"][0] == ""
-    same = C.changed_files(base, _snap(spark, [("committed.go", "package main\n")], "head"))
-    assert same.count() == 0
+    before = [("cmd/serve.go", "package cmd\n\nvar Port = 80\n\n\n"), ("cmd/stop.go", "package cmd\n"), ("old/gone.go", "package old\n")]
+    after = [
+        ("cmd/serve.go", "package cmd\n\nvar Port = 8080\n"),
+        ("cmd/stop.go", "package cmd\n"),
+        ("store/disk/page.go", "package disk\n"),
+        ("docs/guide.md", "# Guide\n"),
+        ("deploy.yaml", "replicas: 2\n"),
+    ]
+    got = C.changed_files(SS.filter_source_files(_snap(spark, before, "base")), SS.filter_source_files(_snap(spark, after, "head")))
+    assert rows(got, "path", "old_content", "new_content") == [
+        ("cmd/serve.go", "package cmd\n\nvar Port = 80", "package cmd\n\nvar Port = 8080\n"),
+        ("old/gone.go", "package old", ""),
+        ("store/disk/page.go", "", "package disk\n"),
+    ]
+    assert C.changed_files(_snap(spark, before, "base"), _snap(spark, before, "head")).count() == 0
 
 
 def test_split_lines(spark):

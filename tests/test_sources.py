@@ -11,7 +11,7 @@ from docdrift.operators import requests as RQ
 from docdrift.sources import docs as SD
 from docdrift.sources import snapshots as SS
 
-from conftest import rows
+from collected import rows
 
 
 def _tree(files):
