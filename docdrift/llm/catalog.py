@@ -11,6 +11,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op6_packing
 from .simhash import op3_simhash
 from .toxicity import op5_toxicity
+from .url_filter import OP13_SQL, op13_url_filter
 from .warc import op4_warc
 
 QUERIES = {
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE = {
     "op1_line_dedup": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op9_license_scan": OP9_SQL,
+    "op13_url_filter": OP13_SQL,
 }
