@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .html_text import op7_html_text
 from .license_scan import OP9_SQL, op9_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filter": op13_url_filter,
 }
 
@@ -32,5 +34,6 @@ ORACLE = {
     "op1_line_dedup": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op9_license_scan": OP9_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_url_filter": OP13_SQL,
 }

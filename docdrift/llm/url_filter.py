@@ -6,8 +6,9 @@ rate of the level above it, and the strength of that prior (in pages) is
 estimated from how far the rates of one parent's children spread beyond what
 binomial chance explains; a prior never counts for more pages than the level
 above has seen. So a host with many labelled pages speaks for itself, and one
-with few or none takes the rate of its domain, its suffix, or all pages. A host is blocked where the lower bound of its posterior lies above
-the rate that is tolerated.
+with few or none takes the rate of its domain, its suffix, or all pages. A
+host is blocked where the lower bound of its posterior lies above the rate that
+is tolerated.
 
 Counting is partial aggregation over the url column alone. The driver sees
 three prior strengths and the total; everything else stays in joins on host,
@@ -16,8 +17,6 @@ domain and suffix.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
