@@ -10,6 +10,7 @@ from .html_text import op7_html_text
 from .license_scan import OP9_SQL, op9_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op6_packing
+from .prefix_trie import op11_prefix_trie
 from .simhash import op3_simhash
 from .toxicity import op5_toxicity
 from .url_filter import OP13_SQL, op13_url_filter
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filter": op13_url_filter,
 }
