@@ -8,7 +8,9 @@ summary grows with the number of changes, so it is not broadcast).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +160,12 @@ STORED = T.StructType(
 )
 
 
+#: The error of a request that was not sent because too many others failed.
+NOT_ASKED = "not_asked"
+#: Calls that a task makes before its share of failures can stop it.
+MIN_CALLS = 20
+
+
 def _stored(spark: SparkSession, store: str) -> DataFrame | None:
     """The stored replies; None where nothing was stored yet (any other
     failure to read is an error, never an empty store)."""
@@ -169,6 +177,48 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
         raise
 
 
+class _Calls:
+    """Calls of one task: up to ``parallel`` at a time, results in the order of
+    the requests. With ``breaker`` no further call is made once at least
+    ``min_calls`` have ended and that share of them failed."""
+
+    def __init__(self, completer: Callable[[str], str], parallel: int, breaker: float | None, min_calls: int) -> None:
+        self.completer, self.parallel, self.breaker, self.min_calls = completer, parallel, breaker, min_calls
+        self.ended = self.failed = 0
+
+    def one(self, request: str) -> tuple[str | None, str | None]:
+        try:
+            return self.completer(request), None
+        except Exception as exc:  # recorded per row
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def broken(self) -> bool:
+        return self.breaker is not None and self.ended >= self.min_calls and self.failed >= self.breaker * self.ended
+
+    def over(self, requests: list[str]) -> list[tuple[str | None, str | None]]:
+        results: list = [(None, NOT_ASKED)] * len(requests)
+        running: deque[tuple[int, Future]] = deque()
+
+        def end_first() -> None:
+            at, call = running.popleft()
+            results[at] = call.result()
+            self.ended += 1
+            self.failed += results[at][1] is not None
+
+        with ThreadPoolExecutor(self.parallel) as pool:
+            for at, request in enumerate(requests):
+                if len(running) == self.parallel:
+                    end_first()
+                while running and running[0][1].done():
+                    end_first()
+                if self.broken():
+                    break
+                running.append((at, pool.submit(self.one, request)))
+            while running:
+                end_first()
+        return results
+
+
 def complete_requests(
     requests_json: DataFrame,
     completer: Callable[[str], str],
@@ -176,6 +226,11 @@ def complete_requests(
     store: str | None = None,
     concurrency: int | None = None,
     batches: int = 1,
+    parallel: int = 1,
+    breaker: float | None = None,
+    task_breaker: float | None = None,
+    min_calls: int = MIN_CALLS,
+    batch_of: Column | None = None,
 ) -> DataFrame:
     """Call ``completer(request body) -> reply body`` once per distinct
     request and give every ``(repo, path)`` that asks it the reply: ``repo,
@@ -190,19 +245,22 @@ def complete_requests(
     stopped. The guarantee is at least once: a retried or speculative task
     repeats the calls of its part that were not committed. ``batches`` commits
     the replies in so many parts, which bounds what can be repeated;
-    ``concurrency`` bounds the number of tasks calling out at once. Without a
-    store the plan is lazy and each evaluation calls again."""
+    ``concurrency`` bounds the number of tasks calling out at once, and each
+    task makes up to ``parallel`` calls at a time (``completer`` must then be
+    safe to call from several threads). Without a store the plan is lazy and
+    each evaluation calls again.
+
+    ``task_breaker`` is the share of a task's calls (of ``min_calls`` or more)
+    whose failure ends its calls of this part; ``breaker`` is the share of all
+    calls of the parts so far (of ``min_calls`` or more) whose failure ends the
+    run's calls. Requests that are not sent have the error ``not_asked`` and
+    are asked in the next run. ``batch_of`` says which part (from 0) a request belongs to;
+    by default its hash does."""
 
     def run(pdfs: Iterator) -> Iterator:
+        calls = _Calls(completer, parallel, task_breaker, min_calls)
         for pdf in pdfs:
-            bodies, errors = [], []
-            for req in pdf["request_json"]:
-                try:
-                    bodies.append(completer(req))
-                    errors.append(None)
-                except Exception as exc:  # recorded per row
-                    bodies.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
+            bodies, errors = zip(*calls.over(list(pdf["request_json"]))) if len(pdf) else ((), ())
             yield pdf.assign(body=bodies, error=errors)[["request_hash", "body", "error"]]
 
     def called(rows: DataFrame) -> DataFrame:
@@ -215,21 +273,42 @@ def complete_requests(
 
     asked = requests_json.select("repo", "path", "request_hash")
     named = ["summary_key"] if summaries is not None else []
-    todo = requests_json.dropDuplicates(["request_hash"]).select("request_hash", "request_json", *named)
+    part_of = F.pmod(F.xxhash64("request_hash"), F.lit(batches)) if batch_of is None else batch_of
+    todo = requests_json.withColumn("_part", part_of.cast("int")).dropDuplicates(["request_hash"])
+    todo = todo.select("request_hash", "request_json", "_part", *named)
     texts = summaries.select(F.sha2("summary", 256).alias("summary_key"), "summary").distinct() if named else None
     if store is None:
         replies = called(todo)
     else:
         spark = requests_json.sparkSession
+        before, broken = _outcomes(_stored(spark, store)), False
         for part in range(batches):
-            wanted = todo if batches == 1 else todo.filter(F.pmod(F.xxhash64("request_hash"), F.lit(batches)) == part)
+            wanted = todo if batches == 1 else todo.filter(F.col("_part") == part)
             done = _stored(spark, store)
             if done is not None:
                 good = done.filter(F.col("error").isNull()).select("request_hash")
                 wanted = wanted.join(good, "request_hash", "left_anti")
+            if broken:
+                skipped = wanted.select("request_hash", F.lit(None).cast("string").alias("body"), F.lit(NOT_ASKED).alias("error"))
+                skipped.write.mode("append").parquet(store)
+                continue
             called(wanted).write.mode("append").parquet(store)
-        # of several rows for one request (failed, then answered) the answer
+            if breaker is not None and part + 1 < batches:
+                ended, failed = (now - then for now, then in zip(_outcomes(_stored(spark, store)), before))
+                broken = ended >= min_calls and failed >= breaker * ended
+        # of several rows for one request (failed, then answered) the answer;
+        # an error of a call rather than that there was none
+        order = F.struct(F.col("error").isNotNull(), F.col("error") == NOT_ASKED, "error", "body")
         replies = _stored(spark, store).groupBy("request_hash").agg(
-            F.min_by(F.struct("body", "error"), F.struct(F.col("error").isNotNull(), "error", "body")).alias("r")
+            F.min_by(F.struct("body", "error"), order).alias("r")
         ).select("request_hash", "r.body", "r.error")
     return asked.join(replies, "request_hash").select("repo", "path", "request_hash", "body", "error")
+
+
+def _outcomes(stored: DataFrame | None) -> tuple[int, int]:
+    """Calls in the store, and failed ones among them."""
+    if stored is None:
+        return 0, 0
+    sent = F.coalesce(F.col("error") != NOT_ASKED, F.lit(True))
+    r = stored.agg(F.count_if(sent).alias("ended"), F.count_if(sent & F.col("error").isNotNull()).alias("failed")).first()
+    return r["ended"], r["failed"]

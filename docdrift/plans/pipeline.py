@@ -4,7 +4,7 @@
 goes from stored replies to the rows to write. Two points are materialised
 in the shared checkpoint folder (``spark.checkpoint.dir``): the symbol diffs
 (read by three consumers) and the replies (an answered request is not asked
-again).
+again). ``apply_updates`` merges the result into the document store.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..operators import requests as RQ
 from ..operators import select as M
 from ..operators import summary as A
 from ..operators import validate as V
+from ..sources import doc_store as DS
 from ..sources import docs as SD
 from ..sources import replies as SR
 from ..sources import snapshots as SS
@@ -79,9 +80,10 @@ def _errors(files: DataFrame, side: str) -> DataFrame:
     return MI.extract_errors(rows).withColumn("side", F.lit(side))
 
 
-def complete(requests_json: DataFrame, summaries: DataFrame, completer: Callable[[str], str], store: str) -> DataFrame:
-    """R0 with the reply store in shared storage (one stored reply per request)."""
-    return RQ.complete_requests(requests_json, completer, summaries, store)
+def complete(requests_json: DataFrame, summaries: DataFrame, completer: Callable[[str], str], store: str, **calls) -> DataFrame:
+    """R0 with the reply store in shared storage (one stored reply per
+    request); ``calls`` are the options of ``complete_requests``."""
+    return RQ.complete_requests(requests_json, completer, summaries, store, **calls)
 
 
 def finish_updates(
@@ -108,3 +110,10 @@ def finish_updates(
         "ready": ready,
         "counts": V.outcome_counts(ready),
     }
+
+
+def apply_updates(ready: DataFrame, store: str, run: str) -> int:
+    """Merge the rows to write into the document store at ``store``; the
+    version that holds them. Documents without an update stay as they are, and
+    a run that was already applied is not applied again."""
+    return DS.merge_docs(ready, store, run)

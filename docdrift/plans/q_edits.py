@@ -3,12 +3,15 @@ per document, see ``bindings.reply_bodies``)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_CLASS
 from ..operators import edits as E
 from ..operators import validate as V
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
+from ..sources import doc_store as DS
 from ..sources import replies as SR
 from . import bindings as B
 from .registry import register
@@ -277,3 +280,21 @@ def q_write_ready_docs(spark, sf):
 )
 def q_outcome_counts(spark, sf):
     return V.outcome_counts(V.write_ready_docs(_flagged(spark, sf), B.docs_table(spark, sf, spread=False)))
+
+
+@register(
+    "merge_docs",
+    "WITH " + BASE + ", " + _READY + """ SELECT d.repo, d.path, octet_length(encode(coalesce(r.content, d.content))) AS n_bytes,
+        md5(coalesce(r.content, d.content)) AS md5
+        FROM docs d LEFT JOIN ready r ON r.repo = d.repo AND r.path = d.path AND r.outcome = 'written'""",
+)
+def q_merge_docs(spark, sf):
+    """The whole document table after the run's results are merged into it (the
+    second merge is a replay and changes nothing)."""
+    store = f"{checkpoint_dir(spark)}/docdrift-store-{uuid.uuid4().hex}"
+    DS.create_docs(B.docs_table(spark, sf, spread=False), store, buckets=16)
+    ready = cut_lineage(V.write_ready_docs(_flagged(spark, sf), B.docs_table(spark, sf, spread=False)))
+    for _ in range(2):
+        version = DS.merge_docs(ready, store, "run-1")
+    docs = DS.read_docs(spark, store, version)
+    return docs.select("repo", "path", F.octet_length("content").alias("n_bytes"), F.md5("content").alias("md5"))

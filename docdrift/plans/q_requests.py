@@ -224,6 +224,37 @@ def q_complete_requests(spark, sf):
     )
 
 
+def failing_completer(request: str) -> str:
+    """``local_completer`` behind an endpoint that refuses every fourth of the
+    odd documents' numbers."""
+    number = int(re.search(r'/([0-9]+)\.[a-z]+">\n', json.loads(request)["messages"][1]["content"]).group(1))
+    if number % 8 == 1:
+        raise ConnectionError(f"no route for {number}")
+    return local_completer(request)
+
+
+@register(
+    "call_outcomes",
+    f"""WITH {SUMMARIES}, numbered AS (SELECT *, CAST(regexp_extract(path, '/([0-9]+)\.', 1) AS INTEGER) AS n FROM reqs),
+    shares AS (SELECT count(*) AS ended, count(*) FILTER (WHERE n % 8 = 1) AS failed FROM numbered WHERE n % 4 < 2)
+    SELECT repo, path, CASE WHEN n % 4 >= 2 AND ended >= 20 AND failed >= 0.1 * ended THEN 'not_asked'
+             WHEN n % 8 = 1 THEN 'ConnectionError: no route for ' || n ELSE 'ok' END AS outcome,
+        CASE WHEN (n % 4 < 2 OR ended < 20 OR failed < 0.1 * ended) AND n % 8 <> 1 THEN path END AS file
+    FROM numbered, shares""",
+)
+def q_call_outcomes(spark, sf):
+    """R0 in four parts with a breaker: the second part fails too often, so the
+    last two are not asked."""
+    store = f"{checkpoint_dir(spark)}/docdrift-replies-{uuid.uuid4().hex}"
+    number = F.regexp_extract("path", r"/([0-9]+)\.", 1).cast("int")
+    rep = RQ.complete_requests(
+        RQ.request_json(_requests(spark, sf)), failing_completer, _summaries(spark, sf), store,
+        batches=4, batch_of=number % 4, parallel=4, breaker=0.1,
+    )
+    content = F.get_json_object("body", "$.choices[0].message.content")
+    return rep.select("repo", "path", F.coalesce("error", F.lit("ok")).alias("outcome"), F.get_json_object(content, "$.edits[0].file").alias("file"))
+
+
 @register(
     "classify_attempts",
     f"WITH {ATTEMPTS} SELECT request_id, attempt, status, outcome, retryable, retry_after_s, message FROM cls2",
