@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 import zlib
 from array import array
@@ -25,6 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +33,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .bpe import LONG_CHUNK, Merges, by_bytes
+from .bpe import by_bytes, byte_symbols
 from .tables import table
 
 #: The query's contract: tokens in a sequence, and the id that ends a document.
 SEQUENCE, END = 1024, 2
 #: Steps of the least-squares fit.
 STEPS = 300
-#: Chunks whose ids a worker remembers (about 100 MB), in two generations: when
-#: the younger one holds half, the older one is forgotten but for what is used.
-REMEMBERED = 500_000
-
-_BETWEEN = re.compile(r"(?<!\s) | (?=\S)")
-#: Behind the last letter of the Latin blocks.
-_LATIN_END = "\u0250"
-_INSIDE = re.compile(r"\s (?:\s|\Z)")
+# Fixed value: the pieces of byte-level pre-tokenization.
+_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -58,16 +52,35 @@ def _packed(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer file as bytes with their ids, where the
+    file is plain byte-level BPE whose ids count up in the order of the merges,
+    so that ids are merge ranks; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and spec["post_processor"] is None and model["type"] == "BPE"
+    plain = plain and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if not plain or any(model.get(o) for o in options):
+        return None
+    symbols, vocab = {s: b for b, s in enumerate(byte_symbols())}, model["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in pairwise(made)) or max(vocab[s] for s in symbols) >= made[0]:
+        return None
+    return {bytes(symbols[c] for c in token): i for token, i in vocab.items()}
+
+
 class TokenIds:
-    """Ids of whole texts by a byte-level tokenizer file of the ``tokenizers``
-    library.
+    """Ids of whole texts by a tokenizer file of the ``tokenizers`` library.
 
-    The tokenizer's pattern always starts a new piece at a space that follows
-    a non-space or precedes one, so a text is the sequence of its chunks
-    between such spaces and each distinct chunk is encoded once per batch and
-    remembered (a bounded memory, which changes speed and nothing else)."""
+    Plain byte-level files are read as merge ranks and encoded by ``tiktoken``,
+    which gives the same ids several times faster and remembers nothing; texts
+    with a special token's string, and all texts for other kinds of files, go
+    through the library itself."""
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
@@ -75,58 +88,13 @@ class TokenIds:
         self.coder.no_truncation()
         self.coder.no_padding()
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
-        self.known: dict[str, bytes] = {}  # chunks that follow a space
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        coded = self.coder.encode_batch_fast(texts, add_special_tokens=False)
-        return [_packed(c.ids) for c in coded]
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks after a space. A word of letters and the marks after
-        it are pieces of their own, so such words are encoded once."""
-        words = {c: c.rstrip(".,;:!?") for c in chunks}
-        words = {c: w for c, w in words.items() if len(w) < len(c) and w.isalpha()}
-        new = list(chunks.difference(words).union(w for w in words.values() if w not in self.known and w not in self.older))
-        # A word of Latin letters is one piece, which the segment-tree encoder
-        # takes many at a time; all else goes through the library's pattern.
-        plain = [c for c in new if c.isalpha() and max(c) < _LATIN_END]
-        other = list(set(new).difference(plain))
-        coded = dict(zip(plain, self.merges.encode([(" " + c).encode() for c in plain]), strict=True)) if plain else {}
-        coded.update(zip(other, self._ids([" " + c for c in other]), strict=True))
-        marks = list({c[len(w) :] for c, w in words.items()})
-        ends = dict(zip(marks, self._ids(marks), strict=True))
-        coded.update((c, (coded.get(w) or self.known.get(w) or self.older[w]) + ends[c[len(w) :]]) for c, w in words.items())
-        return coded
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        parts: list[list[str] | None] = []
-        wanted: set[str] = set()
-        whole, heads = [], []
-        for t in texts:
-            if any(s in t for s in self.special):
-                parts.append(None)
-                whole.append(t)
-                continue
-            chunks = _BETWEEN.split(t) if _INSIDE.search(t) else t.split(" ")
-            parts.append(chunks)
-            heads.append(chunks[0])
-            wanted.update(chunks[1:])
-        missing = wanted.difference(self.known)
-        self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
-        coded = self._learn(missing.difference(self.older))
-        self.known.update((c, ids) for c, ids in coded.items() if len(c) <= LONG_CHUNK)
-        long = {c: ids for c, ids in coded.items() if len(c) > LONG_CHUNK}
-        known = self.known | long if long else self.known
-        whole_ids, head_ids = iter(self._ids(whole)), iter(self._ids(heads))
-        return [
-            next(whole_ids) if p is None else next(head_ids) + b"".join(map(known.__getitem__, p[1:])) for p in parts
-        ]
+        ranks = byte_ranks(path)
+        self.ranks = ranks and tiktoken.Encoding(path, pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks is None or any(s in text for s in self.special):
+            return _packed(self.coder.encode(text, add_special_tokens=False).ids)
+        return _packed(self.ranks.encode_ordinary(text))
 
 
 @lru_cache(maxsize=2)
@@ -155,10 +123,9 @@ def token_pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen, part = token_ids(path), Counter(), TaskContext.get().partitionId()
         for batch in by_bytes(batches, "text"):
-            coded = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             of, rows = [], []
-            for i, ids in enumerate(coded):
-                ids = memoryview(ids + last)
+            for i, text in enumerate(batch.column("text")):
+                ids = memoryview(coder.encode(text.as_py() or "") + last)
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, sequence)):
                     of.append(i)
                     rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))

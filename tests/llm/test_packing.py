@@ -22,11 +22,32 @@ def library():
 
 def test_ids_are_those_of_the_library(library):
     rng = np.random.default_rng(3)
-    texts = ODD + ["".join(rng.choice(list("ab é'.,\n\t  日1 \x1fs"), size=30)) for _ in range(3000)]
+    texts = ODD + ["".join(rng.choice(list("ab é'.,\n\t  日1 \x1fs"), size=30)) for _ in range(3000)]
+    texts += [" " * 100_000, "\n" * 50_000 + "x", "." * 50_000, "ab" * 30_000]
+    tokens = [t.replace("Ġ", " ") for t in library.get_vocab() if t.isascii() or t[0] == "Ġ"]
+    texts += ["".join(rng.choice(tokens, size=3)) for _ in range(5_000)]  # merges across the seams
     coder = P.TokenIds(P.byte_bpe_path())
-    for _ in range(2):  # the second time from memory
-        for t, ids in zip(texts, coder.encode(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+    assert coder.ranks
+    expected = library.encode_batch(texts, add_special_tokens=False)
+    for t, e in zip(texts, expected, strict=True):
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == e.ids, t[:40]
+
+
+def test_every_kind_of_character_is_split_alike(library):
+    codes = [c for c in (*range(0x3100), *range(0xA000, 0xAC00), *range(0xF900, 0x11500, 3), *range(0x1D000, 0x1FC00, 5)) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1{chr(c)} {chr(c)}.{chr(c)}{chr(c)} b" for c in codes]
+    coder = P.TokenIds(P.byte_bpe_path())
+    for c, t, e in zip(codes, texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == e.ids, hex(c)
+
+
+def test_other_kinds_of_files_go_through_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = P.TokenIds(path)
+    assert coder.ranks is None
+    assert np.frombuffer(coder.encode("Some Words."), "<u4").tolist() == Tokenizer.from_file(path).encode("Some Words.", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("tokens,expected", [(1, [(0, 1)]), (8, [(0, 8)]), (9, [(0, 1), (1, 8)]), (16, [(0, 8), (8, 8)])])
