@@ -208,10 +208,19 @@ def parse_func_header(header) -> Column:
 
 
 def line_table(files: DataFrame) -> DataFrame:
-    """C5 + per-line state: ``repo, path, line_no, code (masked), text (the line without its comment), kw, block,
-    in_block, depth (before the line, inside its block), doc_above,
-    comment``."""
+    """C5 + per-line state: ``repo, path, line_no, code (masked), text (the
+    line without its comment), kw, block (line of its declaration), block_kw,
+    in_block, depth (before the line, inside its block), is_comment,
+    prev_comment, island (first line of the run of comments that the line is
+    in or behind), note (its comment)`` and, for the declaration so far,
+    ``grouped, stop_before`` (a line before it that ends the header).
+
+    The files are dealt out by ``(repo, path)``; everything that follows is
+    grouped by at least these columns, so no line is dealt out again."""
+    spark = files.sparkSession
     text = files.filter(F.col("content") != "").select("repo", "path", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("_t"))
+    # by number: few bytes of text are much work, so partitions are not put together
+    text = text.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "repo", "path")
     both = F.arrays_zip(F.split("_t", "\n", -1).alias("line"), F.split(mask(F.col("_t")), "\n", -1).alias("masked"))
     lines = text.select("repo", "path", F.posexplode(both).alias("_i", "_l")).select(
         "repo", "path", (F.col("_i") + 1).alias("line_no"), "_l.line", "_l.masked"
@@ -225,43 +234,37 @@ def line_table(files: DataFrame) -> DataFrame:
         return F.regexp_replace(F.when(mark > 0, F.substr(c, F.lit(1), mark - 1)).otherwise(F.col(c)), r"\s+$", "")
 
     code = before_comment("masked")
-    is_comment = (mark > 0) & (code == "")
-    kw = F.regexp_extract("masked", DECL_RE, 1)
-    is_decl = F.col("kw") != ""
-    opens = F.col("code").rlike(r"[{(]$")
-    closer = F.col("code").rlike(r"^[)}]") & ~F.col("code").rlike(r"\{$")
     note = F.regexp_replace(F.regexp_replace(F.substr("line", mark + 2), r"^\s", ""), r"\s+$", "")
     df = lines.select(
         "repo", "path", "line_no",
         code.alias("code"),
         before_comment("line").alias("text"),
-        is_comment.alias("is_comment"),
+        ((mark > 0) & (code == "")).alias("is_comment"),
         F.when(mark > 0, note).otherwise(F.lit("")).alias("note"),
-        kw.alias("kw"),
-    )
-    df = df.withColumn("ends_block", (is_decl & ~opens) | closer)
-    df = (
-        df.withColumn("block", F.last(F.when(F.col("kw") != "", F.col("line_no")), ignorenulls=True).over(upto))
-        .withColumn("block_kw", F.last(F.when(F.col("kw") != "", F.col("kw")), ignorenulls=True).over(upto))
-        .withColumn("_end_before", F.last(F.when(F.col("ends_block"), F.col("line_no")), ignorenulls=True).over(before))
-        .withColumn("_cum", F.coalesce(F.sum(_delta(F.col("code"))).over(before), F.lit(0)))
-        .withColumn("_prev_comment", F.coalesce(F.lag("is_comment").over(w), F.lit(False)))
+        F.regexp_extract("masked", DECL_RE, 1).alias("kw"),
     )
+    opens = F.col("code").rlike(r"[{(]$")
+    closer = F.col("code").rlike(r"^[)}]") & ~F.col("code").rlike(r"\{$")
+    is_decl = F.col("kw") != ""
+    df = df.withColumn("ends_block", (is_decl & ~opens) | closer).withColumn("delta", _delta(F.col("code")))
+    # a header ends at the first line that opens the body or ends the block
+    stop = F.col("code").rlike(r"\{[^{}]*\}?\s*$") | F.col("ends_block")
+    df = df.withColumns({
+        "block": F.last(F.when(is_decl, F.col("line_no")), ignorenulls=True).over(upto),
+        "block_kw": F.last(F.when(is_decl, F.col("kw")), ignorenulls=True).over(upto),
+        "grouped": F.last(F.when(is_decl, F.col("code").rlike(r"^(type|const|var)\s*\($")), ignorenulls=True).over(upto),
+        "stop_before": F.last(F.when(stop, F.col("line_no")), ignorenulls=True).over(before),
+        "_end_before": F.last(F.when(F.col("ends_block"), F.col("line_no")), ignorenulls=True).over(before),
+        "_cum": F.coalesce(F.sum("delta").over(before), F.lit(0)),
+        "prev_comment": F.coalesce(F.lag("is_comment").over(w), F.lit(False)),
+    })
     in_block = F.col("block").isNotNull() & (F.col("_end_before").isNull() | (F.col("_end_before") < F.col("block")))
-    df = df.withColumn("in_block", in_block).withColumn(
-        "depth", F.col("_cum") - F.last(F.when(F.col("kw") != "", F.col("_cum")), ignorenulls=True).over(upto)
-    )
-    # comment islands: a run of comment lines; the text so far of the run
-    df = df.withColumn(
-        "_island", F.last(F.when(F.col("is_comment") & ~F.col("_prev_comment"), F.col("line_no")), ignorenulls=True).over(upto)
-    )
-    wi = Window.partitionBy("repo", "path", "_island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_doc_so_far", F.when(F.col("is_comment"), F.array_join(F.collect_list("note").over(wi), "\n")))
-    df = df.withColumn(
-        "doc_above",
-        F.when(F.col("_prev_comment"), F.concat(F.lag("_doc_so_far").over(w), F.lit("\n"))).otherwise(F.lit("")),
-    ).withColumn("comment", F.when(~F.col("is_comment"), F.col("note")).otherwise(F.lit("")))
-    return df.drop("_end_before", "_cum", "_prev_comment", "_island", "_doc_so_far", "note")
+    starts = F.col("is_comment") & ~F.col("prev_comment")
+    return df.withColumns({
+        "in_block": in_block,
+        "depth": F.col("_cum") - F.last(F.when(is_decl, F.col("_cum")), ignorenulls=True).over(upto),
+        "island": F.last(F.when(starts, F.col("line_no")), ignorenulls=True).over(upto),
+    }).drop("_end_before", "_cum", "ends_block")
 
 
 def _doc(own, trailing) -> Column:
@@ -293,203 +296,214 @@ def extract_errors(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", _syntax_error().alias("error")).filter(F.col("error").isNotNull())
 
 
-def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame:
-    """``files(repo, path, content)`` -> a declaration table in the
-    ``SYMBOLS`` schema (plus ``exported``). Files that fail E12 give nothing."""
-    # (repo, path) names one file, so dropping the E12 files is a row filter,
-    # not an anti join that would shuffle every file's text
-    ok = files.filter(_syntax_error().isNull())
-    lt = line_table(ok)
+# What a line is to its declaration (fixed order: a unit's items sort by it).
+HEADER, SPEC, MEMBER, GROUP = "header", "spec", "member", "group"
+
+
+def _relevant_lines(lt: DataFrame) -> DataFrame:
+    """The lines that declare something, with their documentation: ``repo,
+    path, block, l`` where ``l`` has ``line_no, role, unit`` (the line that
+    names what it belongs to), ``item`` (the first line of the member),
+    ``block_kw, grouped, c`` (its text), ``comment``, and ``doc_above``."""
     w = Window.partitionBy("repo", "path").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-
-    # type and value specs: the decl line of an ungrouped declaration, or a
-    # depth-1 line of a grouped one
-    grouped = F.col("_block_code").rlike(r"^(type|const|var)\s*\($")
-    lt = lt.withColumn("_block_code", F.last(F.when(F.col("kw") != "", F.col("code")), ignorenulls=True).over(upto))
-    spec_text = F.when(F.col("kw") != "", F.regexp_replace("text", r"^(type|const|var)\s+", "")).otherwise(F.col("text"))
-    is_spec = F.col("block_kw").isin("type", "const", "var") & F.col("in_block") & (
-        ((F.col("kw") != "") & ~grouped) | (grouped & (F.col("depth") == 1) & (F.col("kw") == ""))
-    ) & ~F.col("is_comment") & (F.trim("code") != "") & ~F.col("code").rlike(r"^[)}]")
-    lt = lt.withColumn("is_spec", is_spec).withColumn("spec_text", F.when(is_spec, squeeze(spec_text)))
-    lt = lt.withColumn("_block_doc", F.last(F.when(F.col("kw") != "", F.col("doc_above")), ignorenulls=True).over(upto))
-    lt = lt.withColumn("_spec_line", F.last(F.when(F.col("is_spec"), F.col("line_no")), ignorenulls=True).over(upto))
-    lt = lt.withColumn("_spec_depth", F.last(F.when(F.col("is_spec"), F.col("depth")), ignorenulls=True).over(upto))
-
-    # --- functions and methods (headers may span lines up to the body brace)
-    fn_lines = lt.filter((F.col("block_kw") == "func") & F.col("in_block"))
-    # the header ends at the block's first line that opens the body (or ends
-    # the block); a window over the lines, already clustered by file, finds
-    # it without a join
-    hdr_stop = F.col("code").rlike(r"\{[^{}]*\}?\s*$") | F.col("ends_block")
-    hend = F.min(F.when(hdr_stop, F.col("line_no"))).over(Window.partitionBy("repo", "path", "block"))
-    fn_hdr = (
-        fn_lines.withColumn("_hend", hend)
-        .filter(F.col("line_no") <= F.col("_hend"))
-        .groupBy("repo", "path", "block")
-        .agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("code").alias("c")))), lambda x: x["c"]), " ").alias("_h"),
-            F.max(F.when(F.col("line_no") == F.col("block"), F.col("doc_above"))).alias("doc"),
-        )
+    says = F.col("in_block") & ~F.col("is_comment") & (F.trim("code") != "")
+    # type and value specs: the line of an ungrouped declaration, or a depth-1
+    # line of a grouped one
+    alone = (F.col("kw") != "") & ~F.col("grouped")
+    listed = F.col("grouped") & (F.col("depth") == 1) & (F.col("kw") == "")
+    is_spec = F.col("block_kw").isin("type", "const", "var") & says & (alone | listed) & ~F.col("code").rlike(r"^[)}\]]")
+    lt = lt.withColumn("is_spec", is_spec).withColumns({
+        "spec_line": F.last(F.when(F.col("is_spec"), F.col("line_no")), ignorenulls=True).over(upto),
+        "spec_depth": F.last(F.when(F.col("is_spec"), F.col("depth")), ignorenulls=True).over(upto),
+    })
+    # members of struct and interface specs, one level below the spec; the line
+    # that closes the spec is none
+    rel = F.col("depth") - F.col("spec_depth")
+    is_member = says & ~F.col("is_spec") & (F.col("block_kw") == "type") & (rel >= 1) & (rel + F.col("delta") >= 1)
+    is_header = (F.col("block_kw") == "func") & F.col("in_block") & (
+        F.col("stop_before").isNull() | (F.col("stop_before") < F.col("block"))
     )
-    fn_header = memo_column(
-        "func_header",
-        lambda: parse_func_header(
-            F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_h"), r"\(\s+", "("), r",?\s*\)", ")"), r"\s+", " ")
-        ),
+    role = (
+        F.when(is_header, HEADER).when(F.col("is_spec"), SPEC).when(F.coalesce(is_member, F.lit(False)), MEMBER)
+        .when((F.col("kw") != "") & F.col("grouped"), GROUP)
     )
-    fns = fn_hdr.select("repo", "path", "block", "doc", fn_header.alias("f")).select(
-        "repo", "path", (F.col("block").cast("long") * PER_LINE).alias("ordinal"),
-        F.when(F.col("f.recv_text") != "", F.concat(F.col("f.recv"), F.lit("."), F.col("f.name"))).otherwise(F.col("f.name")).alias("name"),
-        F.when(F.col("f.recv_text") != "", F.lit("method")).otherwise(F.lit("func")).alias("kind"),
-        F.col("f.signature").alias("signature"),
-        F.col("doc"),
-        F.when(F.col("f.recv_text") != "", F.col("f.recv")).otherwise(F.lit("")).alias("recv"),
-        F.col("f.params").alias("params"),
-        F.col("f.returns").alias("returns"),
-        F.array().cast(FIELD_T).alias("fields"),
-        F.array().cast(FIELD_T).alias("methods"),
-        F.lit("").alias("grp"),
-        upper_initial(F.col("f.name")).alias("exported"),
+    lt = lt.withColumn("role", role)
+    # a member may span lines: a parameter list, a nested struct
+    first = (F.col("role") == MEMBER) & (rel == 1) & ~F.col("code").rlike(r"^\s*[)}\]]")
+    lt = lt.withColumn("item", F.last(F.when(first, F.col("line_no")), ignorenulls=True).over(upto))
+    spec_text = F.when(F.col("kw") != "", F.regexp_replace("text", r"^(type|const|var)\s+", "")).otherwise(F.col("text"))
+    line = F.struct(
+        "line_no", "role",
+        F.when(F.col("role").isin(HEADER, GROUP), F.col("block")).otherwise(F.col("spec_line")).alias("unit"),
+        F.when(F.col("role") == MEMBER, F.col("item")).otherwise(F.lit(0)).alias("item"),
+        "block", "block_kw", "grouped",
+        F.when(F.col("role") == HEADER, F.trim("code")).when(F.col("role") == SPEC, squeeze(spec_text))
+        .when(F.col("role") == MEMBER, squeeze(F.col("text"))).otherwise(F.lit("")).alias("c"),
+        F.when(~F.col("is_comment"), F.col("note")).otherwise(F.lit("")).alias("comment"),
+    )
+    # a run of comments is put together once, with the line behind it
+    lt = lt.filter(F.col("is_comment") | F.col("role").isNotNull())
+    island = F.when(F.col("is_comment") | F.col("prev_comment"), F.col("island")).otherwise(F.col("line_no"))
+    met = lt.groupBy("repo", "path", island.alias("_k")).agg(
+        F.max(F.when(F.col("role").isNotNull() & ~F.col("is_comment"), line)).alias("l"),
+        F.array_sort(F.collect_list(F.when(F.col("is_comment"), F.struct("line_no", "note")))).alias("_notes"),
     )
-
-    # --- members of struct / interface specs (one level below the spec)
-    rel = F.col("depth") - F.col("_spec_depth")
-    inside = lt.filter(
-        F.col("in_block") & ~F.col("is_spec") & ~F.col("is_comment") & (F.trim("code") != "") & (F.col("block_kw") == "type")
-        & (rel >= 1) & (rel + _delta(F.col("code")) >= 1)  # not the line that closes the spec
+    text = F.concat(F.array_join(F.transform("_notes", lambda x: x["note"]), "\n"), F.lit("\n"))
+    return met.filter(F.col("l").isNotNull()).select(
+        "repo", "path", "l.*", F.when(F.size("_notes") > 0, text).otherwise(F.lit("")).alias("doc_above")
     )
-    # a member may span lines: a parameter list, a nested struct
-    starts = (rel == 1) & ~F.col("code").rlike(r"^\s*[)}\]]")
-    inside = inside.withColumn("_first", F.last(F.when(starts, F.col("line_no")), ignorenulls=True).over(upto))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", squeeze(F.col("text")).alias("c"), "doc_above", "comment")))
+
+
+def _members(items) -> Column:
+    """``array<struct<m, mdoc>>``: the members among a spec's items, each in
+    one line, and those of a body on the spec's own line (``spec_text``)."""
 
     def joined(acc, x):
         follows = acc.rlike(r"[({\[,;]$") | x["c"].rlike(r"^[)}\]]") | (acc == "")
         return F.concat(acc, F.when(acc == "", "").when(follows, " ").otherwise("; "), x["c"])
 
-    text = F.regexp_replace(F.regexp_replace(F.aggregate("_p", F.lit(""), joined), r"\(\s+", "("), r",?\s*\)", ")")
-    spread = inside.groupBy("repo", "path", F.col("_spec_line").alias("spec_line"), F.col("_first").alias("line_no")).agg(
-        parts.alias("_p")
-    ).select(
-        "repo", "path", "spec_line", "line_no", squeeze(text).alias("m"),
-        _doc(F.col("_p")[0]["doc_above"], F.element_at("_p", -1)["comment"]).alias("mdoc"),
-    )
-    # a body on the spec's own line
+    def member(it):
+        text = F.regexp_replace(F.regexp_replace(F.aggregate(it["parts"], F.lit(""), joined), r"\(\s+", "("), r",?\s*\)", ")")
+        return F.struct(squeeze(text).alias("m"), _doc(it["parts"][0]["doc_above"], F.element_at(it["parts"], -1)["comment"]).alias("mdoc"))
+
     body_re = rf"^{IDENT}(?:{TYPE_PARAMS})?\s*(?:struct|interface)\s*\{{(.*)\}}$"
-    inline = lt.filter(F.col("is_spec") & (F.col("block_kw") == "type") & F.col("spec_text").rlike(body_re)).select(
-        "repo", "path", F.col("line_no").alias("spec_line"),
-        F.posexplode(split_top(F.regexp_extract("spec_text", body_re, 1), ";")).alias("line_no", "m"),
-    ).filter(F.col("m") != "").select("repo", "path", "spec_line", "line_no", squeeze(F.col("m")).alias("m"), F.lit("").alias("mdoc"))
-    members = spread.unionByName(inline)
-    field_re = rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s+([^`]+?)\s*(`.*`)?$"
-    method_re = rf"^{IDENT}\("
-    fields = members.filter(~F.col("m").rlike(method_re)).select(
-        "repo", "path", "spec_line", "line_no", "mdoc", "m",
-        F.when(F.col("m").rlike(field_re), F.split(F.regexp_extract("m", field_re, 1), r"\s*,\s*")).alias("_names"),
-        F.regexp_extract("m", field_re, 2).alias("_type"),
-    ).select(
-        "repo", "path", "spec_line", "line_no", "m",
-        F.when(
-            F.col("_names").isNull(),
-            F.array(F.struct(F.regexp_replace("m", r"\s*`.*`$", "").alias("name"), F.regexp_replace("m", r"\s*`.*`$", "").alias("type"), F.col("mdoc").alias("doc"))),
-        ).otherwise(
-            F.transform(
-                F.filter("_names", lambda nm: upper_initial(nm)),
-                lambda nm: F.struct(nm.alias("name"), F.col("_type").alias("type"), F.col("mdoc").alias("doc")),
-            )
-        ).alias("fs"),
+    inline = F.transform(
+        F.filter(split_top(F.regexp_extract("spec_text", body_re, 1), ";"), lambda m: m != ""),
+        lambda m: F.struct(squeeze(m).alias("m"), F.lit("").alias("mdoc")),
     )
-    methods = members.filter(F.col("m").rlike(method_re)).select(
-        "repo", "path", "spec_line", "line_no", "m",
-        F.array(
-            let(
-                memo_column("method_header", lambda: parse_func_header(F.concat(F.lit("func "), F.col("m")))),
-                lambda f: F.struct(
-                    f["name"].alias("name"),
-                    F.concat(F.lit("func"), F.regexp_replace(F.col("m"), rf"^{IDENT}", "")).alias("type"),
-                    F.col("mdoc").alias("doc"),
-                ),
-            )
-        ).alias("fs"),
-    )
-    per_spec = fields.withColumn("_is_m", F.lit(False)).unionByName(methods.withColumn("_is_m", F.lit(True))).groupBy(
-        "repo", "path", "spec_line"
-    ).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "_is_m", "fs", "m"))).alias("_ms")
-    ).select(
-        "repo", "path", "spec_line",
-        F.flatten(F.transform(F.filter("_ms", lambda x: ~x["_is_m"]), lambda x: x["fs"])).alias("fields"),
-        F.flatten(F.transform(F.filter("_ms", lambda x: x["_is_m"]), lambda x: x["fs"])).alias("methods"),
-        F.array_join(F.transform("_ms", lambda x: x["m"]), "; ").alias("body"),
+    spread = F.transform(F.filter(items, lambda it: it["role"] == MEMBER), member)
+    return F.when(F.col("spec_text").rlike(body_re), F.concat(spread, inline)).otherwise(spread)
+
+
+_METHOD_RE = rf"^({IDENT})\("
+_FIELD_RE = rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s+([^`]+?)\s*(`.*`)?$"
+
+
+def _fields_of(members) -> Column:
+    """Exported fields; an embedded type is a field named by itself."""
+
+    def fields(x):
+        embedded = F.regexp_replace(x["m"], r"\s*`.*`$", "")
+        names = F.split(F.regexp_extract(x["m"], _FIELD_RE, 1), r"\s*,\s*")
+        named = F.transform(
+            F.filter(names, lambda nm: upper_initial(nm)),
+            lambda nm: F.struct(nm.alias("name"), F.regexp_extract(x["m"], _FIELD_RE, 2).alias("type"), x["mdoc"].alias("doc")),
+        )
+        own = F.array(F.struct(embedded.alias("name"), embedded.alias("type"), x["mdoc"].alias("doc")))
+        return F.when(x["m"].rlike(_FIELD_RE), named).otherwise(own)
+
+    return F.flatten(F.transform(F.filter(members, lambda x: ~x["m"].rlike(_METHOD_RE)), fields))
+
+
+def _methods_of(members) -> Column:
+    """An interface's methods with their types."""
+    return F.transform(
+        F.filter(members, lambda x: x["m"].rlike(_METHOD_RE)),
+        lambda x: F.struct(
+            F.regexp_extract(x["m"], _METHOD_RE, 1).alias("name"),
+            F.concat(F.lit("func"), F.regexp_replace(x["m"], rf"^{IDENT}", "")).alias("type"),
+            x["mdoc"].alias("doc"),
+        ),
     )
 
-    # --- type specs (E8) and value specs
-    specs = lt.filter("is_spec").select(
-        "repo", "path", "line_no", "block", "block_kw", "spec_text", "doc_above", "comment", "_block_doc",
-        grouped.alias("_grouped"),
+
+def mine_declarations(files: DataFrame, exported_only: bool = True) -> DataFrame:
+    """``files(repo, path, content)`` -> a declaration table in the
+    ``SYMBOLS`` schema (plus ``exported``). Files that fail E12 give nothing.
+
+    One pass: the files are dealt out once, a line's state comes from windows
+    over its file, and the relevant lines are put together by member and then
+    by what they declare, without another exchange."""
+    # (repo, path) names one file, so dropping the E12 files is a row filter,
+    # not an anti join that would shuffle every file's text
+    lines = _relevant_lines(line_table(files.filter(_syntax_error().isNull())))
+    unit = ["repo", "path", "unit"]
+    items = lines.groupBy(*unit, "item", "role").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "c", "doc_above", "comment"))).alias("parts"),
+        *[F.max(c).alias(c) for c in ("block", "block_kw", "grouped")],
     )
-    t = specs.filter(F.col("block_kw") == "type")
-    tname = F.regexp_extract("spec_text", rf"^({IDENT})", 1)
-    trest = F.trim(F.regexp_replace("spec_text", rf"^{IDENT}(?:{TYPE_PARAMS})?\s*", ""))
-    tkind = (
-        F.when(trest.rlike(r"^struct\b"), "struct")
-        .when(trest.rlike(r"^interface\b"), "interface")
-        .when(trest.startswith("="), "type alias")
-        .otherwise("type")
+    units = items.groupBy(*unit).agg(
+        F.array_sort(F.collect_list(F.struct("item", "role", "parts"))).alias("items"),
+        *[F.max(c).alias(c) for c in ("block", "block_kw", "grouped")],
     )
-    types = t.join(per_spec.withColumnRenamed("spec_line", "line_no"), ["repo", "path", "line_no"], "left").select(
-        "repo", "path", (F.col("line_no").cast("long") * PER_LINE).alias("ordinal"), tname.alias("name"), tkind.alias("kind"),
-        F.when(
-            tkind.isin("struct", "interface"),
-            F.concat(F.lit("type "), tname, F.lit(" "), tkind, F.lit(" {"), F.coalesce("body", F.lit("")), F.lit("}")),
-        ).otherwise(F.concat(F.lit("type "), tname, F.lit(" "), F.regexp_replace(trest, r"\s*\{\s*\}?$", ""))).alias("signature"),
-        F.when(_doc(F.col("doc_above"), F.col("comment")) != "", _doc(F.col("doc_above"), F.col("comment")))
-        .when(F.col("_grouped"), F.coalesce(F.col("_block_doc"), F.lit("")))
-        .otherwise(F.lit("")).alias("doc"),
-        F.lit("").alias("recv"),
-        F.array().cast(PARAM_T).alias("params"),
-        F.array().cast(PARAM_T).alias("returns"),
-        F.when(tkind == "struct", F.coalesce("fields", F.array().cast(FIELD_T))).otherwise(F.array().cast(FIELD_T)).alias("fields"),
-        F.when(tkind == "interface", F.coalesce("methods", F.array().cast(FIELD_T))).otherwise(F.array().cast(FIELD_T)).alias("methods"),
-        F.lit("").alias("grp"),
-        upper_initial(tname).alias("exported"),
+    head = F.filter("items", lambda it: it["role"] != MEMBER)[0]
+    units = units.withColumn("role", head["role"]).withColumn("_p", head["parts"])
+    whole = Window.partitionBy("repo", "path", "block")
+    units = units.select(
+        "repo", "path", F.col("unit").alias("line_no"), "block_kw", "grouped", "role", "items",
+        F.array_join(F.transform("_p", lambda x: x["c"]), " ").alias("_h"),
+        F.col("_p")[0]["c"].alias("spec_text"),
+        F.col("_p")[0]["doc_above"].alias("doc_above"),
+        _doc(F.col("_p")[0]["doc_above"], F.col("_p")[0]["comment"]).alias("own_doc"),
+        F.max(F.when(F.col("role") == GROUP, F.col("_p")[0]["doc_above"])).over(whole).alias("block_doc"),
+        "block",
     )
 
-    v = specs.filter(F.col("block_kw").isin("const", "var"))
+    # --- values
     val_re = rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s*([^=]*?)\s*(=.*)?$"
-    v = v.select(
-        "repo", "path", "line_no", "block", "block_kw", "doc_above", "comment", "_grouped",
-        F.split(F.regexp_extract("spec_text", val_re, 1), r"\s*,\s*").alias("_names"),
-        F.trim(F.regexp_extract("spec_text", val_re, 2)).alias("_vtype"),
-    )
-    wb = Window.partitionBy("repo", "path", "block")
-    grp = F.when(
-        F.col("_grouped") & (F.count(F.lit(1)).over(wb) > 1),
-        F.coalesce(
-            F.min_by(F.try_element_at(F.filter("_names", lambda nm: upper_initial(nm)), F.lit(1)), F.when(
-                F.exists("_names", lambda nm: upper_initial(nm)), F.col("line_no"))).over(wb),
-            F.lit(""),
+    is_value = (F.col("role") == SPEC) & F.col("block_kw").isin("const", "var")
+    units = units.withColumn("_names", F.when(is_value, F.split(F.regexp_extract("spec_text", val_re, 1), r"\s*,\s*")))
+    units = units.withColumn("_shown", F.filter("_names", lambda nm: upper_initial(nm)))
+    label = F.min_by(F.try_element_at("_shown", F.lit(1)), F.when(F.size("_shown") > 0, F.col("line_no"))).over(whole)
+    in_group = F.col("grouped") & (F.sum(is_value.cast("int")).over(whole) > 1)
+    units = units.withColumn("grp", F.when(in_group, F.coalesce(label, F.lit(""))).otherwise(F.lit(""))).filter(F.col("role") != GROUP)
+    no_params, no_fields = F.array().cast(PARAM_T), F.array().cast(FIELD_T)
+
+    def symbol(ordinal, name, kind, signature, doc, exported, **given) -> Column:
+        empty = {"recv": F.lit(""), "params": no_params, "returns": no_params, "fields": no_fields, "methods": no_fields, "grp": F.lit("")}
+        parts = {"ordinal": ordinal, "name": name, "kind": kind, "signature": signature, "doc": doc, **empty, "exported": exported, **given}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    at = F.col("line_no").cast("long") * PER_LINE
+    vtype = F.trim(F.regexp_extract("spec_text", val_re, 2))
+    values = F.transform(
+        "_names",
+        lambda nm, i: symbol(
+            at + i, nm, F.col("block_kw"),
+            F.when(vtype != "", F.concat_ws(" ", F.col("block_kw"), nm, vtype)).otherwise(F.concat_ws(" ", F.col("block_kw"), nm)),
+            F.col("own_doc"), upper_initial(nm), grp=F.col("grp"),
         ),
-    ).otherwise(F.lit(""))
-    v = v.withColumn("grp", grp)
-    values = v.select(
-        "repo", "path", "line_no", "block_kw", "doc_above", "comment", "_vtype", "grp",
-        F.posexplode("_names").alias("_i", "name"),
-    ).select(
-        "repo", "path", (F.col("line_no").cast("long") * PER_LINE + F.col("_i")).alias("ordinal"), "name",
-        F.col("block_kw").alias("kind"),
-        F.when(F.col("_vtype") != "", F.concat_ws(" ", "block_kw", "name", "_vtype")).otherwise(F.concat_ws(" ", "block_kw", "name")).alias("signature"),
-        _doc(F.col("doc_above"), F.col("comment")).alias("doc"),
-        F.lit("").alias("recv"),
-        F.array().cast(PARAM_T).alias("params"),
-        F.array().cast(PARAM_T).alias("returns"),
-        F.array().cast(FIELD_T).alias("fields"),
-        F.array().cast(FIELD_T).alias("methods"),
-        "grp",
-        upper_initial(F.col("name")).alias("exported"),
+    )
+
+    # --- type specs (E8) with their members
+    tname = F.regexp_extract("spec_text", rf"^({IDENT})", 1)
+    trest = F.trim(F.regexp_replace("spec_text", rf"^{IDENT}(?:{TYPE_PARAMS})?\s*", ""))
+    tkind = (
+        F.when(trest.rlike(r"^struct\b"), "struct").when(trest.rlike(r"^interface\b"), "interface")
+        .when(trest.startswith("="), "type alias").otherwise("type")
     )
-    out = fns.unionByName(types).unionByName(values)
+    tdoc = F.when(F.col("own_doc") != "", F.col("own_doc")).when(F.col("grouped"), F.coalesce("block_doc", F.lit(""))).otherwise(F.lit(""))
+
+    def type_symbol(ms):
+        body = F.array_join(F.transform(ms, lambda x: x["m"]), "; ")
+        return symbol(
+            at, tname, tkind,
+            F.when(tkind.isin("struct", "interface"), F.concat(F.lit("type "), tname, F.lit(" "), tkind, F.lit(" {"), body, F.lit("}")))
+            .otherwise(F.concat(F.lit("type "), tname, F.lit(" "), F.regexp_replace(trest, r"\s*\{\s*\}?$", ""))),
+            tdoc, upper_initial(tname),
+            fields=F.when(tkind == "struct", _fields_of(ms)).otherwise(no_fields),
+            methods=F.when(tkind == "interface", _methods_of(ms)).otherwise(no_fields),
+        )
+
+    # --- functions and methods (headers may span lines up to the body's brace)
+    def func_symbol(f):
+        has_recv = f["recv_text"] != ""
+        return symbol(
+            at, F.when(has_recv, F.concat(f["recv"], F.lit("."), f["name"])).otherwise(f["name"]),
+            F.when(has_recv, F.lit("method")).otherwise(F.lit("func")), f["signature"], F.col("doc_above"), upper_initial(f["name"]),
+            recv=F.when(has_recv, f["recv"]).otherwise(F.lit("")), params=f["params"], returns=f["returns"],
+        )
+
+    def found() -> Column:
+        header = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_h"), r"\(\s+", "("), r",?\s*\)", ")"), r"\s+", " ")
+        return (
+            F.when(F.col("block_kw") == "func", F.array(let(parse_func_header(header), func_symbol)))
+            .when(F.col("block_kw") == "type", F.array(let(_members(F.col("items")), type_symbol)))
+            .otherwise(values)
+        )
+
+    out = units.select("repo", "path", F.explode(memo_column("mined_symbols", found)).alias("s")).select("repo", "path", "s.*")
     if exported_only:
         out = out.filter("exported")
     return out.select(*[c for c in SYMBOL_KEYS[:2]], "ordinal", "name", "kind", "signature", "doc", "recv",

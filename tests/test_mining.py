@@ -1,13 +1,19 @@
 """Declaration mining on ordinary source shapes."""
 
+import time
+
 import pytest
 
 from docdrift.operators import diff as D
 from docdrift.operators import mining as MI
 
 
+def _one(spark, text):
+    return spark.createDataFrame([("r", "a.go", text)], "repo string, path string, content string")
+
+
 def mined(spark, source, exported=True):
-    df = spark.createDataFrame([("r", "a.go", "package p\n\n" + source)], "repo string, path string, content string")
+    df = _one(spark, "package p\n\n" + source)
     return {r["name"]: r for r in MI.mine_declarations(df, exported).orderBy("ordinal").collect()}
 
 
@@ -155,3 +161,19 @@ def test_mask_keeps_lines_and_columns(spark):
     got = [r[0] for r in df.select(MI.mask(df["t"])).collect()]
     assert [len(g) for g in got] == [len(text), 18002]
     assert got[0] == 'a "____" \x01   \n    \n     `_\n_` \'__\' i / j'
+
+
+def test_a_long_comment_block_takes_linear_work(spark):
+    n = 100_000
+    text = "package p\n\n" + "".join(f"// note {k}\n" for k in range(n)) + "func F() {}\n\n// G is next.\nfunc G() {}\n"
+    start = time.time()
+    docs = {r.name: r.doc for r in MI.mine_declarations(_one(spark, text)).select("name", "doc").collect()}
+    assert docs["G"] == "G is next.\n"
+    assert docs["F"] == "".join(f"note {k}\n" for k in range(n))
+    assert time.time() - start < 60
+
+
+def test_lines_are_dealt_out_once(spark):
+    mined = MI.mine_declarations(_one(spark, "package p\n\nfunc F() {}\n"))
+    plan = mined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(repo" in plan
