@@ -187,12 +187,21 @@ def symbol_diff(
     new_symbols: DataFrame,
     renames: bool = True,
     ranges: int | None = None,
+    strict_renames: bool = False,
+    failed: DataFrame | None = None,
 ) -> DataFrame:
     """D5 + D8 for declaration tables keyed by ``(repo, path, name)``.
 
     Returns ``repo, path, name, old_name, change, change_ord, kind,
-    signature, old_signature, changes, shape``. ``kind`` / ``signature``
-    describe the symbol as it is now (the old one for removed rows).
+    signature, old_signature, changes, shape, parse_failed``. ``kind`` /
+    ``signature`` describe the symbol as it is now (the old one for removed
+    rows).
+
+    ``failed(repo, path, side)`` names the files whose ``old`` or ``new``
+    version could not be read. What such a side does not hold is unknown rather
+    than absent: rows that are added or removed only because of it have
+    ``parse_failed`` and are not paired as renames. With ``strict_renames``
+    only symbols with a parameter, result, field or receiver are paired.
     """
     o = dedupe_last(_normalise_symbols(old_symbols), SYMBOL_KEYS)
     n = dedupe_last(_normalise_symbols(new_symbols), SYMBOL_KEYS)
@@ -220,8 +229,16 @@ def symbol_diff(
     j = j.select(*SYMBOL_KEYS, "o", "n", F.col("_r.changes").alias("changes"), F.col("_r.change_ord").alias("change_ord"))
     j = j.filter(F.col("change_ord").isNotNull())
     sym = F.when(F.col("change_ord") == 1, F.col("o")).otherwise(F.col("n"))
+    unknown = F.lit(False)
+    if failed is not None:
+        sides = failed.groupBy("repo", "path").agg(*[F.max(F.col("side") == side).alias(f"_{side}_failed") for side in ("old", "new")])
+        j = j.join(sides, ["repo", "path"], "left")
+        unknown = ((F.col("change_ord") == 0) & F.col("_old_failed")) | ((F.col("change_ord") == 1) & F.col("_new_failed"))
+    has_shape = (F.size(sym["params"]) + F.size(sym["returns"]) + F.size(sym["fields"]) > 0) | (sym["recv"] != "")
     diffs = j.select(
         *SYMBOL_KEYS,
+        F.coalesce(unknown, F.lit(False)).alias("parse_failed"),
+        (has_shape if strict_renames else F.lit(True)).alias("_pairs"),
         F.lit("").alias("old_name"),
         F.col("change_ord"),
         sym["kind"].alias("kind"),
@@ -242,11 +259,12 @@ def symbol_diff(
         "old_signature",
         "changes",
         "shape",
+        "parse_failed",
     )
 
 
 _CLASS = ["repo", "path", "shape"]
-_DIFF_COLS = ["repo", "path", "name", "old_name", "change_ord", "kind", "signature", "old_signature", "changes", "shape"]
+_DIFF_COLS = ["repo", "path", "name", "old_name", "change_ord", "kind", "signature", "old_signature", "changes", "shape", "parse_failed"]
 
 
 def _ranked(cand: DataFrame) -> DataFrame:
@@ -270,14 +288,16 @@ def detect_renames(diffs: DataFrame, ranges: int | None = None) -> DataFrame:
     Shape equality is an equivalence relation, so greedy pairing equals rank
     pairing inside each ``(repo, path, shape)`` class: the i-th removed row by
     name pairs with the i-th added row by name, whatever the size of the
-    class and the number of ``ranges`` it is spread over."""
+    class and the number of ``ranges`` it is spread over. Rows with
+    ``parse_failed``, and those whose ``_pairs`` is false, stay as they are."""
     order = [*_CLASS, "change_ord", "name"]
     dealt = diffs.repartitionByRange(ranges, *order) if ranges else diffs.repartitionByRange(*order)
     # read by the unchanged rows, the counts and the pairing: stored once
     diffs = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
-    rest = diffs.filter(F.col("change_ord") >= 2)
+    may_pair = (F.col("change_ord") < 2) & F.col("_pairs") & ~F.col("parse_failed")
+    rest = diffs.filter(~may_pair)
     row = F.struct(*_DIFF_COLS)
-    paired = _ranked(diffs.filter(F.col("change_ord") < 2)).groupBy(*_CLASS, "_rn").agg(
+    paired = _ranked(diffs.filter(may_pair)).groupBy(*_CLASS, "_rn").agg(
         F.first(F.when(F.col("change_ord") == 1, row), ignorenulls=True).alias("rem"),
         F.first(F.when(F.col("change_ord") == 0, row), ignorenulls=True).alias("add"),
     )
@@ -292,6 +312,7 @@ def detect_renames(diffs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.col("rem.old_signature").alias("old_signature"),
         F.col("add.changes").alias("changes"),
         F.col("add.shape").alias("shape"),
+        F.lit(False).alias("parse_failed"),
     )
     both = F.col("rem").isNotNull() & F.col("add").isNotNull()
     out = paired.select(F.when(both, renamed).otherwise(F.coalesce("rem", "add")).alias("r")).select("r.*")

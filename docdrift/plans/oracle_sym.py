@@ -197,8 +197,9 @@ def joined_sql() -> str:
     )"""
 
 
-def diffs_sql(renames: bool = True) -> str:
-    """CTE chain ending in ``d`` with the symbol diff rows (flat text)."""
+def diffs_sql(renames: bool = True, apart: str = "false") -> str:
+    """CTE chain ending in ``d`` with the symbol diff rows (flat text); rows
+    that are ``apart`` are not paired as renames."""
     base = joined_sql() + f""",
     c AS (SELECT *, {compare_all()} AS ch FROM j WHERE has_o AND has_n),
     d0 AS (
@@ -211,8 +212,9 @@ def diffs_sql(renames: bool = True) -> str:
     )"""
     if not renames:
         return base + ", d AS (SELECT * FROM d0)"
-    return base + """,
-    cand AS (SELECT *, row_number() OVER (PARTITION BY repo, path, shape, change_ord ORDER BY name) AS rn FROM d0 WHERE change_ord < 2),
+    return base + f""",
+    cand AS (SELECT *, CASE WHEN NOT ({apart}) THEN row_number() OVER (PARTITION BY repo, path, shape, change_ord, {apart} ORDER BY name) END AS rn
+             FROM d0 WHERE change_ord < 2),
     pairs AS (
       SELECT a.repo, a.path, a.name, r.name AS old_name, 3 AS change_ord, a.kind, a.signature,
              r.old_signature, a.ch, a.shape, r.name AS r_name

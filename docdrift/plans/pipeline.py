@@ -49,7 +49,9 @@ def plan_updates(
     files = cut_lineage(C.changed_files(old_src, new_src))  # read by mining, selection and summary
     old_syms = MI.mine_declarations(files.select("repo", "path", F.col("old_content").alias("content"))).drop("exported")
     new_syms = MI.mine_declarations(files.select("repo", "path", F.col("new_content").alias("content"))).drop("exported")
-    diffs = D.symbol_diff(old_syms, new_syms)  # stored inside, before renames are paired
+    unread = _errors(files, "old").unionByName(_errors(files, "new"))
+    # stored inside, before renames are paired
+    diffs = D.symbol_diff(old_syms, new_syms, failed=unread)
     repos = files.select("repo").distinct()
     summary = A.summary_compact(diffs, repos)
     with_api_change = summary.filter(F.col("summary") != A.NO_CHANGES)
@@ -70,7 +72,7 @@ def plan_updates(
         "selected": selected,
         "budget": budget,
         "requests": RQ.request_json(requests),
-        "extract_errors": _errors(files, "old").unionByName(_errors(files, "new")),
+        "extract_errors": unread,
     }
 
 

@@ -108,6 +108,32 @@ def q_diff_all_files(spark, sf):
     return _flat(_sym_diff(spark, sf, renames=False)).select(*_DIFF_OUT)
 
 
+# Files whose old (new) version counts as unread: those of the brands that end
+# with 3 (4). What they would have held is unknown.
+_UNKNOWN_SQL = "((change_ord = 0 AND ends_with(path, '3.go')) OR (change_ord = 1 AND ends_with(path, '4.go')))"
+
+
+@register(
+    "parse_failed",
+    "WITH " + O.diffs_sql(True, _UNKNOWN_SQL) + " " + O.DIFF_SELECT.replace(" FROM d", f", {_UNKNOWN_SQL} AS parse_failed FROM d"),
+)
+def q_parse_failed(spark, sf):
+    files = B.symbols(spark, sf, "old").unionByName(B.symbols(spark, sf, "new")).select("repo", "path")
+    side = F.when(F.col("path").endswith("3.go"), "old").when(F.col("path").endswith("4.go"), "new")
+    failed = files.select("repo", "path", side.alias("side")).filter(F.col("side").isNotNull())
+    d = D.symbol_diff(B.symbols(spark, sf, "old"), B.symbols(spark, sf, "new"), failed=failed)
+    return _flat(d).select(*_DIFF_OUT, "parse_failed")
+
+
+@register(
+    "strict_renames",
+    "WITH " + O.diffs_sql(True, "kind NOT IN ('func', 'method', 'struct')") + " " + O.DIFF_SELECT,
+)
+def q_strict_renames(spark, sf):
+    d = D.symbol_diff(B.symbols(spark, sf, "old"), B.symbols(spark, sf, "new"), strict_renames=True)
+    return _flat(d).select(*_DIFF_OUT)
+
+
 @register(
     "order_diffs",
     "WITH " + O.diffs_sql(True) + " " + O.DIFF_SELECT + " ORDER BY repo, path, change_ord, name",

@@ -190,3 +190,26 @@ def test_rename_pairs_are_the_same_for_any_ranges(spark):
         got = D.symbol_diff(_sym_rows(spark, old), _sym_rows(spark, new), ranges=ranges).collect()
         assert sorted((r["old_name"], r["name"]) for r in got if r["change"] == "renamed") == sorted(expect), ranges
         assert sum(r["change"] == "removed" for r in got) == 30 and sum(r["change"] == "added" for r in got) == 1
+
+
+def test_what_an_unread_file_would_hold_is_unknown(spark):
+    old = [("a.go", "F", "func"), ("b.go", "G", "func"), ("b.go", "Kept", "func"), ("c.go", "H", "func")]
+    new = [("b.go", "G2", "func"), ("b.go", "Kept", "func"), ("c.go", "H2", "func"), ("d.go", "N", "func")]
+    frames = [spark.createDataFrame([("r", *s, 1) for s in side], "repo string, path string, name string, kind string, ordinal int") for side in (old, new)]
+    sides = [("r", "a.go", "new"), ("r", "b.go", "new"), ("r", "d.go", "old"), ("r", "d.go", "old"), ("x", "c.go", "new")]
+    failed = spark.createDataFrame(sides, "repo string, path string, side string")
+    got = {(r.path, r.name): (r.change, r.parse_failed) for r in D.symbol_diff(*frames, failed=failed).collect()}
+    assert got == {
+        ("a.go", "F"): ("removed", True), ("b.go", "G"): ("removed", True), ("b.go", "G2"): ("added", False),
+        ("c.go", "H2"): ("renamed", False), ("d.go", "N"): ("added", True),
+    }
+
+
+def test_strict_renames_need_a_shape(spark):
+    schema = "repo string, path string, name string, kind string, ordinal int, params array<struct<name:string,type:string>>"
+    old = spark.createDataFrame([("r", "a.go", "A", "const", 1, []), ("r", "a.go", "F", "func", 2, [("x", "int")])], schema)
+    new = spark.createDataFrame([("r", "a.go", "B", "const", 1, []), ("r", "a.go", "G", "func", 2, [("y", "int")])], schema)
+    loose = {(r.name, r.change) for r in D.symbol_diff(old, new).collect()}
+    strict = {(r.name, r.change) for r in D.symbol_diff(old, new, strict_renames=True).collect()}
+    assert loose == {("B", "renamed"), ("G", "renamed")}
+    assert strict == {("A", "removed"), ("B", "added"), ("G", "renamed")}
