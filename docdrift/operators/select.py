@@ -11,9 +11,11 @@ the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import totals_before
+
 # Bytes per token of the size estimate, and the default token
 # limit of one run.
 BYTES_PER_TOKEN = 4
@@ -63,14 +65,17 @@ def select_docs(docs: DataFrame, mapped: DataFrame) -> DataFrame:
     return docs.join(chosen, ["repo", "path"], "left_semi")
 
 
+def _size(docs: DataFrame) -> Column:
+    return F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length("content")
+
+
 def token_estimate(docs: DataFrame) -> DataFrame:
     """A4: ``repo, n_docs, total_bytes, est_tokens`` - UTF-8 bytes summed,
     integer-divided by four after the sum. ``docs`` carries ``content`` or
     its byte count ``n_bytes``."""
-    size = F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length("content")
     return (
         docs.groupBy("repo")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("total_bytes"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(_size(docs)).alias("total_bytes"))
         .withColumn("est_tokens", F.floor(F.col("total_bytes") / BYTES_PER_TOKEN).cast("bigint"))
     )
 
@@ -85,3 +90,15 @@ def docs_within_budget(docs: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS) ->
     """Documents of the repositories that pass ``budget_gate``."""
     ok = budget_gate(token_estimate(docs), max_tokens).filter("within_budget").select("repo")
     return docs.join(ok, "repo", "left_semi")
+
+
+def budget_cut(docs: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS, ranges: int | None = None) -> DataFrame:
+    """A5 with an ordered cut: ``repo, path, n_bytes, bytes_before, fits``. A
+    document fits while the estimate of its repository's documents up to it, in
+    path order, is not above the limit; so what fits is a beginning of the
+    repository, and ``fits`` on its last document is the all-or-nothing flag of
+    ``budget_gate``. Only keys and sizes move."""
+    sized = docs.select("repo", "path", F.coalesce(_size(docs), F.lit(0)).cast("long").alias("n_bytes"))
+    placed = totals_before(sized, ["repo"], ["path"], "n_bytes", "bytes_before", ranges)
+    upto = F.floor((F.col("bytes_before") + F.col("n_bytes")) / BYTES_PER_TOKEN)
+    return placed.select("repo", "path", "n_bytes", "bytes_before", (upto <= max_tokens).alias("fits"))

@@ -2,22 +2,27 @@
 
 The summary of a repository is kept as chunk rows, one per ``(repo, section,
 path)`` or ``(repo, path)``, each no longer than a file's changes; in the order
-of their keys they are the text. ``summary_verbose`` and ``summary_compact``
-put a repository's chunks together where one text is asked for (a request);
-that text is one row, so it is for repositories whose summary fits one.
+of their keys they are the text. ``text_parts`` gives that text in parts of a
+bounded size with their byte offsets, whatever the size of a repository.
+``summary_verbose`` and ``summary_compact`` put a repository's chunks together
+where one text is asked for (a request); that text is one row, so it is for
+repositories whose summary fits one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
+from .ordered import totals_before
 
 # The text used when a repository has no changes, and the
 # section headings of the verbose summary in section order.
 NO_CHANGES = "No changes to exported symbols"
 SECTIONS = ["## Added", "## Removed", "## Modified", "## Renamed"]
+#: Bytes of a part of a text.
+PART_BYTES = 1 << 20
 
 
 def _ordered_join(items: Column, sep: str) -> Column:
@@ -119,6 +124,42 @@ def summary_compact(diffs: DataFrame, repos: DataFrame | None = None) -> DataFra
     return _fill_empty(per_repo, repos)
 
 
+def text_parts(chunks: DataFrame, order: list[str], part_bytes: int = PART_BYTES, ranges: int | None = None) -> DataFrame:
+    """A2/A3: ``repo, part, offset, text``: the ``chunks(repo, *order, chunk)``
+    of a repository in their order, one line feed after each but the last, in
+    parts. A part holds the chunks that start inside its ``part_bytes`` bytes
+    of the text (numbers of parts without a chunk are left out); ``offset`` is
+    where it starts. The parts in their order are the text."""
+    sized = chunks.withColumn("_n", (F.octet_length("chunk") + 1).cast("long"))
+    placed = totals_before(sized, ["repo"], order, "_n", "_at", ranges)
+    placed = placed.withColumn("part", F.floor(F.col("_at") / part_bytes).cast("long"))
+    parts = placed.groupBy("repo", "part").agg(
+        F.min("_at").alias("offset"),
+        _ordered_join(F.collect_list(F.struct("_at", F.concat(F.col("chunk"), F.lit("\n")).alias("line"))), "").alias("text"),
+    )
+    ends = placed.groupBy("repo").agg(F.max("part").alias("_last"))
+    last = F.col("part") == F.col("_last")
+    text = F.when(last, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    return parts.join(ends, "repo").select("repo", "part", "offset", text.alias("text"))
+
+
+def compact_parts(diffs: DataFrame, repos: DataFrame | None = None, part_bytes: int = PART_BYTES, ranges: int | None = None) -> DataFrame:
+    """A3 in parts: ``repo, part, offset, text``."""
+    return text_parts(compact_chunks(diffs, repos), ["path"], part_bytes, ranges)
+
+
+def verbose_parts(diffs: DataFrame, repos: DataFrame | None = None, part_bytes: int = PART_BYTES, ranges: int | None = None) -> DataFrame:
+    """A2 in parts: a section's heading is a chunk of its own in front of the
+    section's files, with an empty line before all but the first section."""
+    chunks = verbose_chunks(diffs)
+    heads = chunks.groupBy("repo", "section").agg(F.lit("").alias("path"))
+    first = F.col("section") == F.min("section").over(Window.partitionBy("repo"))
+    title = F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section") + 1)
+    heads = heads.select("repo", "section", "path", F.lit(0).alias("k"), F.when(first, title).otherwise(F.concat(F.lit("\n"), title)).alias("chunk"))
+    rows = chunks.withColumn("k", F.lit(1)).unionByName(heads)
+    return text_parts(_say_empty(rows, repos), ["section", "k", "path"], part_bytes, ranges)
+
+
 def _say_empty(chunks: DataFrame, repos: DataFrame | None) -> DataFrame:
     if repos is None:
         return chunks

@@ -42,8 +42,8 @@ def plan_updates(
     suffix: str = ".go",
 ) -> dict[str, DataFrame]:
     """Snapshots, documents and configuration -> diffs, summaries, selected
-    documents, budget and requests (one per document of a repository with
-    an API change and within budget)."""
+    documents (keys and sizes), budget and requests (one per document of a
+    repository with an API change and within budget)."""
     old_src = SS.filter_source_files(old_snapshot, suffix)
     new_src = SS.filter_source_files(new_snapshot, suffix)
     files = cut_lineage(C.changed_files(old_src, new_src))  # read by mining, selection and summary
@@ -56,14 +56,18 @@ def plan_updates(
     summary = A.summary_compact(diffs, repos)
     with_api_change = summary.filter(F.col("summary") != A.NO_CHANGES)
 
-    scanned = SD.scan_docs(docs, roots, excludes)
+    # decided on keys and byte counts; the texts are fetched once, for the requests
+    sizes = cut_lineage(docs.select("repo", "path", F.octet_length("content").alias("n_bytes")))
+    scanned = cut_lineage(SD.scan_docs(sizes, roots, excludes))
     if mappings is not None:
         mapped = M.mapped_docs(files.select("repo", "path"), SD.mapping_pairs(mappings))
     else:
         mapped = files.sparkSession.createDataFrame([], "repo string, doc_path string")
-    selected = M.select_docs(scanned, mapped)
+    selected = cut_lineage(M.select_docs(scanned, mapped))
     budget = M.budget_gate(M.token_estimate(selected), max_tokens)
-    ok = selected.join(budget.filter("within_budget").select("repo"), "repo", "left_semi")
+    passed = budget.filter("within_budget").select("repo").join(with_api_change.select("repo"), "repo", "left_semi")
+    chosen = selected.join(passed, "repo", "left_semi").select("repo", "path")
+    ok = docs.select("repo", "path", "content").join(chosen, ["repo", "path"], "left_semi")
     requests = RQ.build_requests(ok, with_api_change, model=model, parts=parts)
     return {
         "changed_files": files,

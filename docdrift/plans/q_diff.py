@@ -297,3 +297,49 @@ def q_summary_verbose(spark, sf):
 @register("summary_compact", _compact_sql())
 def q_summary_compact(spark, sf):
     return A.compact_chunks(_sym_diff(spark, sf), _repos(spark, sf))
+
+
+_PARTS_SQL = """, sized AS (
+      SELECT *, coalesce(sum(octet_length(encode(chunk)) + 1) OVER (
+        PARTITION BY repo ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM all_chunks),
+    parts AS (SELECT repo, CAST(at_ // {size} AS BIGINT) AS part, CAST(min(at_) AS BIGINT) AS offset_, string_agg(chunk, chr(10) ORDER BY at_) AS text
+              FROM sized GROUP BY ALL),
+    ended AS (SELECT *, CASE WHEN part = max(part) OVER (PARTITION BY repo) THEN text ELSE text || chr(10) END AS full_text FROM parts)
+    SELECT repo, part, offset_ AS "offset", octet_length(encode(full_text)) AS n_bytes, md5(full_text) AS md5 FROM ended"""
+#: Small parts, so that every repository has several.
+_PART = 512
+
+
+def _all_chunks_sql(sql: str) -> str:
+    """The chunk query as one more CTE."""
+    head, select = sql.rsplit("\n    SELECT r.repo", 1)
+    return f"{head}, plain_chunks AS (SELECT r.repo{select})"
+
+
+def _parts(df):
+    return df.select("repo", "part", "offset", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5"))
+
+
+@register(
+    "compact_parts",
+    _all_chunks_sql(_compact_sql()) + ", all_chunks AS (SELECT * FROM plain_chunks)" + _PARTS_SQL.format(order="path", size=_PART),
+)
+def q_compact_parts(spark, sf):
+    return _parts(A.compact_parts(_sym_diff(spark, sf), _repos(spark, sf), _PART))
+
+
+_TITLES = "['" + "', '".join(A.SECTIONS) + "']"
+
+
+@register(
+    "verbose_parts",
+    _all_chunks_sql(_verbose_sql())
+    + f""", all_chunks AS (
+      SELECT repo, section, 1 AS k, path, chunk FROM plain_chunks
+      UNION ALL
+      SELECT repo, section, 0, '', CASE WHEN section = min(section) OVER (PARTITION BY repo) THEN '' ELSE chr(10) END || {_TITLES}[section + 1]
+      FROM (SELECT DISTINCT repo, section FROM plain_chunks WHERE section IS NOT NULL))"""
+    + _PARTS_SQL.format(order="section, k, path", size=_PART),
+)
+def q_verbose_parts(spark, sf):
+    return _parts(A.verbose_parts(_sym_diff(spark, sf), _repos(spark, sf), _PART))

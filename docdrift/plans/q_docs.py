@@ -57,10 +57,8 @@ SELECTED = f"""{SCANNED}, {CHANGED}, {MATCHED},
   flagged AS (SELECT s.*, EXISTS (SELECT 1 FROM mapped m WHERE m.repo = s.repo AND m.doc_path = s.path) AS hit FROM scanned s),
   selected AS (SELECT f.repo, f.path, f.content FROM flagged f
                WHERE f.hit OR NOT (SELECT bool_or(g.hit) FROM flagged g WHERE g.repo = f.repo))"""
-ALL_ROOTS = "SELECT DISTINCT lang AS repo, 'docs' AS root FROM documents"
-ESTIMATE = f"""{SELECTED.replace(ROOTS, ALL_ROOTS)},
-  est AS (SELECT repo, count(*) AS n_docs, sum(octet_length(encode(content))) AS total_bytes,
-                 sum(octet_length(encode(content))) // 4 AS est_tokens FROM selected GROUP BY repo)"""
+ESTIMATE = f"""docs AS ({DOCS}), sized AS (SELECT repo, path, octet_length(encode(content)) AS n_bytes FROM docs),
+  est AS (SELECT repo, count(*) AS n_docs, sum(n_bytes) AS total_bytes, sum(n_bytes) // 4 AS est_tokens FROM sized GROUP BY repo)"""
 
 
 # --- Spark side -----------------------------------------------------------------
@@ -83,12 +81,17 @@ def _go_changed(spark, sf):
     return SS.filter_source_files(_changed(spark, sf)).select("repo", "path")
 
 
-def _selected_sizes(spark, sf, roots=B.DOC_ROOTS):
+def _sizes(spark, sf):
+    """Keys and byte counts of all documents, taken at the scan."""
+    return B.docs_table(spark, sf, spread=False).select("repo", "path", F.octet_length("content").alias("n_bytes"))
+
+
+def _selected_sizes(spark, sf):
     # the size keys need each selected document's byte count only: take it at
     # the scan so no text travels at all; what selection reads several times
     # (documents' keys and sizes, mapping pairs, changed paths) is stored once
-    d = cut_lineage(B.docs_table(spark, sf, spread=False).select("repo", "path", F.octet_length("content").alias("n_bytes")))
-    scanned = cut_lineage(SD.scan_docs(d, B.doc_roots(spark, sf, roots), B.doc_excludes(spark, sf)))
+    d = cut_lineage(_sizes(spark, sf))
+    scanned = cut_lineage(SD.scan_docs(d, B.doc_roots(spark, sf), B.doc_excludes(spark, sf)))
     mapped = M.mapped_docs(cut_lineage(_go_changed(spark, sf)), cut_lineage(_pairs(spark, sf)))
     return M.select_docs(scanned, mapped)
 
@@ -192,7 +195,7 @@ def q_select_docs(spark, sf):
 
 @register("token_estimate", f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens FROM est")
 def q_token_estimate(spark, sf):
-    return M.token_estimate(_selected_sizes(spark, sf, B.ALL_ROOTS))
+    return M.token_estimate(_sizes(spark, sf))
 
 
 @register(
@@ -200,4 +203,23 @@ def q_token_estimate(spark, sf):
     f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens, est_tokens <= 50000 AS within_budget FROM est",
 )
 def q_budget_gate(spark, sf):
-    return M.budget_gate(M.token_estimate(_selected_sizes(spark, sf, B.ALL_ROOTS)))
+    return M.budget_gate(M.token_estimate(_sizes(spark, sf)))
+
+
+@register(
+    "docs_within_budget",
+    f"""WITH {ESTIMATE} SELECT s.repo, path, n_bytes FROM sized s JOIN est e ON s.repo = e.repo WHERE est_tokens <= 150000""",
+)
+def q_docs_within_budget(spark, sf):
+    return M.docs_within_budget(_sizes(spark, sf), 150_000)
+
+
+@register(
+    "budget_cut",
+    f"""WITH {ESTIMATE}, placed AS (
+      SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY repo ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before
+      FROM sized)
+    SELECT repo, path, n_bytes, CAST(bytes_before AS BIGINT) AS bytes_before, (bytes_before + n_bytes) // 4 <= 50000 AS fits FROM placed""",
+)
+def q_budget_cut(spark, sf):
+    return M.budget_cut(_sizes(spark, sf))

@@ -235,7 +235,7 @@ def failing_completer(request: str) -> str:
 
 @register(
     "call_outcomes",
-    f"""WITH {SUMMARIES}, numbered AS (SELECT *, CAST(regexp_extract(path, '/([0-9]+)\.', 1) AS INTEGER) AS n FROM reqs),
+    f"""WITH {SUMMARIES}, numbered AS (SELECT *, CAST(regexp_extract(path, '/([0-9]+)\\.', 1) AS INTEGER) AS n FROM reqs),
     shares AS (SELECT count(*) AS ended, count(*) FILTER (WHERE n % 8 = 1) AS failed FROM numbered WHERE n % 4 < 2)
     SELECT repo, path, CASE WHEN n % 4 >= 2 AND ended >= 20 AND failed >= 0.1 * ended THEN 'not_asked'
              WHEN n % 8 = 1 THEN 'ConnectionError: no route for ' || n ELSE 'ok' END AS outcome,

@@ -45,6 +45,11 @@ def test_plan_and_finish(spark):
     # r2 has no API change, so it gets no requests; r1 gets one per document
     assert sorted(r["path"] for r in reqs) == ["docs/a.md", "docs/b.md"]
 
+    # no text of a document is read or dealt out before the requests are built
+    for name in ("selected", "budget"):
+        assert "content" not in plan[name]._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["path"], r["n_bytes"]) for r in plan["selected"].collect()) == [("docs/a.md", 18), ("docs/b.md", 11), ("docs/c.md", 14)]
+
     store = tempfile.mkdtemp(prefix="docdrift-replies-", dir="/tmp") + "/replies"
     replies = P.complete(plan["requests"], plan["summary"], completer, store)
     assert replies.count() == 2
@@ -62,3 +67,13 @@ def test_plan_and_finish(spark):
     assert ready == {"docs/a.md": ("written", "Call New() first.\n")}
     skipped = {(r["path"], r["error"]) for r in done["skipped"].collect()}
     assert skipped == {("docs/b.md", "not_found")}
+
+    # the result goes into the document store, where the other documents stay
+    from docdrift.sources import doc_store as DS
+
+    path = tempfile.mkdtemp(prefix="docdrift-store-", dir="/tmp") + "/docs"
+    DS.create_docs(docs, path)
+    assert P.apply_updates(done["ready"], path, "run-1") == P.apply_updates(done["ready"], path, "run-1") == 1
+    assert {r["path"]: r["content"] for r in DS.read_docs(spark, path).collect()} == {
+        "docs/a.md": "Call New() first.\n", "docs/b.md": "Unrelated.\n", "docs/c.md": "Same() works.\n",
+    }
