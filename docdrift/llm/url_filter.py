@@ -87,26 +87,30 @@ def _counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
-def _strength(children: DataFrame, parent: str, limits: tuple[float, float]) -> float:
-    """Moment estimate of the pages that a parent's rate counts for: from the
-    excess of the children's squared deviations over binomial variance, among
-    parents with several labelled children and both outcomes."""
-    labelled = children.where("n > 0")
-    parents = labelled.groupBy(parent).agg(
-        F.sum("n").alias("pn"), F.sum("k").alias("pk"), F.count(F.lit(1)).alias("children")
-    ).where("children > 1 AND pk > 0 AND pk < pn")
-    m = F.col("pk") / F.col("pn")
+def _strength(rows: DataFrame, limits: tuple[float, float]) -> float:
+    """Moment estimate of the pages that a parent's rate counts for, from
+    labelled children ``rows(n, k, m)`` with their parent's rate: the excess of
+    their squared deviations over binomial variance."""
+    m = F.col("m")
     chance = m * (1 - m)
     excess = (F.col("k") - F.col("n") * m) ** 2 - F.col("n") * chance
-    sums = labelled.join(parents, parent).agg(
-        F.sum(excess).alias("excess"), F.sum(F.col("n") * (F.col("n") - 1) * chance).alias("scale")
-    ).first()
+    sums = rows.agg(F.sum(excess).alias("excess"), F.sum(F.col("n") * (F.col("n") - 1) * chance).alias("scale")).first()
     if not sums["scale"] or sums["excess"] <= 0:
         return limits[1]
     share = sums["excess"] / sums["scale"]  # correlation of two pages of one child
     return min(limits[1], max(limits[0], 1 / share - 1))
 
 
+def _with_parents(children: DataFrame, parent: str) -> DataFrame:
+    """Labelled children with the rate ``m`` of their parent, of parents with
+    several of them and both outcomes."""
+    labelled = children.where("n > 0")
+    parents = labelled.groupBy(parent).agg(
+        F.sum("n").alias("pn"), F.sum("k").alias("pk"), F.count(F.lit(1)).alias("children")
+    ).where("children > 1 AND pk > 0 AND pk < pn")
+    return labelled.join(parents.select(parent, (F.col("pk") / F.col("pn")).alias("m")), parent)
+
+
 def host_reputation(
     outcomes: DataFrame, tolerated: float = TOLERATED, deviations: float = DEVIATIONS, limits: tuple[float, float] = STRENGTH
 ) -> DataFrame:
@@ -121,12 +125,12 @@ def host_reputation(
     hosts = cut_lineage(by_host.withColumn("domain", domain).withColumn("suffix", suffix))
     domains = _counts(hosts, "domain", "suffix")
     suffixes = _counts(domains, "suffix")
-    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    strengths = [
-        _strength(hosts, "domain", limits),
-        _strength(domains, "suffix", limits),
-        _strength(suffixes.withColumn("all", F.lit(0)), "all", limits),
-    ]
+    total = suffixes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.count_if(F.col("n") > 0).alias("labelled")
+    ).first()
+    top = suffixes.where("n > 0").withColumn("m", F.lit(total["k"] / total["n"] if total["n"] else 0.0))
+    strengths = [_strength(_with_parents(hosts, "domain"), limits), _strength(_with_parents(domains, "suffix"), limits)]
+    strengths.append(_strength(top, limits) if total["labelled"] > 1 else limits[1])
 
     above = F.col("above")  # rate and weight (in pages) of the level above
 
