@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.paths import stays_inside_root
 from ..operators import changes as C
 from ..operators import select as M
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import docs as SD
 from ..sources import snapshots as SS
+from ..sources import text_store as TS
 from . import bindings as B
 from .registry import register
 
@@ -223,3 +226,35 @@ def q_docs_within_budget(spark, sf):
 )
 def q_budget_cut(spark, sf):
     return M.budget_cut(_sizes(spark, sf))
+
+
+def _stored_versions(spark, sf):
+    """Both versions of the files in a new store, the later one written twice
+    (as after a failure)."""
+    store = f"{checkpoint_dir(spark)}/docdrift-texts-{uuid.uuid4().hex}"
+    for ref, side in (("base", "old"), ("head", "new"), ("head", "new")):
+        TS.put_version(B.code_snapshot(spark, sf, side, spread=False), store, ref)
+    return store
+
+
+@register(
+    "stored_changes",
+    f"""WITH {CHANGED} SELECT repo, path, md5(coalesce(regexp_replace(oc, '\\n+$', ''), '')) AS old_md5,
+        md5(coalesce(nc, '')) AS new_md5 FROM changed""",
+)
+def q_stored_changes(spark, sf):
+    changes = TS.stored_changes(spark, _stored_versions(spark, sf), "base", "head")
+    return changes.select("repo", "path", F.md5("old_content").alias("old_md5"), F.md5("new_content").alias("new_md5"))
+
+
+@register(
+    "stored_texts",
+    f"""WITH so AS ({SNAP_OLD}), sn AS ({SNAP_NEW}), t AS (
+      SELECT DISTINCT 'base' AS brought, content FROM so
+      UNION ALL SELECT DISTINCT 'head', content FROM sn WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.content = sn.content))
+    SELECT brought, count(*) AS n_texts, sum(octet_length(encode(content))) AS n_bytes FROM t GROUP BY brought""",
+)
+def q_stored_texts(spark, sf):
+    """What each version added to the store: texts that no version had."""
+    texts = spark.read.schema(TS.TEXTS).parquet(f"{_stored_versions(spark, sf)}/texts")
+    return texts.groupBy("brought").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.octet_length("content")).alias("n_bytes"))
