@@ -166,6 +166,11 @@ def all_known(spark: SparkSession) -> DataFrame:
     return known_licenses(spark, LICENSES | MORE_LICENSES).unionByName(rows)
 
 
+def all_notices() -> dict[str, tuple[str, ...]]:
+    """The notices of this package with their wordings."""
+    return {i: (*([NOTICES[i]] if i in NOTICES else []), *MORE_NOTICES.get(i, ())) for i in dict.fromkeys([*NOTICES, *MORE_NOTICES])}
+
+
 def license_scan(
     df: DataFrame,
     known: DataFrame | None = None,
@@ -189,7 +194,7 @@ def license_scan(
     own_table = known is None
     known = F.broadcast(all_known(df.sparkSession)) if known is None else known
     if notices is None:
-        notices = {i: (t, *MORE_NOTICES.get(i, ())) for i, t in NOTICES.items()} | {i: t for i, t in MORE_NOTICES.items() if i not in NOTICES}
+        notices = all_notices()
     rows = df.select(F.col(id_col).alias("doc_id"), canonical_lines(text_or_empty(text_col)).alias("lines"))
     wordings = {i: [_one_line(t) for t in ([w] if isinstance(w, str) else w)] for i, w in notices.items()}
     lines = F.transform(F.split("lines", "\n"), lambda x: F.trim(x))
@@ -234,9 +239,19 @@ def _sql_digest(lines: str) -> str:
     return f"sha256(trim(regexp_replace({lines}, '[ ' || chr(10) || ']+', ' ', 'g'), ' '))"
 
 
+def _sql_notice(wordings: tuple[str, ...]) -> str:
+    lines = ", ".join(f"trim(replace({_sql_canonical(_sql_text(t))}, chr(10), ''), ' ')" for t in wordings)
+    return f"list_has_any(own, [{lines}])"
+
+
+#: From the query's own tables. The lookup without a text's head (titles and
+#: names before it) is left out: its pattern has no form in this SQL.
 OP9_SQL = f"""
-WITH known(license_id, text) AS (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in sorted(LICENSES.items()))}),
-k AS (SELECT license_id, {_sql_digest(_sql_canonical("text"))} AS digest FROM known),
+WITH known(license_id, text) AS (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in sorted((LICENSES | MORE_LICENSES).items()))}),
+k AS (
+  SELECT license_id, {_sql_digest(_sql_canonical("text"))} AS digest FROM known
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(d)})" for d, i in sorted(DIGESTS.items()))}) AS v(license_id, digest)
+),
 d AS (SELECT doc_id, {_sql_canonical("coalesce(text, '')")} AS lines FROM documents),
 own AS (
   SELECT doc_id, {_sql_digest("lines")} AS digest,
@@ -244,6 +259,6 @@ own AS (
   FROM d
 )
 SELECT doc_id, own.digest, license_id,
-       concat_ws(',', {", ".join(f"CASE WHEN list_contains(own, trim(replace({_sql_canonical(_sql_text(t))}, chr(10), ''), ' ')) THEN {_sql_text(i)} END" for i, t in NOTICES.items())}) AS notices
+       concat_ws(',', {", ".join(f"CASE WHEN {_sql_notice(w)} THEN {_sql_text(i)} END" for i, w in all_notices().items())}) AS notices
 FROM own LEFT JOIN k USING (digest)
 """

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 
 from docdrift.llm import license_scan as S
@@ -83,3 +84,15 @@ def test_long_licences(llm):
         pytest.skip("no licence texts on this machine")
     got = S.license_scan(llm.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {r.doc_id: r.license_id for r in got} == {i: i for i, _ in rows}
+
+
+def test_sql_knows_what_the_query_knows(llm, tmp_path):
+    texts = [*(S.LICENSES | S.MORE_LICENSES).values(), *(t.upper() for t in S.LICENSES.values())]
+    planted = [f"some words\n  {w}  \nmore words" for wordings in S.all_notices().values() for w in wordings]
+    rows = list(enumerate([*texts, *planted, "", None, "no licence at all"]))
+    llm.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = sorted(con.sql(S.OP9_SQL).fetchall())
+    assert sorted(map(tuple, S.op9_license_scan(llm, str(tmp_path)).collect())) == expected
+    assert {r[2] for r in expected} >= set(S.LICENSES | S.MORE_LICENSES) and all(r[3] for r in expected if len(texts) <= r[0] < len(rows) - 3)
