@@ -9,10 +9,11 @@ text does not.
 Differencing alone cannot tell apart what markup states: a template may word
 its menu anew on every page, and copies of an article share all of its lines.
 So elements that HTML names as something else (``nav``, ``footer``, forms,
-adverts, comments and so on) are left out beforehand, and blocks of an
-``article`` or ``main`` element are kept: a page that has such blocks keeps only
-these, all of them, and is not aligned, so there markup rules give the text and
-the partner has no effect.
+adverts, comments and so on) are left out beforehand. Blocks of an ``article``,
+or of a ``main`` without one, are kept. All other blocks of the page (of its
+``main`` if it has one) are candidates: those that the alignment finds on the
+partner too are deleted, unless the partner is a near copy of the page, whose
+shared lines say nothing about the site's template.
 
 Pages are dealt out by ranges of (host, path), split by rows and not by hosts,
 so a host with a third of all pages is spread over many tasks. A task reads its
@@ -36,9 +37,15 @@ from pyspark.sql import functions as F
 from .bpe import by_bytes
 from .tables import table
 
-#: Sampled keys for each range; a bounded sample that balances the ranges and
-#: has no effect on the result.
-SAMPLED = 64
+#: Bytes of html that a range should hold, the most ranges there are (beyond it
+#: ranges grow, and are sorted on disk) and the sampled keys that balance them.
+#: None has an effect on the result.
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 16_384
+SAMPLED = 16
+
+#: Two pages whose shared lines hold this share of both are near copies.
+NEAR_COPY = 0.9
 
 # Elements and words that never belong to the main text (fixed values).
 LEFT_OUT = frozenset(
@@ -60,110 +67,168 @@ WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header banner topbar".split())
 MODIFIERS = frozenset("has with no is without".split())
-
-_TAG = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
+# Words that say where or in what form something stands, not what it is.
+LAYOUT = frozenset(
+    "left right top bottom upper lower primary secondary main site page global mobile desktop box bar wrap wrapper container "
+    "inner outer list item items section block area region widget panel row col column link links button buttons icon icons "
+    "form text title post posts articles stories header banner topbar".split()
 )
+REPLIES = frozenset("comment comments disqus respond".split())
+CONTENT = frozenset("content main article page site body".split())
+WRAPPERS = frozenset("wrap wrapper container layout grid row".split())
+
+_OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# The rest of a tag up to its ``>``; a quote opens a value behind ``=`` only.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is not main text; ``inside`` an article or main."""
+def _left_out(name: str, attributes: str, inside: bool) -> int:
+    """How firmly an element is not main text: 0 is not said, 1 an ``article``
+    or ``main`` in it is text for all that, 2 only a ``main``, 3 nothing.
+    ``inside`` an article or main a name counts only with all of its words."""
     if name in LEFT_OUT or (name == "header" and not inside):
-        return True
+        return 1 if name in ("nav", "form", "header", "footer", "menu") else 3
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return 0
     found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
+        return 3
     if found.get("role", "").lower() in ROLES:
-        return True
-    for names in (found.get("class", ""), found.get("id", "")):
-        for one in names.split():
-            words = _TOKEN.findall(_CAMEL.sub("-", one).lower())
-            if words and words[0] not in MODIFIERS:
-                if not WORDS.isdisjoint(words) or (not inside and not HEADER_WORDS.isdisjoint(words)):
-                    return True
-    return False
+        return 2
+    firmness = 0
+    for one in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = _TOKEN.findall(_CAMEL.sub("-", one).lower())
+        if not words or words[0] in MODIFIERS or (words[0] in CONTENT and words[-1] in WRAPPERS):
+            continue
+        telling = WORDS.intersection(words) or (not inside and HEADER_WORDS.intersection(words))
+        if not telling:
+            continue
+        whole = all(w in WORDS or w in LAYOUT or w.isdigit() for w in words)
+        if whole:
+            firmness = max(firmness, 3 if telling & REPLIES else 2)
+        elif not inside:
+            firmness = max(firmness, 3 if telling & REPLIES else 1)
+    return firmness
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, "/" or "", name, attributes)`` of each tag, with comments
+    and declarations as tags without a name, contents of scripts and the like
+    inside the opening tag. Where the quotes of a tag do not close before the
+    page's end, it and the tags behind it end at the next ``>``, so no part of
+    a page is read again and again."""
+    at, size, quotes = 0, len(page), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = _COMMENT_END.search(page, start + 4)
+            at = end.end() if end else size
+            yield start, at, "", "", ""
+            continue
+        opening = _OPENING.match(page, start)
+        if not opening and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        close = page.find(">", start)
+        if close < 0:
+            return
+        if not opening:
+            at = close + 1
+            yield start, at, "", "", ""
+            continue
+        rest = _REST.match(page, opening.end()) if quotes else None
+        quotes = rest is not None
+        at = rest.end() if rest else close + 1
+        name, attributes = opening[2].lower(), page[opening.end() : at - 1]
+        if not opening[1] and name in RAW_TEXT and not attributes.endswith("/"):
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else size
+        yield start, at, opening[1], name, attributes
 
 
 def blocks(page: str) -> list[tuple[bool, str]]:
-    """``(marked, text)`` of each block that may be main text, in page order;
-    marked ones stand in an ``article`` or ``main`` element. If there is an
-    article, blocks outside of it are left out, and likewise for main."""
-    out: list[tuple[int, str]] = []  # 0 unmarked, 1 main, 2 article
-    open_names: list[str] = []
-    left_out = article = main = 0  # open elements of each kind
+    """``(marked, text)`` of each block that may be main text, in page order.
+    Marked ones stand in an ``article``, or in a ``main`` without articles; if
+    there is a ``main`` with text, blocks outside of it are left out. Elements
+    may be nested to any depth and tags may be unclosed: a page is read once."""
+    out: list[tuple[int, int, str]] = []
+    names: list[str] = []  # open elements and what each counts for
     kinds: list[tuple[int, int, int]] = []
+    open_now: dict[str, int] = {}
+    left_out: list[int] = []  # places of the open elements that are left out
+    firm = [0] * 4  # how many of these there are of each firmness
+    article = main = 0
     held: list[str] = []
-    at, size, low = 0, len(page), None
+    at = 0
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((2 if article else 1 if main else 0, text))
-
-    def close(depth: int) -> None:
-        nonlocal left_out, article, main
-        while len(open_names) > depth:
-            open_names.pop()
-            a, b, c = kinds.pop()
-            left_out, article, main = left_out - a, article - b, main - c
-
-    while at < size:
-        found = _TAG.search(page, at)
+            out.append((int(article > 0), int(main > 0), text))
+
+    def close_last() -> str:
+        nonlocal article, main
+        name, (firmness, a, m) = names.pop(), kinds.pop()
+        open_now[name] -= 1
+        article, main = article - a, main - m
+        if left_out and left_out[-1] == len(names):
+            left_out.pop()
+            firm[firmness] -= 1
+        return name
+
+    for start, end, closing, name, attributes in _tags(page):
         if not left_out:
-            held.append(page[at : found.start() if found else size])
-        if not found:
-            break
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
+            held.append(page[at:start])
+        at = end
         if not name:
             continue
-        closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if closing:
             if name not in INLINE and not left_out:
                 end_block()
-            if name in open_names:
-                close(len(open_names) - 1 - open_names[::-1].index(name))
+            if open_now.get(name):
+                while close_last() != name:
+                    pass
             continue
-        if name not in INLINE and name != "br" and not left_out:
-            end_block()
         if name == "br":
             held.append(" ")
             continue
-        out_here = _is_left_out(name, attributes, bool(article or main))
-        is_article = name == "article" or 'articleBody' in attributes
+        if name not in INLINE and not left_out:
+            end_block()
+        firmness = _left_out(name, attributes, bool(article or main))
         is_main = name == "main" or 'role="main"' in attributes
-        if (is_article or is_main) and not out_here and left_out and not (article or main):
+        is_article = name == "article" or "articleBody" in attributes
+        if (is_main or is_article) and not firmness and left_out and not (article or main):
             # A menu or form that was never closed, or that wraps the page, does
             # not hide the article; one inside comments stays hidden.
-            if {n for n, k in zip(open_names, kinds, strict=True) if k[0]} <= {"nav", "form", "header", "footer", "menu"}:
-                close(next(i for i, k in enumerate(kinds) if k[0]))
-        if name in RAW_TEXT and not attributes.endswith("/"):
-            low = page.lower() if low is None else low
-            at = low.find(f"</{name}", at)
-            if at < 0:
-                break
+            if not any(firm[2 + is_main :]):
+                left_out.clear()
+                firm = [0] * 4
+        if name in RAW_TEXT or name in VOID or attributes.endswith("/"):
             continue
-        if name in VOID or attributes.endswith("/"):
+        if not firmness and (name in INLINE or name in ("p", "li", "td", "th", "tr", "dt", "dd", "option")):
             continue
-        if name in INLINE and not out_here:
-            continue
-        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and not out_here:
-            continue
-        open_names.append(name)
-        kinds.append((int(out_here), int(is_article and not out_here and not left_out), int(is_main and not out_here and not left_out)))
-        a, b, c = kinds[-1]
-        left_out, article, main = left_out + a, article + b, main + c
+        seen = not firmness and not left_out
+        if firmness:
+            left_out.append(len(names))
+            firm[firmness] += 1
+        names.append(name)
+        kinds.append((firmness, int(is_article and seen), int(is_main and seen)))
+        open_now[name] = open_now.get(name, 0) + 1
+        article, main = article + kinds[-1][1], main + kinds[-1][2]
+    if not left_out:
+        # What follows the last whole tag; a tag cut off by the end is text.
+        held.append(page[at:])
     end_block()
-    best = max((k for k, _ in out), default=0)
-    return [(k > 0, t) for k, t in out if k == best]
+    if any(m for _, m, _ in out):
+        out = [b for b in out if b[1]]
+    articles = any(a for a, _, _ in out)
+    return [(bool(a) or (bool(m) and not articles), t) for a, m, t in out]
 
 
 def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
@@ -213,11 +278,15 @@ def common(a: list, b: list) -> list[int]:
 
 
 def main_lines(own: list[tuple[bool, str]], partner: list[tuple[bool, str]] | None) -> list[str]:
-    """The page's lines without those shared with its partner, marked ones kept."""
+    """The page's lines without those shared with its partner, marked ones
+    kept. A near copy of the page deletes nothing."""
     texts = [t for _, t in own]
     if partner is None or all(marked for marked, _ in own):
         return texts
-    shared = set(common(texts, [t for _, t in partner]))
+    others = [t for _, t in partner]
+    shared = set(common(texts, others))
+    if sum(len(texts[i]) for i in shared) >= NEAR_COPY * max(sum(map(len, texts)), sum(map(len, others))):
+        return texts
     return [t for i, (marked, t) in enumerate(own) if marked or i not in shared]
 
 
@@ -254,12 +323,16 @@ def extract_main_text(
     URL form a host of their own. A host's only page has no partner and keeps
     all its lines; of pages with the same URL each is the other's neighbour, by
     id and then by content. Repeated rows each give a row; other columns are
-    ignored. Whole pages are read, of any length.
+    ignored. Whole pages are read, of any length, with tags nested to any depth
+    or never closed.
     """
     spark = df.sparkSession
-    count = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
+    if ranges is None:
+        held = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+        ranges = min(MOST_RANGES, held // RANGE_BYTES + 1)
+    count = ranges
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,7 +375,7 @@ def extract_main_text(
             )
 
     sent = pages.mapInArrow(parsed, f"part int, key string, page_id {kind}, url string, marks string, lines string, guest boolean")
-    ordered = sent.repartition(count, "part").sortWithinPartitions("part", "key", "lines", "marks")
+    ordered = sent.repartitionById(count, F.col("part")).sortWithinPartitions("part", "key", "lines", "marks")
 
     def differenced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pages_in_order() -> Iterator[tuple]:

@@ -37,6 +37,100 @@ def test_blocks(page, expected):
     assert lines(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        # Letters that grow in lower case do not move a script's end.
+        ("<p>İİİİ İstanbul</p><script>x=1</script><p>After</p>", ["İİİİ İstanbul", "After"]),
+        ("<SCRIPT>if (a<b) '</scripts>'</Script ><p>t", ["t"]),
+        # A title beside the article, a story beside a teaser.
+        ("<main><h1>Title</h1><p>Intro.</p><article><p>a</p></article></main><p>out</p>", ["Title", "Intro.", "a"]),
+        ("<div><p>The story.</p></div><article class='card'>teaser</article>", ["The story.", "teaser"]),
+        # One word of a name does not make a part of the article something else.
+        ('<article><p class="share-price">9</p><section id="related-work">r</section><div class="notice-board">b</div></article>', ["9", "r", "b"]),
+        ('<article>x<div class="share-buttons">s</div><div id="relatedPosts">r</div><div class="comment-list">c</div></article>', ["x"]),
+        # Names of wrappers, and articles inside of what is left out.
+        ('<div class="content-sidebar-wrap"><article>a</article></div>', ["a"]),
+        ('<div class="content-sidebar-wrap"><p>a</p></div>', ["a"]),
+        ('<div class="with-x menu-page"><main>a</main></div>', ["a"]),
+        ('<div class="sidebar"><article>teaser</article></div><p>a</p>', ["a"]),
+        ('<div class="post-comments"><main>m</main></div><p>a</p>', ["a"]),
+        ('<a href="x>y</a> z">q</a><p title=\'">\'>r', ["q", "r"]),
+        ("a <b", ["a <b"]),
+    ],
+)
+def test_blocks_of_odd_pages(page, expected):
+    assert lines(page) == expected
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "x" + "</b>" * 50_000,
+        '<a "' * 100_000,
+        '<a x=">"' * 50_000,
+        '<a x="' * 100_000,
+        "<!" * 200_000,
+        "<form>" * 5_000 + '<div class="ad">' + "<article></p>" * 30_000,
+        '<div class="sidebar">' * 30_000 + "<article>" * 30_000,
+        "<script>" + "</scrip" * 100_000,
+    ],
+)
+def test_bad_markup_is_read_in_linear_time(page):
+    import time
+
+    start = time.process_time()
+    H.blocks(page)
+    once = time.process_time() - start
+    H.blocks(page * 2)
+    assert time.process_time() - start < 10 * once + 2
+
+
+def test_a_near_copy_deletes_nothing():
+    story = [(False, f"line {i} of the story") for i in range(20)]
+    menu, other = [(False, "Home"), (False, "News")], [(False, f"another line {i}") for i in range(20)]
+    assert H.main_lines(menu + story, menu + story) == [t for _, t in menu + story]
+    assert H.main_lines(menu + story, menu + story[:-1] + [(False, "changed")]) == [t for _, t in menu + story]
+    assert H.main_lines(menu + story, menu + other) == [t for _, t in story]
+
+
+def test_template_lines_go_against_a_plain_model(llm):
+    """Pages put together from known lines; a longest common subsequence is
+    taken by its table, the partner by looking at all pages of the host."""
+    rnd = random.Random(9)
+    rows, own = [], {}
+    for i in range(90):
+        host = ["big.org", "big.org", f"h{i % 4}.net"][i % 3]
+        template = [f"{host} head {k}" for k in range(4)], [f"{host} foot {k}" for k in range(3)]
+        story = [f"story {i} line {k} {rnd.random()}" for k in range(rnd.randint(3, 30))]
+        top, end = ([t for t in part if rnd.random() < 0.8] for part in template)
+        own[i] = top + story + end
+        marked = rnd.random() < 0.3
+        body = "".join(f"<p>{t}</p>" for t in story)
+        page = "".join(f"<div>{t}</div>" for t in top) + (f"<article>{body}</article>" if marked else body) + "".join(f"<div>{t}</div>" for t in end)
+        rows.append((i, f"http://{host}/{i:03d}", page))
+
+    def expected(i):
+        host, path = rows[i][1][7:].split("/")
+        others = [j for j in own if j != i and rows[j][1][7:].split("/")[0] == host]
+        before, after = max((j for j in others if j < i), default=None), min((j for j in others if j > i), default=None)
+        best, where = -1, None
+        for j in (before, after):
+            if j is not None:
+                same = next((n for n in range(4) if f"/{rows[j][1][-3:]}"[n] != f"/{path}"[n]), 4)
+                if same > best:
+                    best, where = same, j
+        return [t for t in own[i] if t.startswith("story") or where is None or t not in own[where]]
+
+    df = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for ranges in (1, 7):
+        got = {r.page_id: r.text for r in H.extract_main_text(df, ranges=ranges).collect()}
+        assert got == {i: "\n".join(expected(i)) for i in own}
+    long = "<p>" + "wort " * 400_000 + "</p>"
+    got = H.extract_main_text(llm.createDataFrame([(1, "http://a.org/", long)], "page_id long, url string, html string")).first()
+    assert got.n_chars == 5 * 400_000 - 1
+
+
 def plain_length(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
