@@ -2,8 +2,10 @@
 
 Distinct vectors are rotated so that leading dimensions carry the most of
 their length (a rotation keeps every cosine), put in the order of the leading
-one and packed into blocks. Spark deals out the pairs of blocks whose bounds
-allow a cosine of the threshold; a task compares tile by tile. Of a tile the
+one and packed into blocks of bounded bytes. Spark deals out squares of pairs of
+blocks, so that a block travels once for each square, not for each pair; a task
+takes the pairs whose bounds allow a cosine of the threshold and compares them
+tile by tile. Of a tile the
 products of the leading dimensions are taken first; the rest of each product
 is at most the product of the two suffix norms, so most pairs stop there. The
 others gain further dimensions and are bounded again, and what remains is
@@ -25,17 +27,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .components import components
+from .components import components, stored
 from .simhash import forest
 from .tables import table
 
 #: The query's contract.
 COSINE = 0.9
-#: Vectors in a block and in a tile's two sides; dimensions per step.
-BLOCK, TILE, LEADING, NEXT = 16_384, (1024, 4096), 16, 32
-#: Vectors the rotation is fitted on (a bounded sample by hash; it has an
-#: effect on speed only).
-FITTED_ON = 20_000
+#: Vectors and bytes of vectors in a block at most, blocks on a side of a square
+#: at most; vectors in a tile's two sides; dimensions per step.
+BLOCK, BLOCK_BYTES, SQUARE = 16_384, 8 << 20, 4
+TILE, LEADING, NEXT = (1024, 4096), 16, 32
+#: Vectors and bytes of vectors the rotation is fitted on at most (a bounded
+#: sample by hash; it has an effect on speed only).
+FITTED_ON, FITTED_BYTES = 20_000, 32 << 20
+#: Rows in a stored file: of vectors, and of ids and numbers.
+VECTORS_IN_FILE, ROWS_IN_FILE = 16_384, 262_144
 #: Allowance for rounding in the single-precision bounds.
 _SLACK = 1e-3
 _GATHERED = 1 << 16
@@ -98,21 +104,32 @@ def _matrix(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, dtype="<f8").reshape(-1, width)
 
 
-def compare(a: dict, b: dict, basis: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
-    """Of two blocks: ``(node, linked rows)`` and a spanning forest ``(node,
-    node)`` of the links between their vectors."""
-    same, width = a["block"] == b["block"], a["width"]
-    ids = np.frombuffer(a["ids"] if same else a["ids"] + b["ids"], dtype="<i8")
-    sizes = np.frombuffer(a["sizes"] if same else a["sizes"] + b["sizes"], dtype="<i8")
-    left = Side(_matrix(a["vectors"], width), basis)
-    right = left if same else Side(_matrix(b["vectors"], width), basis)
-    shift = 0 if same else len(left.unit)
+def _may_link(a: dict, b: dict, cosine: float) -> bool:
+    """Whether the blocks' extents allow a product of ``cosine``."""
+    low, high, low2, high2 = (np.array(x) for x in (a["low"], a["high"], b["low"], b["high"]))
+    most = np.max([low * low2, low * high2, high * low2, high * high2], axis=0).sum() + a["rest"] * b["rest"]
+    return bool(most >= cosine - _SLACK)
+
+
+def compare(own: list[dict], others: list[dict], basis: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
+    """Of the pairs between two lists of blocks, or within one (``others``
+    empty): ``(node, linked rows)`` and a spanning forest ``(node, node)`` of
+    the links between their vectors."""
+    blocks = own + others
+    ids = np.frombuffer(b"".join(x["ids"] for x in blocks), dtype="<i8")
+    sizes = np.frombuffer(b"".join(x["sizes"] for x in blocks), dtype="<i8")
+    sides = [Side(_matrix(x["vectors"], x["width"]), basis) for x in blocks]
+    start = np.concatenate([[0], np.cumsum([len(x.unit) for x in sides])])
     links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-    for i, j in linked(left, right, same, cosine):
-        j = j + shift
-        links += np.bincount(i, weights=sizes[j], minlength=len(ids)).astype(np.int64)
-        links += np.bincount(j, weights=sizes[i], minlength=len(ids)).astype(np.int64)
-        label = forest(len(ids), label, i, j)
+    for p in range(len(own)):
+        for q in range(len(own), len(blocks)) if others else range(p, len(own)):
+            if not _may_link(blocks[p], blocks[q], cosine):
+                continue
+            for i, j in linked(sides[p], sides[q], p == q, cosine):
+                i, j = i + start[p], j + start[q]
+                links += np.bincount(i, weights=sizes[j], minlength=len(ids)).astype(np.int64)
+                links += np.bincount(j, weights=sizes[i], minlength=len(ids)).astype(np.int64)
+                label = forest(len(ids), label, i, j)
     has, child = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
     return ids[has], links[has], ids[child], ids[label[child]]
 
@@ -150,7 +167,8 @@ def _packed(basis: dict[int, np.ndarray], block_rows: int):
 
 
 def embedding_dedup(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK,
+    square: int = SQUARE,
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links`` (other rows linked directly),
     ``component_id`` (smallest id reachable, itself included), ``kept``
@@ -179,13 +197,18 @@ def embedding_dedup(
     rows = vectors.mapInArrow(read, f"vec_id {kind}, vec binary")
     # Equal vectors are one node; they meet by digest, aggregated in the tasks first.
     marked = cut_lineage(rows.withColumn("key", F.unhex(F.md5("vec"))))
-    nodes = cut_lineage(
+    nodes = stored(
         marked.where("key IS NOT NULL")
         .groupBy("key")
         .agg(F.max("vec").alias("vec"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
-        .withColumn("cid", F.monotonically_increasing_id())
+        .withColumn("cid", F.monotonically_increasing_id()),
+        marked.count(),
+        VECTORS_IN_FILE,
     )
-    sample = nodes.select("key", "vec").orderBy("key").limit(FITTED_ON).collect()  # the bounded sample
+    known, widest = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("vec")), F.lit(8))).first()
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // widest))
+    fitted_on = max(1, min(FITTED_ON, FITTED_BYTES // widest))
+    sample = nodes.select("key", "vec").orderBy("key").limit(fitted_on).collect()  # the bounded sample
     by_width: dict[int, list[bytes]] = {}
     for r in sample:
         by_width.setdefault(len(r["vec"]) // 8, []).append(bytes(r["vec"]))
@@ -202,20 +225,19 @@ def embedding_dedup(
             )
 
     ordered = nodes.select("cid", "size", "vec").mapInArrow(placed, "width int, lead double, cid long, size long, vec binary")
-    parts = max(1, -(-nodes.count() // block_rows))
+    parts = max(1, -(-known // block_rows))
     packed = ordered.repartitionByRange(parts, "width", "lead").sortWithinPartitions("width", "lead")
     blocks = packed.select("width", "cid", "size", "vec").mapInArrow(_packed(basis, block_rows), BLOCKS)
     blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
-    found = cut_lineage(_compared(blocks, basis, cosine))
+    found = cut_lineage(_compared(blocks, basis, cosine, square))
 
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cid")
+    roots = components(found.where("b IS NOT NULL").select("a", "b"), ROWS_IN_FILE).withColumnRenamed("node", "cid")
     rooted = nodes.select("key", "cid", "first_id", "size").join(roots, "cid", "left").join(links, "cid", "left")
-    rooted = cut_lineage(rooted.withColumn("root", F.coalesce("root", "cid")))
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = cut_lineage(
-        rooted.join(least, "root").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    )
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "cid")), known, ROWS_IN_FILE)
+    least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), known, ROWS_IN_FILE)
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")
+    named = stored(rooted.join(least, "root").select("key", "component_id", n_links), known, ROWS_IN_FILE)
     out = marked.select("vec_id", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -223,13 +245,16 @@ def embedding_dedup(
     ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _compared(blocks: DataFrame, basis: dict[int, np.ndarray], cosine: float) -> DataFrame:
+def _compared(blocks: DataFrame, basis: dict[int, np.ndarray], cosine: float, square: int) -> DataFrame:
     """``a, b, links``: link counts (``b`` null) and forests of all block pairs
     that the bounds allow."""
     # Consecutive numbers for the blocks: a row of some hundred bytes each.
     number = (F.row_number().over(Window.orderBy("block")) - 1).cast("long")
     short = cut_lineage(blocks.select("block", "width", "low", "high", "rest", number.alias("at")))
-    last = F.lit(max(0, short.count() - 1)).cast("long")
+    count = short.count()
+    # With few blocks, small squares keep many tasks at work.
+    side = max(1, min(square, count // 8))
+    last = F.lit(max(0, count - 1)).cast("long")
     one = short.withColumn("other_at", F.explode(F.sequence("at", last)))
     two = short.select(*(F.col(c).alias(f"{c}2") for c in short.columns))
     # The most that two vectors' products can be, from the blocks' extents.
@@ -241,23 +266,27 @@ def _compared(blocks: DataFrame, basis: dict[int, np.ndarray], cosine: float) ->
     )
     pairs = one.join(two, F.col("other_at") == F.col("at2")).where("width = width2")
     pairs = pairs.where(most + F.col("rest") * F.col("rest2") >= cosine - _SLACK)
-    pairs = pairs.select("block", F.col("block2").alias("other"))
-    data = blocks.select("block", "width", "ids", "sizes", "vectors")
-    dealt = pairs.join(data, "block").join(
-        data.select(*(F.col(c).alias("other" if c == "block" else f"{c}2") for c in data.columns if c != "width")), "other"
-    )
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (r,) = batch.slice(k, 1).to_pylist()
-                b = {"block": r["other"], "ids": r["ids2"], "sizes": r["sizes2"], "vectors": r["vectors2"]}
-                node, links, x, y = compare(r, b, basis.get(r["width"], np.eye(r["width"])), cosine)
-                none, empty = pa.nulls(len(node), pa.int64()), pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(node), none, pa.array(links)], ["a", "b", "links"])
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), empty], ["a", "b", "links"])
-
-    return dealt.mapInArrow(run, "a long, b long, links long")
+    # A block is sent to each square that holds a pair of it, once.
+    p, q = (F.floor(F.col(c) / side).cast("long") for c in ("at", "at2"))
+    ends = F.array(F.struct(F.col("block").alias("block"), p.alias("half")), F.struct(F.col("block2").alias("block"), q.alias("half")))
+    sent = pairs.select(p.alias("p"), q.alias("q"), "width", F.explode(ends).alias("end"))
+    sent = sent.select("p", "q", "width", "end.block", (F.col("end.half") == F.col("p")).alias("own")).distinct()
+    dealt = sent.join(blocks.drop("width"), "block")
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+        own, others = [r for r in rows if r["own"]], [r for r in rows if not r["own"]]
+        width = rows[0]["width"]
+        node, links, x, y = compare(own, others, basis.get(width, np.eye(width)), cosine)
+        none, empty = pa.nulls(len(node), pa.int64()), pa.nulls(len(x), pa.int64())
+        return pa.concat_tables(
+            [
+                pa.table({"a": pa.array(node), "b": none, "links": pa.array(links)}),
+                pa.table({"a": pa.array(x), "b": pa.array(y), "links": empty}),
+            ]
+        )
+
+    return dealt.groupBy("p", "q", "width").applyInArrow(run, "a long, b long, links long")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,28 @@ def test_links_and_components(llm, block_rows):
     assert E.embedding_dedup(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("square", [2, 5])
+def test_squares_of_blocks_and_files_of_few_rows(llm, monkeypatch, square):
+    """Many small blocks: each travels once for each square it is needed in."""
+    rows = data(square)
+    sent = []
+    compared = E._compared
+
+    def counted(blocks, basis, cosine, side):
+        sent.append(blocks.count())
+        return compared(blocks, basis, cosine, side)
+
+    monkeypatch.setattr(E, "_compared", counted)
+    monkeypatch.setattr(E, "VECTORS_IN_FILE", 40)
+    monkeypatch.setattr(E, "ROWS_IN_FILE", 100)
+    # Blocks are bounded in bytes as well as in rows.
+    monkeypatch.setattr(E, "BLOCK_BYTES", 10 * 24 * 8)
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = E.embedding_dedup(df, square=square).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows)
+    assert sent[0] >= len({tuple(v) for _, v in rows}) / 10
+
+
 def test_only_unusable_vectors(llm):
     df = llm.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, E.embedding_dedup(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
