@@ -37,6 +37,8 @@ from .tables import table
 MIN_BYTES = 0
 #: Bytes after which a task starts another file, and bytes of a reader's range.
 FILE_BYTES, RANGE_BYTES = 1 << 30, 8 << 20
+#: Tasks that read ranges at most.
+MOST_TASKS = 65_536
 
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 18
@@ -263,7 +265,7 @@ RECORD = (
 )
 
 
-def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
     """The records of ``files(path, bytes)``, whoever wrote them.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload: as
@@ -273,8 +275,9 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     no records."""
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "bytes", cuts.alias("start")).where("bytes > 0")
-    # A few bytes each, so the number of tasks has to be named.
-    spread = ranges.repartition(max(1, ranges.count()))
+    # A few bytes each, so the number of tasks has to be named; beyond the most
+    # tasks a stage should have, each takes several ranges one after another.
+    spread = ranges.repartition(max(1, min(ranges.count(), most_tasks)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.bool_()]
@@ -303,7 +306,7 @@ def warc_round_trip(
     ``record_id`` and ``refers_to`` in the id's type. An empty table writes no
     file and gives an empty result."""
     kind = df.schema[id_col].dataType
-    ranges = {k: v for k, v in limits.items() if k == "range_bytes"}
+    ranges = {k: v for k, v in limits.items() if k in ("range_bytes", "most_tasks")}
     manifest = write_warc(df, folder, id_col, uri_col, payload_col, **{k: v for k, v in limits.items() if k not in ranges})
     records = read_warc(manifest, **ranges).where("record_type <> 'warcinfo'")
     return records.withColumns({c: F.col(c).cast(kind) for c in ("record_id", "refers_to")})

@@ -29,11 +29,11 @@ def expected(rows, min_bytes=0):
     return Counter(out)
 
 
-@pytest.mark.parametrize("range_bytes,min_bytes", [(64, 0), (1000, 5), (1 << 20, 0)])
-def test_round_trip(llm, range_bytes, min_bytes):
+@pytest.mark.parametrize("range_bytes,min_bytes,most_tasks", [(64, 0, 5), (1000, 5, 1 << 16), (1 << 20, 0, 1)])
+def test_round_trip(llm, range_bytes, min_bytes, most_tasks):
     df = llm.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 as payload", "'x' as sha")
     folder = tempfile.mkdtemp(prefix="docdrift-warc-")
-    back = W.warc_round_trip(df.repartition(3), folder, range_bytes=range_bytes, min_bytes=min_bytes, file_bytes=500)
+    back = W.warc_round_trip(df.repartition(3), folder, range_bytes=range_bytes, min_bytes=min_bytes, file_bytes=500, most_tasks=most_tasks)
     got = back.collect()
     assert all(r.intact for r in got)
     assert Counter((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected(ROWS, min_bytes)
