@@ -1,6 +1,7 @@
 """The whole run as two lazy plans, for all repositories at once.
 
-``plan_updates`` goes from two snapshots to requests; ``finish_updates``
+``plan_updates`` goes from two snapshots to requests, ``plan_version_updates``
+from two versions of a content-addressed store; ``finish_updates``
 goes from stored replies to the rows to write. Two points are materialised
 in the shared checkpoint folder (``spark.checkpoint.dir``): the symbol diffs
 (read by three consumers) and the replies (an answered request is not asked
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
@@ -26,6 +27,7 @@ from ..sources import doc_store as DS
 from ..sources import docs as SD
 from ..sources import replies as SR
 from ..sources import snapshots as SS
+from ..sources import text_store as TS
 from ..session import cut_lineage
 
 
@@ -46,7 +48,38 @@ def plan_updates(
     repository with an API change and within budget)."""
     old_src = SS.filter_source_files(old_snapshot, suffix)
     new_src = SS.filter_source_files(new_snapshot, suffix)
-    files = cut_lineage(C.changed_files(old_src, new_src))  # read by mining, selection and summary
+    return plan_changes(C.changed_files(old_src, new_src), docs, roots, mappings, excludes, max_tokens, model, parts)
+
+
+def plan_version_updates(
+    spark: SparkSession,
+    store: str,
+    old_ref: str,
+    new_ref: str,
+    docs: DataFrame,
+    roots: DataFrame,
+    suffix: str = ".go",
+    **options,
+) -> dict[str, DataFrame]:
+    """``plan_updates`` for two versions of the content-addressed store at
+    ``store``: hashes alone decide which files changed, and the texts of
+    unchanged files are never opened. ``options`` are those of
+    ``plan_changes``."""
+    return plan_changes(TS.stored_changes(spark, store, old_ref, new_ref, suffix=suffix), docs, roots, **options)
+
+
+def plan_changes(
+    changed: DataFrame,
+    docs: DataFrame,
+    roots: DataFrame,
+    mappings: DataFrame | None = None,
+    excludes: DataFrame | None = None,
+    max_tokens: int = M.DEFAULT_MAX_TOKENS,
+    model: str = "",
+    parts: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """The plan from ``changed(repo, path, old_content, new_content)`` on."""
+    files = cut_lineage(changed)  # read by mining, selection and summary
     old_syms = MI.mine_declarations(files.select("repo", "path", F.col("old_content").alias("content"))).drop("exported")
     new_syms = MI.mine_declarations(files.select("repo", "path", F.col("new_content").alias("content"))).drop("exported")
     unread = _errors(files, "old").unionByName(_errors(files, "new"))

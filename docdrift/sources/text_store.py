@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.changes import KEYS, changed_paths, normalise_content
 from ..session import cut_lineage
+from .snapshots import filter_source_files
 
 TEXTS = "content_hash string, content string, brought string"
 VERSIONS = "repo string, path string, content_hash string, n_bytes long, brought string, ref string"
@@ -76,15 +77,19 @@ def fetch_texts(rows: DataFrame, store: str) -> DataFrame:
     return rows.join(texts, ["brought", "content_hash"])
 
 
-def version_changes(spark: SparkSession, store: str, old_ref: str, new_ref: str) -> DataFrame:
-    """C1 over stored versions: ``repo, path, change``, by hashes alone."""
-    return changed_paths(read_version(spark, store, old_ref), read_version(spark, store, new_ref))
+def version_changes(spark: SparkSession, store: str, old_ref: str, new_ref: str, suffix: str = "") -> DataFrame:
+    """C1 over stored versions: ``repo, path, change`` of the paths that end
+    with ``suffix``, by hashes alone."""
+    old, new = (filter_source_files(read_version(spark, store, ref), suffix) for ref in (old_ref, new_ref))
+    return changed_paths(old, new)
 
 
-def stored_changes(spark: SparkSession, store: str, old_ref: str, new_ref: str, trim_old: bool = True) -> DataFrame:
+def stored_changes(
+    spark: SparkSession, store: str, old_ref: str, new_ref: str, trim_old: bool = True, suffix: str = ""
+) -> DataFrame:
     """C2 over stored versions: ``repo, path, old_content, new_content`` of the
     changed files; the texts of unchanged files are not fetched."""
-    changed = cut_lineage(version_changes(spark, store, old_ref, new_ref))
+    changed = cut_lineage(version_changes(spark, store, old_ref, new_ref, suffix))
 
     def texts(ref: str, name: str) -> DataFrame:
         rows = read_version(spark, store, ref).join(changed.select(*KEYS), KEYS, "left_semi")

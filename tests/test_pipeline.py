@@ -77,3 +77,30 @@ def test_plan_and_finish(spark):
     assert {r["path"]: r["content"] for r in DS.read_docs(spark, path).collect()} == {
         "docs/a.md": "Call New() first.\n", "docs/b.md": "Unrelated.\n", "docs/c.md": "Same() works.\n",
     }
+
+
+def test_plan_from_stored_versions(spark):
+    """Two versions of the store give the plan of the two snapshots, and the
+    texts of unchanged files are not read."""
+    from docdrift.sources import snapshots as SS
+    from docdrift.sources import text_store as TS
+
+    snap = "repo string, path string, content string"
+    same = [("r1", f"lib/{k}.go", f"package p\n\nfunc Keep{k}() {{}}\n") for k in range(40)]
+    old = spark.createDataFrame(same + [("r1", "x.go", "package p\n\nfunc Old() {}\n"), ("r2", "y.txt", "a\n")], snap)
+    new = spark.createDataFrame(same + [("r1", "x.go", "package p\n\nfunc New() {}\n"), ("r2", "y.txt", "b\n")], snap)
+    docs = spark.createDataFrame([("r1", "docs/a.md", "Call Old().\n"), ("r2", "docs/b.md", "Text.\n")], "repo string, path string, content string")
+    roots = spark.createDataFrame([("r1", "docs"), ("r2", "docs")], "repo string, root string")
+    mappings = spark.createDataFrame(
+        [("r1", 1, ["docs/a.md"], ["x"])], "repo string, mapping_id long, docs array<string>, code array<string>"
+    )
+    store = tempfile.mkdtemp(prefix="docdrift-texts-", dir="/tmp") + "/store"
+    TS.put_version(old, store, "a")
+    TS.put_version(new, store, "b")
+    stored = P.plan_version_updates(spark, store, "a", "b", docs, roots, mappings=mappings, model="m")
+    plain = P.plan_updates(SS.with_hash(old), SS.with_hash(new), docs, roots, mappings, model="m")
+    assert [(r["repo"], r["path"]) for r in stored["changed_files"].collect()] == [("r1", "x.go")]
+    for name in ("changed_files", "diffs", "summary", "selected", "budget", "requests", "extract_errors"):
+        assert sorted(map(repr, stored[name].collect())) == sorted(map(repr, plain[name].collect())), name
+    assert [r["path"] for r in stored["requests"].collect()] == ["docs/a.md"]
+    assert P.plan_version_updates(spark, store, "b", "b", docs, roots)["requests"].collect() == []
