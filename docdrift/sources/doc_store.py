@@ -130,7 +130,7 @@ def merge_docs(updates: DataFrame, store: str, run: str) -> int:
     spark = updates.sparkSession
     versions = _versions(spark, store)
     done = spark.read.schema(MANIFEST).json([f"{store}/manifest/v{v}" for v in versions]).where(F.col("run") == run)
-    if applied := done.agg(F.min("version").alias("v")).first()["v"]:
+    if (applied := done.agg(F.min("version").alias("v")).first()["v"]) is not None:
         return applied
     latest = versions[-1]
     held = _manifest(spark, store, latest)

@@ -48,6 +48,8 @@ def test_a_replay_changes_nothing(spark, store):
     S.merge_docs(updates(spark, ("r0", "docs/0.md", "two")), store, "run-2")
     assert S.merge_docs(updates(spark, ("r0", "docs/0.md", "one")), store, "run-1") == 1
     assert ("r0", "docs/0.md", "two") in rows(S.read_docs(spark, store)) and S._versions(spark, store) == [0, 1, 2]
+    # the run that made the store is version 0
+    assert S.merge_docs(updates(spark, ("r0", "docs/0.md", "three")), store, "create") == 0 and S._versions(spark, store) == [0, 1, 2]
 
 
 def test_a_run_that_dies_before_the_commit(spark, store, monkeypatch):
