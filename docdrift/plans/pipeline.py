@@ -62,9 +62,9 @@ def plan_version_updates(
     **options,
 ) -> dict[str, DataFrame]:
     """``plan_updates`` for two versions of the content-addressed store at
-    ``store``: hashes alone decide which files changed, and the texts of
-    unchanged files are never opened. ``options`` are those of
-    ``plan_changes``."""
+    ``store``: hashes alone decide which files changed; texts are then read
+    from the partitions that hold those of changed files. ``options`` are those
+    of ``plan_changes``."""
     return plan_changes(TS.stored_changes(spark, store, old_ref, new_ref, suffix=suffix), docs, roots, **options)
 
 

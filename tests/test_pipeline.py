@@ -80,8 +80,7 @@ def test_plan_and_finish(spark):
 
 
 def test_plan_from_stored_versions(spark):
-    """Two versions of the store give the plan of the two snapshots, and the
-    texts of unchanged files are not read."""
+    """Two versions of the store give the plan of the two snapshots."""
     from docdrift.sources import snapshots as SS
     from docdrift.sources import text_store as TS
 
