@@ -2,8 +2,8 @@
 
 One request per document: the repository's change summary and the
 document, wrapped in tags, behind a system text the caller composes from
-named parts. The summary is joined by repository (an equi-join; the
-summary grows with the number of changes, so it is not broadcast).
+named parts. A request names the summary by key; its text goes once to each
+task that makes calls, not to each request.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col_, let, preview
+from ..session import cut_lineage
 
 # The comment pattern removed from documents, the tag order of
 # the system text, and the separator between its parts.
@@ -139,6 +141,35 @@ def request_body(json_text, summary) -> Column:
     return let(F.from_json(col_(json_text), _REQUEST), full)
 
 
+def body_parts(json_text) -> Column:
+    """``request_body`` in parts, ``struct<head, tail>``: ``summary_part`` goes
+    between them. The body of a request without a document's text has no user
+    text: all of it is ``head``, and ``tail`` is null."""
+
+    def cut(r):
+        system, user = r["messages"][0], r["messages"][1]["content"]
+        model, limits = r["model"].alias("model"), [r[k].alias(k) for k in ("max_tokens", "temperature")]
+        messages = F.array(system, F.struct(F.lit("user").alias("role"), user.alias("content")))
+        before = F.to_json(F.struct(model, F.array(system).alias("messages")))
+        # all but its closing brackets, then the user message up to its text
+        n = F.length(before) - 2 + len(',{"role":"user","content":"')
+        return let(
+            F.struct(F.to_json(F.struct(model, messages.alias("messages"), *limits)).alias("body"), F.when(user.isNotNull(), n).alias("n")),
+            lambda b: F.struct(
+                F.when(b["n"].isNull(), b["body"]).otherwise(F.substring(b["body"], F.lit(1), b["n"])).alias("head"),
+                F.substring(b["body"], b["n"] + 1, F.length(b["body"])).alias("tail"),
+            ),
+        )
+
+    return let(F.from_json(col_(json_text), _REQUEST), cut)
+
+
+def summary_part(summary) -> Column:
+    """The summary as it stands in the JSON text of ``request_body``."""
+    text = F.to_json(F.array(F.concat(wrap_code_diff(summary), F.lit("\n\n"))))
+    return let(text, lambda j: F.substring(j, F.lit(3), F.length(j) - 4))
+
+
 def write_requests(requests_json: DataFrame, out_path: str) -> None:
     """S5 (sink): JSON lines partitioned by repository."""
     requests_json.write.mode("overwrite").partitionBy("repo").json(out_path)
@@ -160,6 +191,8 @@ STORED = T.StructType(
 )
 
 
+#: What a task is dealt: the text of a summary, or a request in parts.
+DEALT = ["summary_key", "summary", "request_hash", "head", "tail"]
 #: The error of a request that was not sent because too many others failed.
 NOT_ASKED = "not_asked"
 #: Calls that a task makes before its share of failures can stop it.
@@ -177,16 +210,30 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
         raise
 
 
+def _ask(completer: Callable[[str], str], last: dict, request: tuple[str, str | None, str | None]) -> str:
+    """One call, for a request in parts: head, summary, tail. A completer with
+    ``after`` gets a beginning only where it differs from the ``last`` one."""
+    head, summary, tail = request
+    if tail is None:
+        return completer(head)
+    if not hasattr(completer, "after"):
+        return completer(head + summary + tail)
+    known = last.get("after")
+    if known is None or known[0] != (head, summary):
+        last["after"] = known = (head, summary), completer.after(head + summary)
+    return known[1](tail)
+
+
 class _Calls:
     """Calls of one task: up to ``parallel`` at a time, results in the order of
     the requests. With ``breaker`` no further call is made once at least
     ``min_calls`` have ended and that share of them failed."""
 
-    def __init__(self, completer: Callable[[str], str], parallel: int, breaker: float | None, min_calls: int) -> None:
+    def __init__(self, completer: Callable, parallel: int, breaker: float | None, min_calls: int) -> None:
         self.completer, self.parallel, self.breaker, self.min_calls = completer, parallel, breaker, min_calls
         self.ended = self.failed = 0
 
-    def one(self, request: str) -> tuple[str | None, str | None]:
+    def one(self, request) -> tuple[str | None, str | None]:
         try:
             return self.completer(request), None
         except Exception as exc:  # recorded per row
@@ -195,7 +242,7 @@ class _Calls:
     def broken(self) -> bool:
         return self.breaker is not None and self.ended >= self.min_calls and self.failed >= self.breaker * self.ended
 
-    def over(self, requests: list[str]) -> list[tuple[str | None, str | None]]:
+    def over(self, requests: list) -> list[tuple[str | None, str | None]]:
         results: list = [(None, NOT_ASKED)] * len(requests)
         running: deque[tuple[int, Future]] = deque()
 
@@ -238,6 +285,12 @@ def complete_requests(
     request names, from ``summaries(repo, summary)``; without them it is the
     request as it stands.
 
+    A task gets each summary that its requests name once, in front of them, and
+    a body is put together when it is sent, so what is moved and kept grows
+    with the requests. ``completer`` reads whole bodies; one that can keep what
+    many of them begin with (a prompt cache) has ``after(beginning)``, which
+    returns the function to call with the rest of a body.
+
     Runs in ``mapInPandas`` (Arrow batches); an exception becomes the row's
     ``error`` so one failure never loses the other replies. With ``store`` (a
     shared path) replies without an error are kept there by request hash and
@@ -247,8 +300,9 @@ def complete_requests(
     the replies in so many parts, which bounds what can be repeated;
     ``concurrency`` bounds the number of tasks calling out at once, and each
     task makes up to ``parallel`` calls at a time (``completer`` must then be
-    safe to call from several threads). Without a store the plan is lazy and
-    each evaluation calls again.
+    safe to call from several threads). With a store the requests are stored
+    once for all parts. Without one the plan is lazy and each evaluation calls
+    again.
 
     ``task_breaker`` is the share of a task's calls (of ``min_calls`` or more)
     whose failure ends its calls of this part; ``breaker`` is the share of all
@@ -257,26 +311,48 @@ def complete_requests(
     are asked in the next run. ``batch_of`` says which part (from 0) a request belongs to;
     by default its hash does."""
 
+    named = summaries is not None
+    none = F.lit(None).cast("string")
+
     def run(pdfs: Iterator) -> Iterator:
-        calls = _Calls(completer, parallel, task_breaker, min_calls)
+        last: dict = {}
+        calls = _Calls(lambda request: _ask(completer, last, request), parallel, task_breaker, min_calls)
+        key = summary = None
         for pdf in pdfs:
-            bodies, errors = zip(*calls.over(list(pdf["request_json"]))) if len(pdf) else ((), ())
-            yield pdf.assign(body=bodies, error=errors)[["request_hash", "body", "error"]]
+            hashes, requests = [], []
+            for k, text, h, head, tail in zip(*(pdf[c] for c in DEALT)):
+                if text is not None:
+                    key, summary = k, text
+                elif not named or (summary is not None and k == key):  # else its summary is not there
+                    hashes.append(h)
+                    requests.append((head, summary, tail))
+            bodies, errors = zip(*calls.over(requests)) if requests else ((), ())
+            yield pd.DataFrame({"request_hash": hashes, "body": bodies, "error": errors}, dtype=object)
 
     def called(rows: DataFrame) -> DataFrame:
-        if texts is not None:  # one copy of a summary at a time, on its way to the call
-            rows = rows.join(texts, "summary_key")
-        rows = rows.repartition(concurrency, "request_hash") if concurrency else rows
-        if texts is not None:
-            rows = rows.select("request_hash", request_body(F.col("request_json"), F.col("summary")).alias("request_json"))
-        return rows.mapInPandas(run, STORED)
-
-    asked = requests_json.select("repo", "path", "request_hash")
-    named = ["summary_key"] if summaries is not None else []
+        if not named:
+            rows = rows.repartition(concurrency, "request_hash") if concurrency else rows
+            rows = rows.select(none.alias("summary_key"), none.alias("summary"), "request_hash", F.col("request_json").alias("head"), none.alias("tail"))
+            return rows.mapInPandas(run, STORED)
+        # so many tasks, and copies of a summary, however many the requests
+        tasks = concurrency or 4 * rows.sparkSession.sparkContext.defaultParallelism
+        rows = rows.withColumn("_task", F.pmod(F.xxhash64("request_hash"), F.lit(tasks)).cast("int"))
+        first = rows.select("_task", "summary_key").distinct().join(texts, "summary_key")
+        first = first.select("_task", "summary_key", "summary", *[none.alias(c) for c in ("request_hash", "head", "tail")])
+        own = rows.select("_task", "summary_key", none.alias("summary"), "request_hash", body_parts("request_json").alias("_b"))
+        dealt = first.unionByName(own.select(*first.columns[:4], "_b.head", "_b.tail")).repartitionById(tasks, "_task")
+        return dealt.sortWithinPartitions("summary_key", F.col("summary").isNull(), "head").select(*DEALT).mapInPandas(run, STORED)
+
     part_of = F.pmod(F.xxhash64("request_hash"), F.lit(batches)) if batch_of is None else batch_of
-    todo = requests_json.withColumn("_part", part_of.cast("int")).dropDuplicates(["request_hash"])
-    todo = todo.select("request_hash", "request_json", "_part", *named)
-    texts = summaries.select(F.sha2("summary", 256).alias("summary_key"), "summary").distinct() if named else None
+    requests = requests_json.withColumn("_part", part_of.cast("int"))
+    texts = summaries.select(F.sha2("summary", 256).alias("summary_key"), summary_part("summary").alias("summary")).distinct() if named else None
+    if store is not None:
+        requests = cut_lineage(requests)
+        texts = cut_lineage(texts) if named else None
+    asked = requests.select("repo", "path", "request_hash")
+    one = F.struct(*["summary_key"] * named, "_part", "request_json")
+    todo = requests.groupBy("request_hash").agg(F.min(one).alias("r")).select("request_hash", "r.*")
+    todo = cut_lineage(todo) if store is not None and batches > 1 else todo
     if store is None:
         replies = called(todo)
     else:

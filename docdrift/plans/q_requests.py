@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attempts as AT
 from ..operators import requests as RQ
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import snapshots as SS
 from ..operators import changes as C
 from . import bindings as B
@@ -23,27 +23,51 @@ MODEL = "doc-model"
 
 
 def _summaries(spark, sf):
-    ch = C.changed_paths(B.code_snapshot(spark, sf, "old"), B.code_snapshot(spark, sf, "new"))
+    # hashed at the scan: no text is dealt out for a comparison of hashes
+    ch = C.changed_paths(B.code_snapshot(spark, sf, "old", spread=False), B.code_snapshot(spark, sf, "new", spread=False))
     return B.change_summaries(SS.filter_source_files(ch))
 
 
-def _requests(spark, sf):
-    return RQ.build_requests(B.docs_table(spark, sf), _summaries(spark, sf), model=MODEL)
+def _requests(spark, sf, summaries=None):
+    summaries = _summaries(spark, sf) if summaries is None else summaries
+    return RQ.build_requests(B.docs_table(spark, sf), summaries, model=MODEL)
 
 
-def local_completer(request: str) -> str:
-    """Deterministic stand-in for a model: put the first word of the
-    document in brackets."""
-    req = json.loads(request)
-    user = req["messages"][1]["content"]
-    m = re.search(r'<DOCUMENT path="([^"]*)">\n(\S*)', user)
-    path, word = (m.group(1), m.group(2)) if m else ("", "")
-    edits = {"edits": [{"file": path, "section": str(user.index("</CODE_CHANGES>") - len("<CODE_CHANGES>\n") - 1), "action": "replace", "old_text": word, "new_text": "[" + word + "]"}]}
-    reply = {
-        "choices": [{"message": {"role": "assistant", "content": json.dumps(edits)}, "finish_reason": "stop"}],
-        "usage": {"prompt_tokens": len(user.encode()) // 4, "completion_tokens": 1, "total_tokens": len(user.encode()) // 4 + 1},
-    }
-    return json.dumps(reply)
+class LocalCompleter:
+    """Deterministic stand-in for a model: put the first word of the document
+    in brackets. A summary, with which many bodies begin, is read once."""
+
+    def __call__(self, request: str) -> str:
+        return self._reader(json.loads(request)["messages"][1]["content"])("")
+
+    def after(self, beginning: str):
+        reply = self._reader(json.loads(beginning + '"}]}')["messages"][1]["content"])
+        return lambda rest: reply(json.loads('{"messages":[{"content":"' + rest)["messages"][0]["content"])
+
+    def _reader(self, start: str):
+        """From the end of a user text that begins with ``start`` to the reply."""
+        end, n_bytes = start.find("</CODE_CHANGES>"), len(start.encode())
+        # nothing that is searched for can begin in other starts
+        searched = start if not start.endswith("\n") or '">\n' in start or '<DOCUMENT path="' in start else ""
+
+        def reply(own: str) -> str:
+            at = end if end >= 0 else (start + own).index("</CODE_CHANGES>")
+            return self._reply(searched + own, at, n_bytes + len(own.encode()))
+
+        return reply
+
+    def _reply(self, text: str, end: int, n_bytes: int) -> str:
+        m = re.search(r'<DOCUMENT path="([^"]*)">\n(\S*)', text)
+        path, word = (m.group(1), m.group(2)) if m else ("", "")
+        edits = {"edits": [{"file": path, "section": str(end - len("<CODE_CHANGES>\n") - 1), "action": "replace", "old_text": word, "new_text": "[" + word + "]"}]}
+        reply = {
+            "choices": [{"message": {"role": "assistant", "content": json.dumps(edits)}, "finish_reason": "stop"}],
+            "usage": {"prompt_tokens": n_bytes // 4, "completion_tokens": 1, "total_tokens": n_bytes // 4 + 1},
+        }
+        return json.dumps(reply)
+
+
+local_completer = LocalCompleter()
 
 
 # --- SQL side -----------------------------------------------------------------------
@@ -212,7 +236,8 @@ def q_preview_text(spark, sf):
 )
 def q_complete_requests(spark, sf):
     store = f"{checkpoint_dir(spark)}/docdrift-replies-{uuid.uuid4().hex}"
-    rep = RQ.complete_requests(RQ.request_json(_requests(spark, sf)), local_completer, _summaries(spark, sf), store)
+    summaries = cut_lineage(_summaries(spark, sf))
+    rep = RQ.complete_requests(RQ.request_json(_requests(spark, sf, summaries)), local_completer, summaries, store)
     content = F.get_json_object("body", "$.choices[0].message.content")
     return rep.select(
         "repo", "path", "error",
@@ -224,13 +249,18 @@ def q_complete_requests(spark, sf):
     )
 
 
-def failing_completer(request: str) -> str:
+class FailingCompleter(LocalCompleter):
     """``local_completer`` behind an endpoint that refuses every fourth of the
     odd documents' numbers."""
-    number = int(re.search(r'/([0-9]+)\.[a-z]+">\n', json.loads(request)["messages"][1]["content"]).group(1))
-    if number % 8 == 1:
-        raise ConnectionError(f"no route for {number}")
-    return local_completer(request)
+
+    def _reply(self, text: str, end: int, n_bytes: int) -> str:
+        number = int(re.search(r'/([0-9]+)\.[a-z]+">\n', text).group(1))
+        if number % 8 == 1:
+            raise ConnectionError(f"no route for {number}")
+        return super()._reply(text, end, n_bytes)
+
+
+failing_completer = FailingCompleter()
 
 
 @register(
@@ -247,8 +277,9 @@ def q_call_outcomes(spark, sf):
     last two are not asked."""
     store = f"{checkpoint_dir(spark)}/docdrift-replies-{uuid.uuid4().hex}"
     number = F.regexp_extract("path", r"/([0-9]+)\.", 1).cast("int")
+    summaries = cut_lineage(_summaries(spark, sf))
     rep = RQ.complete_requests(
-        RQ.request_json(_requests(spark, sf)), failing_completer, _summaries(spark, sf), store,
+        RQ.request_json(_requests(spark, sf, summaries)), failing_completer, summaries, store,
         batches=4, batch_of=number % 4, parallel=4, breaker=0.1,
     )
     content = F.get_json_object("body", "$.choices[0].message.content")
