@@ -105,3 +105,21 @@ def test_parts_do_not_build_their_requests_again(spark):
     got = RQ.complete_requests(requests.mapInPandas(noted, schema), _same, store=seen + "-replies", batches=4)
     assert {(r.path, r.body) for r in got.collect()} == {(str(k), str(k)) for k in range(40)}
     assert len(os.listdir(seen)) == 1
+
+
+class Whole:
+    """``local_completer`` for whole bodies only."""
+
+    def __call__(self, request):
+        return local_completer(request)
+
+
+def test_replies_are_those_to_whole_bodies(spark):
+    summaries = _summaries(spark)
+    requests = _requests(spark, summaries)
+    assert hasattr(local_completer, "after") and not hasattr(Whole(), "after")
+    replies = [RQ.complete_requests(requests, c, summaries, concurrency=3).collect() for c in (local_completer, Whole())]
+    by_path = [{(r.repo, r.path): (r.body, r.error) for r in rows} for rows in replies]
+    assert by_path[0] == by_path[1] and len(by_path[0]) == 60
+    # without a document's text there is no user text
+    assert {e for (_, p), (_, e) in by_path[0].items() if p == "docs/3.md"} == {"KeyError: 'content'"}
