@@ -95,9 +95,13 @@ def build_requests(
     A request names its repository's summary by key and does not hold it: the
     summary is one text per repository, and a copy in each document's row
     would grow with the square of the repository. ``request_body`` puts it in
-    front of the document when the request is sent."""
+    front of the document when the request is sent.
+
+    The keys, a short row per repository, are stored: few are then broadcast,
+    and where many are not, the join reads both sides straight from their
+    exchanges, so the documents of a large repository can be split."""
     sys_text = system_text(parts)
-    keyed = summaries.select("repo", F.sha2("summary", 256).alias("summary_key"))
+    keyed = cut_lineage(summaries.select("repo", F.sha2("summary", 256).alias("summary_key")))
     messages = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(sys_text).alias("content")),
         F.struct(F.lit("user").alias("role"), wrap_doc(F.col("path"), strip_comments(F.col("content"))).alias("content")),
