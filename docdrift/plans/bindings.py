@@ -206,6 +206,9 @@ def docs_table(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFra
 # directory, one with a trailing slash, one with a leading './', a file that
 # does not exist) - the shape of a ``docs.paths`` setting.
 DOC_ROOTS = ["docs/src1", "docs/src2/", "./docs/src3", "README.md"]
+# Fixed value: the folder that holds all documents (keys that size the whole
+# selection).
+ALL_ROOTS = ["docs"]
 
 
 def doc_roots(spark: SparkSession, sf_dir: str, roots: list[str] = DOC_ROOTS) -> DataFrame:

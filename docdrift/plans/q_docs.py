@@ -60,8 +60,16 @@ SELECTED = f"""{SCANNED}, {CHANGED}, {MATCHED},
   flagged AS (SELECT s.*, EXISTS (SELECT 1 FROM mapped m WHERE m.repo = s.repo AND m.doc_path = s.path) AS hit FROM scanned s),
   selected AS (SELECT f.repo, f.path, f.content FROM flagged f
                WHERE f.hit OR NOT (SELECT bool_or(g.hit) FROM flagged g WHERE g.repo = f.repo))"""
-ESTIMATE = f"""docs AS ({DOCS}), sized AS (SELECT repo, path, octet_length(encode(content)) AS n_bytes FROM docs),
+SIZED = """sized AS (SELECT repo, path, octet_length(encode(content)) AS n_bytes FROM docs),
   est AS (SELECT repo, count(*) AS n_docs, sum(n_bytes) AS total_bytes, sum(n_bytes) // 4 AS est_tokens FROM sized GROUP BY repo)"""
+ESTIMATE = f"docs AS ({DOCS}), {SIZED}"
+ALL_ROOTS = "SELECT DISTINCT lang AS repo, 'docs' AS root FROM documents"
+BOTH_ESTIMATES = f"""{SELECTED.replace(ROOTS, ALL_ROOTS)},
+  {SIZED},
+  chosen AS (SELECT repo, count(*) AS n, coalesce(sum(octet_length(encode(content))), 0) AS b FROM selected GROUP BY repo),
+  both_est AS (
+    SELECT est.*, coalesce(n, 0) AS n_selected, CAST(coalesce(b, 0) AS BIGINT) AS selected_bytes, CAST(coalesce(b, 0) // 4 AS BIGINT) AS selected_tokens
+    FROM est LEFT JOIN chosen ON est.repo = chosen.repo)"""
 
 
 # --- Spark side -----------------------------------------------------------------
@@ -89,16 +97,27 @@ def _sizes(spark, sf):
     return B.docs_table(spark, sf, spread=False).select("repo", "path", F.octet_length("content").alias("n_bytes"))
 
 
-def _selected_sizes(spark, sf):
+def _selected_sizes(spark, sf, sizes=None, roots=B.DOC_ROOTS):
     # the size keys need each selected document's byte count only: take it at
     # the scan so no text travels at all; what selection reads several times
     # (documents' keys and sizes, mapping pairs, changed paths) is stored once
-    d = cut_lineage(_sizes(spark, sf))
-    scanned = cut_lineage(SD.scan_docs(d, B.doc_roots(spark, sf), B.doc_excludes(spark, sf)))
+    d = cut_lineage(_sizes(spark, sf)) if sizes is None else sizes
+    scanned = cut_lineage(SD.scan_docs(d, B.doc_roots(spark, sf, roots), B.doc_excludes(spark, sf)))
     mapped = M.mapped_docs(cut_lineage(_go_changed(spark, sf)), cut_lineage(_pairs(spark, sf)))
     return M.select_docs(scanned, mapped)
 
 
+def _estimates(spark, sf, estimate):
+    """``estimate`` of each repository's documents, and beside it that of the
+    documents which a run over all folders selects (none: 0, within)."""
+    sizes = cut_lineage(_sizes(spark, sf))
+    every, chosen = estimate(sizes), estimate(_selected_sizes(spark, sf, sizes, B.ALL_ROOTS))
+    names = {"n_docs": "n_selected", "total_bytes": "selected_bytes", "est_tokens": "selected_tokens", "within_budget": "selected_within_budget"}
+    names = {c: n for c, n in names.items() if c in chosen.columns}
+    both = every.join(chosen.select("repo", *[F.col(c).alias(n) for c, n in names.items()]), "repo", "left")
+    return both.select(*every.columns, *[F.coalesce(n, F.lit(True if c == "within_budget" else 0)).alias(n) for c, n in names.items()])
+
+
 @register(
     "scan_snapshot",
     f"""SELECT repo, ref, path, sha256(content) AS content_hash, octet_length(encode(content)) AS n_bytes
@@ -196,9 +215,12 @@ def q_select_docs(spark, sf):
     return _selected_sizes(spark, sf).select("repo", "path", "n_bytes")
 
 
-@register("token_estimate", f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens FROM est")
+@register(
+    "token_estimate",
+    f"""WITH {BOTH_ESTIMATES} SELECT repo, n_docs, total_bytes, est_tokens, n_selected, selected_bytes, selected_tokens FROM both_est""",
+)
 def q_token_estimate(spark, sf):
-    return M.token_estimate(_sizes(spark, sf))
+    return _estimates(spark, sf, M.token_estimate)
 
 
 @register(
