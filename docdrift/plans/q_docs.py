@@ -225,10 +225,11 @@ def q_token_estimate(spark, sf):
 
 @register(
     "budget_gate",
-    f"WITH {ESTIMATE} SELECT repo, n_docs, total_bytes, est_tokens, est_tokens <= 50000 AS within_budget FROM est",
+    f"""WITH {BOTH_ESTIMATES} SELECT repo, n_docs, total_bytes, est_tokens, est_tokens <= 50000 AS within_budget,
+        n_selected, selected_bytes, selected_tokens, selected_tokens <= 50000 AS selected_within_budget FROM both_est""",
 )
 def q_budget_gate(spark, sf):
-    return M.budget_gate(M.token_estimate(_sizes(spark, sf)))
+    return _estimates(spark, sf, lambda docs: M.budget_gate(M.token_estimate(docs)))
 
 
 @register(

@@ -24,3 +24,9 @@ def test_selection_is_sized_beside_all_documents(spark, sf):
     assert got["b"] == (3, 60, 15, 2, 40, 10)
     assert got["c"] == (2, 20, 5, 2, 20, 5)
     assert got[None] == (1, 20, 5, 0, 0, 0) and got["d"] == (1, 20, 5, 0, 0, 0)
+
+
+def test_selection_is_gated_beside_all_documents(spark, sf):
+    gate = {r.repo: r.asDict() for r in queries()["budget_gate"](spark, sf).collect()}
+    assert gate["a"]["selected_tokens"] == 35 and gate["d"]["n_selected"] == 0
+    assert all(r["within_budget"] and r["selected_within_budget"] for r in gate.values())
