@@ -354,8 +354,9 @@ def complete_requests(
         requests = cut_lineage(requests)
         texts = cut_lineage(texts) if named else None
     asked = requests.select("repo", "path", "request_hash")
-    one = F.struct(*["summary_key"] * named, "_part", "request_json")
-    todo = requests.groupBy("request_hash").agg(F.min(one).alias("r")).select("request_hash", "r.*")
+    # of rows with the same request, one that belongs to a part, and to the first
+    one = F.struct(F.col("_part").isNull().alias("_no_part"), "_part", *["summary_key"] * named, "request_json")
+    todo = requests.groupBy("request_hash").agg(F.min(one).alias("r")).select("request_hash", "r.*").drop("_no_part")
     todo = cut_lineage(todo) if store is not None and batches > 1 else todo
     if store is None:
         replies = called(todo)

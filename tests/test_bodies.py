@@ -123,3 +123,11 @@ def test_replies_are_those_to_whole_bodies(spark):
     assert by_path[0] == by_path[1] and len(by_path[0]) == 60
     # without a document's text there is no user text
     assert {e for (_, p), (_, e) in by_path[0].items() if p == "docs/3.md"} == {"KeyError: 'content'"}
+
+
+def test_a_request_without_a_part_is_asked_with_its_copy(spark):
+    schema = "repo string, path string, request_hash string, request_json string, n int"
+    rows = [("r", "a", "h", "x", None), ("r", "b", "h", "x", 1), ("r", "c", "g", "y", 0), ("r", "d", "f", "z", None)]
+    store = tempfile.mkdtemp(prefix="docdrift-bodies-", dir="/tmp") + "/r"
+    got = RQ.complete_requests(spark.createDataFrame(rows, schema), _same, store=store, batches=2, batch_of=F.col("n"))
+    assert sorted((r.path, r.body) for r in got.collect()) == [("a", "x"), ("b", "x"), ("c", "y")]
