@@ -248,6 +248,14 @@ class _Calls:
 
     def over(self, requests: list) -> list[tuple[str | None, str | None]]:
         results: list = [(None, NOT_ASKED)] * len(requests)
+        if self.parallel == 1:  # in the task's own thread: handing over costs more than a short call
+            for at, request in enumerate(requests):
+                if self.broken():
+                    break
+                results[at] = self.one(request)
+                self.ended += 1
+                self.failed += results[at][1] is not None
+            return results
         running: deque[tuple[int, Future]] = deque()
 
         def end_first() -> None:
@@ -270,6 +278,19 @@ class _Calls:
         return results
 
 
+def once_each(requests: DataFrame) -> DataFrame:
+    """One row for each request: of stored rows ``request_hash, _part, _id`` and
+    more (``_id`` tells them apart) with one hash, one that belongs to a part,
+    and to the first. Decided on these three columns; the rows to leave out are
+    stored, and where they are few no request is sorted or dealt out for it."""
+    first = F.min(F.struct(F.col("_part").isNull().alias("none"), F.col("_part").alias("part"), F.col("_id").alias("id")))
+    repeated = requests.groupBy("request_hash").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first")).filter("_n > 1")
+    repeated = repeated.select(F.col("request_hash").alias("_hash"), F.col("_first.id").alias("_kept"))
+    same = F.col("request_hash").eqNullSafe(F.col("_hash")) & (F.col("_id") != F.col("_kept"))
+    copies = cut_lineage(requests.select("request_hash", "_id").join(repeated, same).select("_id"))
+    return requests.join(copies, "_id", "left_anti")
+
+
 def complete_requests(
     requests_json: DataFrame,
     completer: Callable[[str], str],
@@ -351,16 +372,16 @@ def complete_requests(
     requests = requests_json.withColumn("_part", part_of.cast("int"))
     texts = summaries.select(F.sha2("summary", 256).alias("summary_key"), summary_part("summary").alias("summary")).distinct() if named else None
     if store is not None:
-        requests = cut_lineage(requests)
+        requests = cut_lineage(requests.withColumn("_id", F.monotonically_increasing_id()))
         texts = cut_lineage(texts) if named else None
     asked = requests.select("repo", "path", "request_hash")
-    # of rows with the same request, one that belongs to a part, and to the first
-    one = F.struct(F.col("_part").isNull().alias("_no_part"), "_part", *["summary_key"] * named, "request_json")
-    todo = requests.groupBy("request_hash").agg(F.min(one).alias("r")).select("request_hash", "r.*").drop("_no_part")
-    todo = cut_lineage(todo) if store is not None and batches > 1 else todo
     if store is None:
+        # of rows with the same request, one that belongs to a part, and to the first
+        one = F.struct(F.col("_part").isNull().alias("_no_part"), "_part", *["summary_key"] * named, "request_json")
+        todo = requests.groupBy("request_hash").agg(F.min(one).alias("r")).select("request_hash", "r.*").drop("_no_part")
         replies = called(todo)
     else:
+        todo = once_each(requests)
         spark = requests_json.sparkSession
         before, broken = _outcomes(_stored(spark, store)), False
         for part in range(batches):

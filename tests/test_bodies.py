@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docdrift.operators import requests as RQ
 from docdrift.plans.q_requests import failing_completer, local_completer
+from docdrift.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -131,3 +132,22 @@ def test_a_request_without_a_part_is_asked_with_its_copy(spark):
     store = tempfile.mkdtemp(prefix="docdrift-bodies-", dir="/tmp") + "/r"
     got = RQ.complete_requests(spark.createDataFrame(rows, schema), _same, store=store, batches=2, batch_of=F.col("n"))
     assert sorted((r.path, r.body) for r in got.collect()) == [("a", "x"), ("b", "x"), ("c", "y")]
+
+
+def _once(spark, rows):
+    stored = cut_lineage(spark.createDataFrame(rows, "_id long, request_hash string, _part int, request_json string"))
+    return RQ.once_each(stored)
+
+
+def test_distinct_requests_are_not_dealt_out_to_find_copies(spark):
+    once = _once(spark, [(k, f"h{k}", k % 3, f"text {k}") for k in range(200)])
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan, plan
+    assert once.count() == 200
+
+
+def test_a_request_is_kept_once_however_many_copies(spark):
+    rows = [(k, "hot", 2 if k % 2 else None, "x") for k in range(500)] + [(500, "hot", 1, "x"), (501, "one", None, "y")]
+    rows += [(502, "two", None, "z"), (503, "two", None, "z"), (504, None, 0, "n"), (505, None, 0, "n")]
+    got = sorted((r.request_hash or "", r._part, r._id) for r in _once(spark, rows).collect())
+    assert got == [("", 0, 504), ("hot", 1, 500), ("one", None, 501), ("two", None, 502)]

@@ -46,6 +46,24 @@ def test_a_task_stops_at_a_broken_endpoint():
     assert RQ._Calls(broken, 4, None, 10).over([]) == []
 
 
+def test_single_calls_stay_in_the_tasks_thread():
+    def caller(request):
+        return str(threading.get_ident())
+
+    assert RQ._Calls(caller, 1, None, 20).over(["a", "b"]) == [(str(threading.get_ident()), None)] * 2
+
+
+def test_one_call_at_a_time_stops_at_a_broken_endpoint():
+    asked = []
+
+    def broken(request):
+        asked.append(request)
+        raise OSError("down")
+
+    got = RQ._Calls(broken, 1, 0.5, 10).over([str(k) for k in range(50)])
+    assert len(asked) == 10 and got == [(None, "OSError: down")] * 10 + [(None, RQ.NOT_ASKED)] * 40
+
+
 def _requests(spark, n):
     return spark.range(n).select(
         F.lit("r").alias("repo"), F.concat(F.lit("d"), "id").alias("path"), F.concat(F.lit("h"), "id").alias("request_hash"),
